@@ -166,8 +166,8 @@ def splitter():
     apart: set[str] = set()
     for theirs, ours in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
         apart |= set(regex.findall(theirs, every)) ^ set(re.findall(ours, every))
-    odd = re.compile("[" + "".join(map(re.escape, sorted(apart))) + "]").search
-    return lambda text: exact(text) if odd(text) else quick(text)
+    plain = frozenset(apart).isdisjoint
+    return lambda text: quick(text) if plain(text) else exact(text)
 
 
 class _Words(dict):
