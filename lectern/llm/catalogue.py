@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import tokens
+from lectern.llm import mixture, tokens
 from lectern.sources import table
 
 
@@ -13,5 +14,23 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_texts(table(spark, root, "documents"), "doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    counted = tokens.count_tokens(table(spark, root, "documents").where("source is not null"), ["doc_id", "source"])
+    return mixture.mix(counted, table(spark, root, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """Each drawn document with its number of uses, beside its source's target and actual share."""
+    used, shares = _mixed(spark, root)
+    return used.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source").select(
+        "doc_id", "source", "n_tokens", "uses", "target_share", "actual_share"
+    )
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of every source that has a target."""
+    return _mixed(spark, root)[1]
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLES: dict[str, str] = {}
