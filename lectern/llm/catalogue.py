@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixture, tokens
+from lectern.llm import canonical, mixture, tokens
 from lectern.sources import table
 
 
@@ -32,5 +32,39 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mixed(spark, root)[1]
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+_TYPED = (("knowledge_objects", "object_id", "type"), ("books", "book_id", "primary_topic"), ("books", "book_id", "language"))
+
+
+def _canonical(spark: SparkSession, root: str) -> DataFrame:
+    reference = table(spark, root, "ref_values")
+    out = None
+    for name, key, column in _TYPED:
+        part = canonical.mapped(table(spark, root, name), key, column, reference, column)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The entry meant by each typed value that isn't blank nor exactly a reference name."""
+    names = table(spark, root, "ref_values").select("field", F.col("name").alias("value")).distinct()
+    return (
+        _canonical(spark, root)
+        .where(F.trim(F.regexp_replace("value", r"\p{Z}|\s", "")) != "")
+        .join(F.broadcast(names), ["field", "value"], "left_anti")
+        .select("field", "rec_id", F.col("canon_id").cast("bigint").alias("canon_id"))
+    )
+
+
+def p6_values(spark: SparkSession, root: str) -> DataFrame:
+    """Each distinct typed value with its entry (0: none fits) and the number of records that hold it."""
+    return _canonical(spark, root).groupBy("field", "value", "canon_id").agg(F.count("*").alias("n_records"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_values": p6_values,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
 ORACLES: dict[str, str] = {}
