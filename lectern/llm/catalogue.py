@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import canonical, mixture, tokens
+from lectern.llm import canonical, mixture, tokens, truncation
 from lectern.sources import table
 
 
@@ -60,7 +60,19 @@ def p6_values(spark: SparkSession, root: str) -> DataFrame:
     return _canonical(spark, root).groupBy("field", "value", "canon_id").agg(F.count("*").alias("n_records"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records whose text was cut."""
+    return truncation.judge(truncation.gather(spark, root)).where("cut").select("tbl", "rec_id")
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """How often each model's texts are cut, for each table."""
+    return truncation.rates(truncation.judge(truncation.gather(spark, root)))
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_values": p6_values,
     "p8_ids": p8_ids,
