@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import canonical, mixture, tokens, truncation
+from lectern.llm import canonical, markup, mixture, tokens, truncation
 from lectern.sources import table
 
 
@@ -60,6 +60,27 @@ def p6_values(spark: SparkSession, root: str) -> DataFrame:
     return _canonical(spark, root).groupBy("field", "value", "canon_id").agg(F.count("*").alias("n_records"))
 
 
+_MARKED = (("chapters", "chapter_id", "summary", True), ("parse_results", "parse_id", "markdown", False))
+
+
+def _cleaned(spark: SparkSession, root: str, only_marked: bool) -> DataFrame:
+    parts = [
+        markup.cleaned(table(spark, root, name), key, column, markdown, only_marked).withColumn("tbl", F.lit(name))
+        for name, key, column, markdown in _MARKED
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records that hold foreign markup."""
+    return _cleaned(spark, root, True).select("tbl", "rec_id")
+
+
+def p2_text(spark: SparkSession, root: str) -> DataFrame:
+    """Clean text of every chapter summary and parse result, with the kinds of markup that were resolved."""
+    return _cleaned(spark, root, False).select("tbl", "rec_id", F.array_join("kinds", " ").alias("kinds"), "text")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Records whose text was cut."""
     return truncation.judge(truncation.gather(spark, root)).where("cut").select("tbl", "rec_id")
@@ -71,6 +92,8 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_text": p2_text,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
