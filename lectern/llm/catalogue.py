@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import canonical, markup, mixture, tokens, truncation
+from lectern.llm import canonical, markup, mixture, neighbours, tokens, truncation
 from lectern.sources import table
 
 
@@ -81,6 +81,16 @@ def p2_text(spark: SparkSession, root: str) -> DataFrame:
     return _cleaned(spark, root, False).select("tbl", "rec_id", F.array_join("kinds", " ").alias("kinds"), "text")
 
 
+def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 most similar other points of every usable point, with cosine and rank."""
+    return neighbours.nearest(table(spark, root, "points"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of points of which one is among the 10 most similar of the other."""
+    return neighbours.pairs(p4_neighbours(spark, root))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Records whose text was cut."""
     return truncation.judge(truncation.gather(spark, root)).where("cut").select("tbl", "rec_id")
@@ -94,6 +104,8 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_text": p2_text,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
