@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import canonical, markup, mixture, neighbours, tokens, truncation
+from lectern.llm import components as graph
+from lectern.llm import canonical, markup, mixture, neardup, neighbours, tokens, truncation
+from lectern.session import durable
 from lectern.sources import table
 
 
@@ -81,6 +83,28 @@ def p2_text(spark: SparkSession, root: str) -> DataFrame:
     return _cleaned(spark, root, False).select("tbl", "rec_id", F.array_join("kinds", " ").alias("kinds"), "text")
 
 
+_CONTENT = ["title", "content", "summary"]
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of objects whose words are alike to 0.75 or more."""
+    return neardup.pairs(table(spark, root, "knowledge_objects"), "object_id", _CONTENT, 0.75).select("object_id_a", "object_id_b")
+
+
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Each object with its group of alike objects (the group's smallest class) and the number of its class's links."""
+    members, texts = neardup.classes(table(spark, root, "knowledge_objects"), "object_id", _CONTENT)
+    links = durable(neardup.similar(texts, 0.75).select("a", "b"), "similar")
+    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
+    groups = graph.components(links).withColumnRenamed("node", "cid")
+    return (
+        members.join(texts.select("cid", "class"), "class")
+        .join(ends, "cid", "left")
+        .join(groups, "cid", "left")
+        .select("object_id", F.coalesce("component", "cid").alias("group_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    )
+
+
 def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The 10 most similar other points of every usable point, with cosine and rank."""
     return neighbours.nearest(table(spark, root, "points"))
@@ -104,6 +128,8 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_text": p2_text,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
