@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import components as graph
-from lectern.llm import canonical, markup, mixture, neardup, neighbours, tokens, truncation
+from lectern.llm import canonical, markup, mixture, names, neardup, neighbours, tokens, truncation
 from lectern.session import durable
 from lectern.sources import table
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of books whose author strings differ and mean the same person or organisation."""
+    return names.pairs(names.linked(table(spark, root, "books"), "book_id", "author"), "book_id")
+
+
+def p7_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Each book that names an author, with the entity its author string stands for."""
+    return names.linked(table(spark, root, "books"), "book_id", "author")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Ids of every document."""
     return tokens.encode_texts(table(spark, root, "documents"), "doc_id")
@@ -136,6 +146,8 @@ QUERIES = {
     "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_values": p6_values,
+    "p7_found": p7_found,
+    "p7_entities": p7_entities,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
