@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import components as graph
-from lectern.llm import canonical, markup, mixture, names, neardup, neighbours, tokens, truncation
+from lectern.llm import canonical, markup, mixture, names, neardup, neighbours, sentences, tokens, truncation
 from lectern.session import durable
 from lectern.sources import table
 
@@ -44,6 +44,11 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mixed(spark, root)[1]
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentences.split(table(spark, root, "documents"))
+
+
 _TYPED = (("knowledge_objects", "object_id", "type"), ("books", "book_id", "primary_topic"), ("books", "book_id", "language"))
 
 
@@ -151,5 +156,6 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 ORACLES: dict[str, str] = {}
