@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import components as graph
-from lectern.llm import canonical, markup, mixture, names, neardup, neighbours, sentences, tokens, truncation
+from lectern.llm import canonical, markup, mixture, names, neardup, neighbours, scans, sentences, tokens, truncation
 from lectern.session import durable
 from lectern.sources import table
 
@@ -77,6 +77,16 @@ def p6_values(spark: SparkSession, root: str) -> DataFrame:
     return _canonical(spark, root).groupBy("field", "value", "canon_id").agg(F.count("*").alias("n_records"))
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of parsed markdown that are page furniture or hold a broken or misread word."""
+    return scans.noise(table(spark, root, "parse_results"))
+
+
+def p1_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every parse result as continuous repaired paragraphs."""
+    return scans.repaired(table(spark, root, "parse_results"))
+
+
 _MARKED = (("chapters", "chapter_id", "summary", True), ("parse_results", "parse_id", "markdown", False))
 
 
@@ -141,6 +151,8 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_text": p2_text,
     "p3_found": p3_found,
