@@ -84,10 +84,10 @@ def contained(artifacts: DataFrame, titles: DataFrame) -> DataFrame:
     on word pairs and only those are tested, instead of every title against every text.  Titles of one word join on it.
     """
     words = F.split(F.col("norm"), " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     anchor = F.when(F.size(words) >= 2, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).otherwise(F.col("norm"))
     keyed = titles.where("norm != ''").select("title_id", F.col("norm").alias("title_norm"), anchor.alias("k"))
-    spots = artifacts.select("artifact_id", F.explode(F.array_union(F.array_distinct(pairs), F.array_distinct(words))).alias("k"))
+    spots = artifacts.select("artifact_id", words.alias("words")).select("artifact_id", F.explode(F.array_distinct(F.concat(pairs, "words"))).alias("k"))
     wanted = spots.join(keyed, "k").select("artifact_id", "title_id", "title_norm").distinct()
     return wanted.join(artifacts.select("artifact_id", "norm"), "artifact_id").where(F.contains(F.col("norm"), F.col("title_norm"))).select("artifact_id", "title_id")
 
