@@ -112,8 +112,10 @@ def kinds(text: str | None, markdown: bool) -> list[str]:
 
 # --- the content region -----------------------------------------------------------------------------------------
 
-#: Structure that stays in the text; it neither helps nor hurts a region.
-_NEUTRAL = {"code", "pre", "verbatim", "math", "mathenv", "inline", "wikihead", "texhead", "mdhead", "mdlist", "break", "other"}
+#: Structure that neither helps nor hurts a region.
+_NEUTRAL = {"mdhead", "mdlist", "break", "other"}
+#: Structure that stays in the text and counts as the words it holds.
+_HOLDING = {"code", "pre", "verbatim", "math", "mathenv", "inline", "wikihead", "texhead", "wikitable", "wikilink", "link", "extlink", "codespan"}
 
 
 def elements(text: str, markdown: bool) -> list[tuple[str, int, int]]:
@@ -137,13 +139,13 @@ def learn_weights(pages: list[tuple[str, list[tuple[int, int]]]], markdown: bool
     n, m = sum(inside.values()), sum(outside.values())
     every = set(inside) | set(outside)
     return {
-        k: 0.0 if k in _NEUTRAL else math.log((inside.get(k, 0) + 1) / (n + len(every))) - math.log((outside.get(k, 0) + 1) / (m + len(every)))
+        k: 0.0 if k in _NEUTRAL | _HOLDING else math.log((inside.get(k, 0) + 1) / (n + len(every))) - math.log((outside.get(k, 0) + 1) / (m + len(every)))
         for k in every
     }
 
 
 #: Weights before any page is labelled; learned weights take their place kind by kind.
-PRIOR = {"word": 1.0, "dropped": -30.0, "comment": -1.0, "tag": -1.2, "template": -0.5, "wikitable": 0.0, "wikilink": 0.5, "link": 0.5}
+PRIOR = {"word": 1.0, "dropped": -30.0, "comment": -1.0, "tag": -1.2, "template": -0.5}
 
 
 def region(text: str, markdown: bool, weights: dict[str, float] | None = None) -> tuple[int, int]:
@@ -154,7 +156,10 @@ def region(text: str, markdown: bool, weights: dict[str, float] | None = None) -
     for kind, start, end in elements(text, markdown):
         if total <= 0:
             total, since = 0.0, start
-        total += 0.0 if kind in _NEUTRAL else weights.get(kind, -0.3)
+        if kind in _HOLDING:
+            total += weights["word"] * max(1, len(re.findall(r"[^\W_]+", text[start:end])))
+        else:
+            total += 0.0 if kind in _NEUTRAL else weights.get(kind, -0.3)
         if total > best:
             best, best_span = total, (since, end)
     a, b = best_span
@@ -245,6 +250,7 @@ def to_text(text: str, markdown: bool) -> str:
     text = re.sub(r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ", text)
     text = re.sub(r"(?i)<img\b[^>]*?alt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>", lambda m: m[1] or m[2] or "", text)
     tag = next(p for k, p in _SHARED if k == "tag")
+    text = re.sub(r"(?i)</li\s*>", "", text)
     text = re.sub(tag, lambda m: "\n\n" if re.match(r"</?(\w+)", m.group())[1].lower() in BLOCK - {"li", "ul", "ol"} else ("\n" if re.match(r"</?(\w+)", m.group())[1].lower() in BLOCK else ""), text)
     text = re.sub(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});", lambda m: html.unescape(m.group()).replace("\xa0", " "), text)
     if markdown:
@@ -257,8 +263,10 @@ def to_text(text: str, markdown: bool) -> str:
         text = re.sub(r"(?<![\w_])(_{1,3})(?=[^\s_])([^\n]*?[^\s_])\1(?!\w)", r"\2", text)
         text = re.sub(r"~~(?=\S)([^\n]*?\S)~~", r"\1", text)
     text = re.sub(r"[ \t]+\n", "\n", text)
+    # What was kept comes back before blank lines are counted, except that code keeps its own.
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], text)
+    text = re.sub(r"\s*\x00(\d+)\x00\s*", lambda m: f"\n\n{kept[int(m[1])].strip()}\n\n" if kept[int(m[1])].lstrip().startswith(("```", "~~~")) else m.group(), text)
+    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], text).strip()
 
 
 def clean(text: str | None, markdown: bool, weights: dict[str, float] | None = None) -> tuple[list[str], str | None]:
