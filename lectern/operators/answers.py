@@ -132,6 +132,9 @@ def extracted(responses: DataFrame, key: str, text: str) -> DataFrame:
             frame = pd.DataFrame(rows, columns=names)
             for c in ("at", "section_index", "page", "paragraph"):
                 frame[c] = frame[c].astype("Int64")
+            for c in ("type", "title", "content", "summary", "reason"):
+                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+            frame["confidence"] = frame["confidence"].astype("float64")
             yield frame
 
     return responses.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, schema)

@@ -137,7 +137,7 @@ def embeddable(chapters: DataFrame, sections: DataFrame, objects: DataFrame) ->
 
     ch = once(chapters, "chapter_id")
     top = ch.select("book_id", F.lit(0).alias("o1"), F.col("position").alias("o2"), F.lit(-1).alias("o3"), F.lit("chapter").alias("record_type"), F.col("chapter_id").alias("record_id"), F.col("summary").alias("text"))
-    low = once(sections, "section_id").alias("s").join(ch.select("chapter_id", "book_id", F.col("position").alias("c")), "chapter_id").select(
+    low = once(sections, "section_id").select("section_id", "chapter_id", "position", "summary").alias("s").join(ch.select("chapter_id", "book_id", F.col("position").alias("c")), "chapter_id").select(
         "book_id", F.lit(0).alias("o1"), F.col("c").alias("o2"), F.col("s.position").alias("o3"), F.lit("section").alias("record_type"), F.col("section_id").alias("record_id"), F.col("s.summary").alias("text")
     )
     ob = once(objects, "object_id").select(

@@ -126,7 +126,7 @@ def flatten(chapters: DataFrame, sections: DataFrame) -> DataFrame:
     """
     kind = F.when(F.col("kind") == "front_matter", "front-matter").when(F.col("kind") == "back_matter", "back-matter").otherwise("chapter")
     top = chapters.select("book_id", F.col("position").alias("c"), F.lit(-1).alias("s"), F.col("chapter_id").alias("record_id"), F.lit(None).cast("string").alias("parent_id"), kind.alias("kind"), "title")
-    low = sections.alias("x").join(chapters.select("chapter_id", "book_id", F.col("position").alias("c")), "chapter_id").select(
+    low = sections.select("section_id", "chapter_id", "position", "title").alias("x").join(chapters.select("chapter_id", "book_id", F.col("position").alias("c")), "chapter_id").select(
         "book_id", "c", F.col("x.position").alias("s"), F.col("x.section_id").alias("record_id"), F.col("chapter_id").alias("parent_id"), F.lit("section").alias("kind"), F.col("x.title").alias("title")
     )
     order = W.partitionBy("book_id").orderBy("c", "s", "record_id")
