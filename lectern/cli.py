@@ -1,0 +1,146 @@
+"""Command line: ``python -m lectern.cli <command>``."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import os
+import sys
+from pathlib import Path
+
+from lectern import config
+
+
+def _rows(df, limit: int = 200) -> None:
+    for r in df.limit(limit).collect():
+        print(json.dumps({k: v for k, v in r.asDict(recursive=True).items() if v is not None}, default=str, ensure_ascii=False))
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="lectern")
+    p.add_argument("--home", type=Path, default=Path(os.environ.get("LECTERN_HOME", "~/.lectern")).expanduser())
+    p.add_argument("--data", help="folder of tables; the storage root by default")
+    sub = p.add_subparsers(dest="command", required=True)
+    add = sub.add_parser("add")
+    add.add_argument("path")
+    sub.add_parser("ingest").add_argument("--scope", default="full", choices=["full", "profile", "extraction", "embeddings"])
+    books = sub.add_parser("books").add_subparsers(dest="verb", required=True)
+    books.add_parser("list")
+    books.add_parser("show").add_argument("book")
+    update = books.add_parser("update")
+    update.add_argument("book")
+    update.add_argument("fields", nargs="+", help="name=value; an empty value clears")
+    runs = sub.add_parser("runs").add_subparsers(dest="verb", required=True)
+    runs.add_parser("list")
+    runs.add_parser("show").add_argument("run")
+    for name in ("structure", "profile"):
+        sub.add_parser(name).add_argument("book")
+    knowledge = sub.add_parser("knowledge").add_subparsers(dest="verb", required=True)
+    listed = knowledge.add_parser("list")
+    listed.add_argument("book")
+    listed.add_argument("--type")
+    knowledge.add_parser("show").add_argument("object")
+    find = sub.add_parser("search")
+    find.add_argument("book", help="a book's id, or all")
+    find.add_argument("query")
+    find.add_argument("--type", action="append")
+    find.add_argument("--limit", type=int, default=10)
+    find.add_argument("--score-threshold", type=float)
+    conf = sub.add_parser("config").add_subparsers(dest="verb", required=True)
+    conf.add_parser("list")
+    for verb in ("get", "unset"):
+        conf.add_parser(verb).add_argument("name")
+    put = conf.add_parser("set")
+    put.add_argument("name")
+    put.add_argument("value")
+    return p
+
+
+def _config(args) -> None:
+    if args.verb == "list":
+        for name, value, source in config.shown(config.resolve(args.home)):
+            print(f"{name}\t{value}\t{source}")
+    elif args.verb == "get":
+        values = config.resolve(args.home)
+        if args.name not in values:
+            raise config.ConfigError(f"unknown setting {args.name}")
+        print(values[args.name].value)
+    else:
+        config.write(args.home, args.name, args.value if args.verb == "set" else None)
+
+
+def _run(args) -> None:
+    from lectern.operators import reads, search
+    from lectern.plans import providers, runner
+    from lectern.session import local_session
+    from lectern.sources import files, table
+    from lectern.sources.store import Store
+
+    settings = config.resolve(args.home)
+    root = args.data or settings["storage_root"].value
+    spark = local_session("*")
+    store = Store(spark, root)
+    have = lambda name: table(spark, root, name)
+    if args.command == "add":
+        got = files.fingerprinted(files.binary(spark, args.path))
+        if got.isEmpty():
+            raise files.UnsupportedFormat(f"{args.path} is neither a PDF nor an EPUB")
+        _rows(got)
+    elif args.command == "ingest":
+        llm, embedder = providers.build(settings["llm_provider"].value)
+        pipeline = runner.Pipeline(store, have("books"), have("parsed"), type(llm), type(embedder))
+        from pyspark.sql import functions as F
+
+        if args.scope != "full" and store.runs().where("status = 'succeeded'").isEmpty():
+            raise reads.NotFound("an incremental scope needs an earlier successful run")
+        run = pipeline.run(args.scope)
+        _rows(store.runs().where(F.col("run_id") == run))
+    elif args.command == "books":
+        if args.verb == "list":
+            _rows(reads.list_books(have("books")))
+        elif args.verb == "show":
+            _rows(reads.by_id(have("books"), "book_id", args.book))
+        else:
+            reads.by_id(have("books"), "book_id", args.book)
+            fields = dict(f.split("=", 1) for f in args.fields)
+            changed = reads.update_metadata(have("books"), args.book, **fields)
+            changed.write.mode("overwrite").parquet(f"{root}/books.new.parquet")
+            Path(f"{root}/books.parquet").rename(f"{root}/books.old.parquet")
+            Path(f"{root}/books.new.parquet").rename(f"{root}/books.parquet")
+    elif args.command == "runs":
+        runs = store.runs()
+        _rows(runs.orderBy("at", "run_id") if args.verb == "list" else reads.by_id(runs, "run_id", args.run))
+    elif args.command == "structure":
+        view = reads.structure_view(have("chapters"), have("sections"))
+        _rows(view.where(view.book_id == args.book).orderBy("position"))
+    elif args.command == "profile":
+        latest = reads.latest(have("book_profiles"), "book_id", "created_at", "profile_id")
+        _rows(reads.by_id(latest, "book_id", args.book))
+    elif args.command == "knowledge":
+        objects = have("knowledge_objects")
+        _rows(reads.knowledge(objects, args.book, args.type) if args.verb == "list" else reads.by_id(objects, "object_id", args.object))
+    elif args.command == "search":
+        if not args.query.strip():
+            raise ValueError("the query is empty")
+        _, embedder = providers.build(settings["embedding_provider"].value)
+        search.checked_types(args.type)
+        if not search.verified_model(store.vector_model(), embedder.model):
+            return
+        points = store.stage("points", runner.POINTS)
+        hits = search.top_k(points, embedder.embed([args.query])[0][0], args.limit, 0, args.score_threshold, None if args.book == "all" else args.book, args.type)
+        rows = search.records(*runner.Pipeline(store, None, None)._tables(), store.stage("objects", runner.OBJECTS))
+        _rows(search.resolve(hits, rows).orderBy("rank"))
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
+    try:
+        _config(args) if args.command == "config" else _run(args)
+    except (ValueError, LookupError, RuntimeError) as error:
+        print(f"error: {error}", file=sys.stderr)
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -1,0 +1,309 @@
+"""The reference's operators on small inline tables."""
+
+import json
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern import cli, config
+from lectern.functions import text as T
+from lectern.operators import answers, locations, reads, scoring, search, structure, truth
+from lectern.plans import evaluate, providers, runner
+from lectern.sources import files
+from lectern.sources.store import Store
+from lectern.streaming.arrivals import drain
+
+
+def _tree(spark, markdown):
+    df = spark.createDataFrame([("b", markdown)], "book_id string, markdown string")
+    return [(r["chapter"], r["section"], r["kind"], r["title"], r["line"]) for r in structure.detect(df).orderBy("line").collect()]
+
+
+def test_structure_levels_fences_merge_and_matter(spark):
+    md = "# Book\n## Preface\n## Chapter 1\n\n## Start **here**\n### Inner\n#### deeper\n```\n## no\n~~~\n## no\n```\n## About the author\n## Index ##\n~~~\n## open fence"
+    assert _tree(spark, md) == [
+        (0, None, "front_matter", "Preface", 2), (1, None, "chapter", "Chapter 1: Start here", 3), (1, 0, "section", "Inner", 6),
+        (2, None, "back_matter", "About the author", 13), (3, None, "back_matter", "Index", 14),
+    ]
+    assert _tree(spark, "# My Book\n# Dedication\n# One\n# Chapter 2\n\n\n\n\n# Far") == [
+        (0, None, "front_matter", "My Book", 1), (1, None, "front_matter", "Dedication", 2), (2, None, "chapter", "One", 3), (3, None, "chapter", "Chapter 2", 4), (4, None, "chapter", "Far", 9),
+    ]
+    assert _tree(spark, "") == [] and _tree(spark, None) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_structure_equals_a_sequential_scan(spark, seed):
+    rng = random.Random(seed)
+    docs = []
+    for i in range(25):
+        parts = [rng.choice(["text", "", "```", "~~~", "# Chapter 1", "## Part II", "# One", "## Two", "### Three", "# Preface", "# Index", "# Acknowledgments", "## Cover"]) for _ in range(rng.randint(0, 25))]
+        docs.append((f"d{i}", "\n".join(parts)))
+    df = spark.createDataFrame(docs, "book_id string, markdown string")
+    got = {}
+    for r in structure.detect(df).orderBy("book_id", "line").collect():
+        got.setdefault(r["book_id"], []).append((r["chapter"], r["section"], r["kind"], r["title"], r["line"]))
+    for key, md in docs:
+        assert got.get(key, []) == _scan(md), md
+
+
+def _scan(md):
+    heads, fence = [], None
+    for n, line in enumerate(md.split("\n"), 1):
+        mark = line[:3] if line.startswith(("```", "~~~")) else None
+        if mark:
+            fence = mark if fence is None else None if fence == mark else fence
+        elif fence is None and (m := re.match(r"(#+)\s+(.+)", line)):
+            heads.append([len(m[1]), m[2], n])
+    if not heads:
+        return []
+    levels = sorted({h[0] for h in heads})
+    if len(levels) > 1 and sum(h[0] == levels[0] for h in heads) == 1:
+        heads, levels = [h for h in heads if h[0] != levels[0]], levels[1:]
+    bare = re.compile(r"(?i)^(chapter|part)\s+(\d+|[ivxlcdm]+)\.?$")
+    merged, i = [], 0
+    while i < len(heads):
+        h, f = heads[i], heads[i + 1] if i + 1 < len(heads) else None
+        if f and h[0] == f[0] == levels[0] and bare.match(h[1]) and not bare.match(f[1]) and f[2] - h[2] <= 3:
+            merged.append([h[0], f"{h[1]}: {f[1]}", h[2]])
+            i += 2
+        else:
+            merged.append(h)
+            i += 1
+    out, chapter, section, seen = [], -1, 0, False
+    for level, title, line in merged:
+        if level == levels[0]:
+            chapter, section = chapter + 1, 0
+            kind = "front_matter" if re.match(structure.FRONT, title) else "back_matter" if re.match(structure.BACK, title) else None
+            if kind is None and re.match(structure.EITHER, title):
+                kind = "back_matter" if seen else "front_matter"
+            seen = seen or kind is None
+            out.append([chapter, None, kind or "chapter", title, line])
+        elif len(levels) > 1 and level == levels[1] and chapter >= 0:
+            out.append([chapter, section, "section", title, line])
+            section += 1
+    tops = [o for o in out if o[1] is None]
+    if len(tops) > 1 and tops[0][2] == "chapter" and tops[1][2] == "front_matter":
+        tops[0][2] = "front_matter"
+    return [tuple(o) for o in out]
+
+
+def test_bodies_and_slices(spark):
+    df = spark.createDataFrame([("b", "intro\n# A\none\n## S\ntwo\n# B\nthree")], "book_id string, markdown string")
+    tree = structure.detect(df)
+    assert {r["chapter"]: r["body"] for r in structure.bodies(df, tree).collect()} == {0: "# A\none\n## S\ntwo", 1: "# B\nthree"}
+    assert {r["line"]: r["body"] for r in structure.section_slices(df, tree).collect()} == {2: "# A\none", 4: "## S\ntwo", 6: "# B\nthree"}
+
+
+def test_text_functions(spark):
+    row = lambda expr, v: spark.createDataFrame([(v,)], "v string").select(expr(F.col("v")).alias("x")).first()[0]
+    assert row(T.lines, "a\r\nb\x0cc\n") == ["a", "b", "c"] and row(T.lines, "a\n\n") == ["a", ""]
+    assert row(T.strip_emphasis, "**The** _big_ snake_case_name __x__") == "The big snake_case_name x"
+    assert row(T.normalise_title, "1.2) Grommets & Co") == "grommets co" and row(T.normalise_title, "3") == "3"
+    assert row(T.content_words, "Testing the tested Parsers tests") == ["test", "parser"] or row(T.content_words, "Testing") == ["test"]
+    assert row(T.snippet, "a  b\n" + "c" * 80).endswith("…") and row(T.redact, "abcdefghij") == "abcd…ghij" and row(T.redact, "abc") == "****"
+    assert row(T.slug, "A b, C!") == "a-b-c" and row(T.slug, "!!") == "unset"
+    assert [row(T.ordinal, v) for v in ("3rd", "third", "4th ed.", "edition 5", "2nd edition", "next")] == [3, 3, 4, 5, 2, None]
+    assert row(lambda c: T.ordinal_name(c.cast("int")), "12") == "12th" and row(lambda c: T.ordinal_name(c.cast("int")), "22") == "22nd"
+    assert row(T.copyright_years, "Copyright 2019 by x, copyright 1899, copyright © 2001, copyright (c) 2005") == [2019, 2001]
+    assert row(lambda c: T.edition_claims(c, F.lit("Clean Code")), "Clean Code, Third Edition. " + "x " * 200 + "Other Book second edition") == [3]
+    assert row(T.strip_fences, "```json\n[1]\n```") == "[1]" and row(T.strip_fences, " [1] ") == "[1]"
+    assert row(lambda c: T.repin_line(c, F.lit("ff")), "  sha256: TBD  # when the file lands") == "  sha256: ff"
+    assert row(lambda c: T.repin_line(c, F.lit("ff")), "sha256: aa # checked") == "sha256: ff # checked"
+
+
+def test_search_geometry_filters_and_stale(spark):
+    ids = [f"00000000-0000-0000-0000-00000000000{i}" for i in range(6)]
+    rows = [(f"p{i}", v, t, ids[i], b) for i, (v, t, b) in enumerate([([1.0, 0.0], "chapter", "x"), ([1.0, 1.0], "section", "x"), ([0.0, 1.0], "chapter", "y"), ([2.0, 0.0], "chapter", "y"), ([0.0, 0.0], "chapter", "x"), (None, "chapter", "x")])]
+    points = spark.createDataFrame(rows + rows[:1], "point_id string, vector array<float>, record_type string, record_id string, book_id string")
+    top = lambda **kw: [(r["point_id"], r["score"]) for r in search.top_k(points, [1.0, 0.0], **kw).orderBy("rank").collect()]
+    assert top() == [("p0", 1.0), ("p3", 1.0), ("p1", 0.707107), ("p2", 0.0)]
+    assert top(threshold=0.5, offset=1) == [("p3", 1.0), ("p1", 0.707107)]
+    assert top(book_id="y", types=["chapter"]) == [("p3", 1.0), ("p2", 0.0)]
+    known = spark.createDataFrame([("chapter", ids[0], "t"), ("section", ids[1], "u")], "record_type string, record_id string, title string")
+    assert [r["rank"] for r in search.resolve(search.top_k(points, [1.0, 0.0]), known).orderBy("rank").collect()] == [1, 3]
+    with pytest.raises(ValueError):
+        top(types=["book"])
+    with pytest.raises(ValueError):
+        top(k=0)
+    meta = spark.createDataFrame([("m",)], "embedding_model string")
+    assert search.verified_model(meta, "m") and not search.verified_model(None, "m") and not search.verified_model(meta.limit(0), "m")
+    with pytest.raises(search.EmbeddingModelMismatch):
+        search.verified_model(meta, "other")
+
+
+def test_answers_are_strict():
+    good = {"type": "Smell", "title": 1, "content": "c", "summary": "s", "confidence": 1, "section_index": None}
+    bad = [{**good, "type": "smell"}, {**good, "confidence": True}, {**good, "page": 1.5}, {"type": "Smell"}, 5]
+    kept, dropped = answers.extraction("```json\n" + json.dumps([good, *bad]) + "\n```")
+    assert len(kept) == 1 and kept[0]["title"] == "1" and [d[0] for d in dropped] == list("12345")
+    for text in ("{", "{}", ""):
+        with pytest.raises(answers.AnswerError):
+            answers.extraction(text)
+    assert answers.summaries('{"chapter_summary": "c", "section_summaries": ["a", " ", 3]}', 4) == ("c", ["a", None, None, None])
+    assert answers.summaries('{"chapter_summary": "c", "section_summaries": ["a", "b"]}', 1) == ("c", ["a"])
+    assert answers.claims('["a", {"claim": " b "}]') == ["a", "b"] and answers.verdict('{"supported": false}') is False
+    for text in ('["a", ""]', '{"supported": 1}'):
+        with pytest.raises(answers.AnswerError):
+            answers.claims(text) if text[0] == "[" else answers.verdict(text)
+    calls = iter(["x", '["ok"]'])
+    assert answers.retry_once(lambda: (next(calls), {}), answers.claims)[0] == ["ok"]
+
+
+def test_locations_claim_in_order(spark):
+    schema = "book_id string, record_id string, parent_id string, kind string, title string, position int"
+    detected = spark.createDataFrame([("b", "c1", None, "chapter", "1. Intro", 0), ("b", "s1", "c1", "section", "Why", 1), ("b", "c2", None, "chapter", "Lost", 2), ("b", "s2", "c2", "section", "Only", 3), ("b", "s3", "c2", "section", "Why", 4), ("b", "c3", None, "chapter", "INTRO", 5)], schema)
+    authored = spark.createDataFrame([("b", "i1", None, "chapter", "Intro", 0), ("b", "w1", "i1", "section", "why", 1), ("b", "i2", None, "front-matter", "intro", 2), ("b", "o1", "i2", "section", "only", 3), ("b", "w2", "i2", "section", "Why", 4), ("b", "w3", "i2", "section", "Why", 5)], "book_id string, loc string, parent_loc string, kind string, title string, position int")
+    got = {r["record_id"]: r["loc"] for r in locations.join_locations(detected, authored).collect()}
+    assert got == {"c1": "i1", "c3": "i2", "s1": "w1", "s2": "o1"}
+
+
+def test_scores_and_comparison(spark):
+    expected = spark.createDataFrame([("q1", "a"), ("q1", "b"), ("q2", "c"), ("q3", "d")], "query_id string, loc string")
+    hits = spark.createDataFrame([("q1", 2, "b"), ("q1", 1, "z"), ("q2", 0, "c"), ("q2", -1, "c"), ("q3", 7, "d")], "query_id string, rank int, loc string")
+    judged = scoring.judge(expected, hits)
+    assert {r["query_id"]: r["best_rank"] for r in judged.collect()} == {"q1": 2, "q2": None, "q3": 7}
+    pooled = scoring.recall(judged).first()
+    assert pooled["n"] == 3 and abs(pooled["mrr"] - (0.5 + 1 / 7) / 3) < 1e-6 and abs(pooled["hit_at_5"] - 1 / 3) < 1e-6
+    base = spark.createDataFrame([("recall", 0.8), ("structure", 0.5), ("coverage", 1.0)], "dimension string, score double")
+    new = spark.createDataFrame([("recall", 0.75), ("structure", 0.4), ("faithfulness", 1.0)], "dimension string, score double")
+    rows = {r["dimension"]: r.asDict() for r in scoring.compare(base, new).collect()}
+    assert {k: v["verdict"] for k, v in rows.items()} == {"recall": "ok", "structure": "regression", "coverage": "incomparable", "faithfulness": "incomparable"}
+    page = evaluate.report(list(rows.values()))
+    assert page.index("| recall") < page.index("| structure") and "-0.100" in page and "—" in page
+    assert scoring.faithfulness(spark.createDataFrame([(9, 10), (1, 2), (0, 0)], "supported int, claims int")).first().asDict() == {"mean_support": 0.7, "judged": 2, "below_bar": 1}
+
+
+def test_containment_join_equals_every_pair(spark):
+    rng = random.Random(1)
+    words = "aa bb cc dd ee".split()
+    artifacts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    titles = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(30)] + [(99, "")]
+    a = spark.createDataFrame(artifacts, "artifact_id int, norm string")
+    t = spark.createDataFrame(titles, "title_id int, norm string")
+    got = {tuple(r) for r in scoring.contained(a, t).collect()}
+    assert got == {(i, j) for i, x in artifacts for j, y in titles if y and y in x}
+
+
+def test_batch_top_k_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-3, 3)) or 1.0 for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    got = {}
+    for r in search.batch_top_k(df.where("id % 20 = 0"), df, "id", "v", 5, block=3, chunk=17).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    for i in range(0, 120, 20):
+        want = sorted((-cos(rows[i][1], v), j) for j, v in rows if j != i)[:5]
+        assert [got[i][k] for k in range(1, 6)] == [j for _, j in want]
+
+
+def test_reads(spark):
+    rows = [("a", "x", 1, "2024-01-01"), ("b", "x", None, "2024-01-02"), ("b", "x", None, "2024-01-02"), ("c", "y", 3, "2024-01-02")]
+    df = spark.createDataFrame(rows, "id string, grp string, n int, at string")
+    assert {r["grp"]: r["id"] for r in reads.latest(df, "grp", "at", "id").collect()} == {"x": "b", "y": "c"}
+    with pytest.raises(reads.NotFound):
+        reads.by_id(df, "id", "zz")
+    books = spark.createDataFrame([("b1", "T", "A", "x", 2000, "h1"), ("b2", "U", "A", None, None, "h2")], "book_id string, title string, author string, isbn string, publication_year int, file_hash string")
+    assert reads.update_metadata(books, "b1", isbn="", publication_year="1999").where("book_id = 'b1'").first()[3:5] == (None, 1999)
+    for fields in ({"title": ""}, {"file_hash": "x"}, {"publication_year": "soon"}):
+        with pytest.raises(ValueError):
+            reads.update_metadata(books, "b1", **fields)
+    assert [r["book_id"] for r in reads.register(books, books.select("book_id", "file_hash").union(spark.createDataFrame([("n2", "h3"), ("n1", "h3")], "book_id string, file_hash string"))).collect()] == ["n1"]
+    with pytest.raises(ValueError):
+        reads.knowledge(df, kind="Nonsense")
+    usage = spark.createDataFrame([("r1", "profile", 5, 1), ("r1", "summaries", None, 2), ("r2", "parse", 7, 7)], "run string, stage string, input_tokens bigint, output_tokens bigint")
+    assert {r["run"]: (r["input_tokens"], r["output_tokens"]) for r in reads.token_totals(usage, "run").collect()} == {"r1": (5, 3), "r2": (None, None)}
+
+
+def test_files_and_parsers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "b.epub").write_bytes(b"PK\x03\x04 x")
+    (tmp_path / "c.pdf").write_bytes(b"not")
+    got = {r["original_filename"]: r["file_format"] for r in files.fingerprinted(files.binary(spark, str(tmp_path))).collect()}
+    assert got == {"a.pdf": "pdf", "b.epub": "epub"}
+    docs = spark.createDataFrame([("1", "html", bytearray(b"<h1>Hi</h1><p>text &amp; more</p>")), ("2", "txt", bytearray(b" ... ")), ("3", "pdf", bytearray(b"%PDF"))], "id string, file_format string, content binary")
+    rows = {r["id"]: r for r in files.parsed(docs, "id").collect()}
+    assert rows["1"]["markdown"] == "# Hi\ntext & more" and rows["2"]["markdown"] is None and rows["2"]["attempts"] == ["plain: no text"]
+    assert rows["3"]["parser"] is None and rows["3"]["attempts"]
+
+
+_BOOK = "book_id string, title string, author string, edition string, publication_year int, isbn string, primary_topic string, language string, framework string, methodology string, notes string, trust_level string, intended_use string"
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    books = spark.createDataFrame([("b1", "T", "A", *[None] * 10)], _BOOK)
+    parsed = spark.createDataFrame([("b1", "# One\n## S1\ntext\n# Two\nmore")], "book_id string, markdown string")
+    store = Store(spark, str(tmp_path))
+    first = runner.Pipeline(store, books, parsed).run()
+    run = store.runs().where(F.col("run_id") == first).first()
+    assert (run["status"], run["input_tokens"], run["prompt_version"]) == ("succeeded", 0, "profile=1,extraction=2,summary=1")
+    assert store.stage("chapters", runner.CHAPTERS).count() == 2 and store.stage("points", runner.POINTS).count() == 4
+    # Another parse replaces the book's rows wholesale; an empty result clears them.
+    runner.Pipeline(store, books, parsed.withColumn("markdown", F.lit("no headings"))).structure()
+    pipeline = runner.Pipeline(store, books, parsed.withColumn("markdown", F.lit("no headings")))
+    pipeline.run("full")
+    assert store.stage("chapters", runner.CHAPTERS).count() == 0 and store.stage("points", runner.POINTS).count() == 0
+
+    class Broken(providers.FakeLanguageModel):
+        def complete(self, prompt, *, system=None):
+            raise RuntimeError("down")
+
+    failed = runner.Pipeline(store, books, parsed, llm=Broken).run()
+    bad = store.runs().where(F.col("run_id") == failed).first()
+    assert bad["status"] == "failed" and bad["error"].startswith("profile:") and store.stage("chapters", runner.CHAPTERS).count() == 2
+    unknown = runner.Pipeline(store, books, parsed).run("nonsense")
+    assert store.runs().where(F.col("run_id") == unknown).first()["status"] == "failed"
+
+
+def test_truth_is_linted_and_scored(spark, tmp_path):
+    folder = tmp_path / "truth" / "books" / "one"
+    folder.mkdir(parents=True)
+    put = lambda name, value: (folder / f"{name}.json").write_text(json.dumps(value))
+    put("book", {"title": "One", "area": "x", "source": {"sha256": "TBD"}})
+    put("toc", {"chapters": [{"id": "c1", "title": "Parsing input", "sections": [{"id": "s1", "title": "Tokens"}]}, {"id": "c1", "title": "Again"}]})
+    put("queries", {"queries": [{"q": "how does parsing work", "kind": "conceptual", "why": "x", "expects": [{"loc": "c1"}]}, {"q": "a b c d e f g", "kind": "exact-term", "why": " ", "expects": []}, {"q": "z", "kind": "odd", "why": "w", "gated": True, "expects": [{"loc": "nowhere"}]}]})
+    put("concepts", {"concepts": [{"concept": "Token", "accept": ["lexeme"], "loc": "s1"}, {"concept": "Gone", "loc": "s9"}]})
+    facts = truth.load(spark, tmp_path)
+    found = {(r["severity"], r["message"]) for r in truth.lint(facts).collect()}
+    for want in [("error", "duplicate id c1"), ("warning", "the source is not pinned"), ("error", "concept: unknown location s9"), ("error", "unknown kind"), ("error", "why is blank"), ("error", "no expectation"),
+                 ("warning", "an exact term of more than six words"), ("error", "unknown location nowhere"), ("warning", "few queries of kind conceptual"), ("warning", "1 gated queries")]:
+        assert want in found, want
+    assert any(m.startswith("shares words") for _, m in found)
+    assert truth.errors(truth.lint(facts)).count() >= 5 and truth.askable(facts, "one").count() == 2
+    run = {"run_id": "r", "results": [{"q": "how does parsing work", "book": "one", "hits": [{"rank": 2, "book": "one", "loc": "c1", "record_type": "chapter"}]}],
+           "structure": [{"book": "one", "detected": [{"title": "1. Parsing Input", "kind": "chapter", "position": 0}, {"title": "Tokens", "kind": "section", "position": 1}]}],
+           "coverage": [{"book": "one", "surfaced": ["Lexeme"]}], "faithfulness": []}
+    path = evaluate.save_run(run, tmp_path / "runs", "all", "one")
+    assert evaluate.save_run(run, tmp_path / "runs", "all", "one") != path
+    scores = {r["dimension"]: (r["score"], r["n"]) for r in evaluate.score(evaluate.load_run(spark, str(path)), facts).collect()}
+    assert scores["recall"] == (0.5, 1) and scores["coverage"] == (0.5, 2) and "faithfulness" not in scores and scores["structure"][0] == pytest.approx(0.8)
+
+
+def test_config_layers_and_cli(tmp_path, capsys):
+    config.write(tmp_path, "openai_api_key", "sk-12345678")
+    config.write(tmp_path, "llm_provider", "fake")
+    values = config.resolve(tmp_path, {"LECTERN_LLM_MODEL": "", "OPENAI_API_KEY": "other", "GEMINI_API_KEY": "g"})
+    assert (values["openai_api_key"].source, values["llm_model"].source, values["gemini_api_key"].source, values["embedding_provider"].source) == ("file", "environment", "GEMINI_API_KEY", "default")
+    assert (tmp_path / "config.toml").stat().st_mode & 0o777 == 0o600
+    assert ("openai_api_key", "sk-1…5678", "file") in config.shown(values)
+    assert cli.main(["--home", str(tmp_path), "config", "unset", "openai_api_key"]) == 0
+    assert cli.main(["--home", str(tmp_path), "config", "set", "nothing", "x"]) == 1 and "unknown setting" in capsys.readouterr().err
+    with pytest.raises(providers.ConfigurationError):
+        providers.build("openai")
+
+
+def test_arrivals_are_handed_over_once(spark, tmp_path):
+    seen = []
+    spark.createDataFrame([(1,)], "n int").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        drain(spark, str(tmp_path / "in"), "n int", str(tmp_path / "cp"), lambda df, n: seen.append(df.count()))
+    assert seen == [1]
+
+
+def test_entry_registers_oracles():
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(oracles) <= set(queries) and len(oracles) >= 40
