@@ -77,6 +77,10 @@ def read(author: str) -> tuple[str, str, list[str], str | None, str | None]:
     if any(w in _KIND_OF for w in low) and len([w for w in low if w not in LEGAL]) > 1:
         rest = [_KIND_OF.get(w, w) for w in low if w not in LEGAL]
         return "org", "", sorted(rest), None, None
+    # A family name with bare initials, before "MA" or "JR" can be taken for a title.
+    bare = re.fullmatch(r"\s*(?:by\s+)?([^\W\d_][\w'’-]*[^\W\d_A-Z][\w'’-]*)\s+([A-Z]{1,3})\s*", text)
+    if bare:
+        return "person", bare[1].lower().replace("-", " "), list(bare[2].lower()), nickname, None
     # Titles go, with the commas that set them off.
     kept = [t for t in tokens if t.lower() not in TITLES and t != ":"]
     while kept and kept[-1] == ",":

@@ -163,6 +163,12 @@ def test_spellings_of_one_author_are_linked(spark):
     assert names.pairs(names.linked(df.limit(0), "book_id", "author"), "book_id").count() == 0
 
 
+def test_initials_are_no_titles():
+    assert names.read("Lanozelette JR")[1:3] == ("lanozelette", ["j", "r"]) and names.read("Dunuredino MS")[1:3] == ("dunuredino", ["m", "s"])
+    assert names.read("Cosmo Droovovwick, PhD")[1:3] == ("droovovwick", ["cosmo"]) and names.read("Dr. Ann Lee (ed.)")[1:3] == ("lee", ["ann"])
+    assert names.read("COSMO DROOVOVWICK")[1:3] == ("droovovwick", ["cosmo"]) and names.read("Bo LI")[1:3] == ("bo", ["l", "i"])
+
+
 def test_alignment_permits_initials_and_refuses_clashes():
     assert names.align(["c", "r"], ["cosmo", "r"]) > 0 == names.align(["c", "x"], ["cosmo", "r"])
     assert names.one_edit("abcd", "abdc") and names.one_edit("abc", "abxc") and not names.one_edit("abc", "abc") and not names.one_edit("abcd", "badc")
