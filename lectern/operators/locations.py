@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions.text import normalise_title
+from lectern.session import durable
 
 
 def _nth(df: DataFrame, *keys: str, order: str = "position") -> DataFrame:
@@ -20,11 +21,13 @@ def join_locations(detected: DataFrame, authored: DataFrame) -> DataFrame:
     parent_loc.  Chapters, front and back matter share one pool; sections claim within their resolved chapter; a
     section of an unresolved chapter may claim the only unclaimed section of its title in the book, the first one.
     """
-    d = detected.withColumn("norm", normalise_title(F.col("title")))
-    a = authored.withColumn("norm", normalise_title(F.col("title")))
+    # Both sides are read several times below, the claims of chapters and sections too.
+    d = durable(detected.withColumn("norm", normalise_title(F.col("title"))), "detected")
+    a = durable(authored.withColumn("norm", normalise_title(F.col("title"))), "authored")
     top = _nth(d.where("kind != 'section'"), "book_id", "norm").join(
         _nth(a.where("kind != 'section'"), "book_id", "norm").select("book_id", "norm", "nth", "loc"), ["book_id", "norm", "nth"]
     ).select("book_id", "record_id", "loc")
+    top = durable(top, "claims")
     low = d.where("kind = 'section'").join(
         top.select("book_id", F.col("record_id").alias("parent_id"), F.col("loc").alias("parent_loc")), ["book_id", "parent_id"], "left"
     )
@@ -32,6 +35,7 @@ def join_locations(detected: DataFrame, authored: DataFrame) -> DataFrame:
         _nth(a.where("kind = 'section'"), "book_id", "parent_loc", "norm").select("book_id", "parent_loc", "norm", "nth", "loc"),
         ["book_id", "parent_loc", "norm", "nth"],
     ).select("book_id", "record_id", "loc")
+    within = durable(within, "claims")
     rest = a.where("kind = 'section'").join(within.select("book_id", "loc"), ["book_id", "loc"], "left_anti")
     single = rest.groupBy("book_id", "norm").agg(F.count("*").alias("n"), F.min("loc").alias("loc")).where("n = 1").drop("n")
     orphans = _nth(low.where("parent_loc is null"), "book_id", "norm").where("nth = 1")

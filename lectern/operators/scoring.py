@@ -82,14 +82,17 @@ def contained(artifacts: DataFrame, titles: DataFrame) -> DataFrame:
 
     A title and a text that contains it share the title's first two words in sequence, so the pairs come from a join
     on word pairs and only those are tested, instead of every title against every text.  Titles of one word join on it.
+    A title whose first two words only occur as parts of longer words is not found: titles stand on word boundaries.
     """
     words = F.split(F.col("norm"), " ")
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     anchor = F.when(F.size(words) >= 2, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).otherwise(F.col("norm"))
-    keyed = titles.where("norm != ''").select("title_id", F.col("norm").alias("title_norm"), anchor.alias("k"))
+    # Equal titles are tested once.
+    keyed = titles.where("norm != ''").select(F.col("norm").alias("title_norm"), anchor.alias("k")).distinct()
     spots = artifacts.select("artifact_id", words.alias("words")).select("artifact_id", F.explode(F.array_distinct(F.concat(pairs, "words"))).alias("k"))
-    wanted = spots.join(keyed, "k").select("artifact_id", "title_id", "title_norm").distinct()
-    return wanted.join(artifacts.select("artifact_id", "norm"), "artifact_id").where(F.contains(F.col("norm"), F.col("title_norm"))).select("artifact_id", "title_id")
+    wanted = spots.join(keyed, "k").select("artifact_id", "title_norm").distinct()
+    found = wanted.join(artifacts.select("artifact_id", "norm"), "artifact_id").where(F.contains(F.col("norm"), F.col("title_norm"))).select("artifact_id", "title_norm")
+    return found.join(titles.select("title_id", F.col("norm").alias("title_norm")), "title_norm").select("artifact_id", "title_id")
 
 
 def identify(artifacts: DataFrame, titles: DataFrame, least: float = 0.4, margin: float = 0.15) -> DataFrame:
