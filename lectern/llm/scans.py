@@ -21,8 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A lexicon word's least count, and its least share of all words (so at most two million words are sent to workers).
-LEAST, SHARE = 4, 5e-7
+#: A lexicon word's least share of all words (so at most 1 / SHARE words are sent to workers); LEAST is its floor in
+#: small corpora, where a share is less than a few uses.
+LEAST, SHARE = 4, 3e-6
+#: Share of all words from which a word may be a part of a merged token.
+OFTEN = 1.5e-5
 #: A form this much rarer than a word one edit away may be a misreading of it.
 RARER = 0.02
 
@@ -176,7 +179,9 @@ class Lexicon:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.total = max(1, sum(counts.values()))
+        self.often = max(LEAST, OFTEN * self.total)
         self._neighbours: dict[str, tuple[str, float] | None] = {}
+        self._doubtful: dict[str, bool] = {}
 
     def cost(self, word: str) -> float:
         return -math.log(self.counts[word] / self.total)
@@ -229,8 +234,28 @@ class Lexicon:
         return self._neighbours[form]
 
 
-def _unknown(lexicon: Lexicon, token: str) -> bool:
-    return token.lower() not in lexicon.counts
+    def cuts(self, form: str) -> Iterator[tuple[str, str, float]]:
+        """The pairs of words that a form may have been merged from, with their cost."""
+        for cut in range(1, len(form)) if len(form) > 5 else ():
+            a, b = form[:cut], form[cut:]
+            if min(len(a), len(b)) > (1 if a not in ("a",) else 0) and self.counts.get(a, 0) > self.often and self.counts.get(b, 0) > self.often:
+                yield a, b, self.cost(a) + self.cost(b) + 3.0
+
+    def union(self, a: str, b: str) -> str | None:
+        """The word that two neighbours form, if it is far more frequent than the rarer of them."""
+        both = a + b
+        n = self.counts.get(both, 0)
+        return both if n > LEAST and min(self.counts.get(a, 0), self.counts.get(b, 0)) <= max(1, RARER * 5 * n) else None
+
+    def doubtful(self, form: str) -> bool:
+        """Whether a form is no word of the lexicon or another reading of it costs less than the form itself."""
+        if form not in self.counts:
+            return True
+        if form not in self._doubtful:
+            own = self.cost(form)
+            meant = self.meant(form) if len(form) > 2 else None
+            self._doubtful[form] = bool(meant and meant[1] < own) or any(cost < own for _, _, cost in self.cuts(form))
+        return self._doubtful[form]
 
 
 def decode(tokens: list[str], lexicon: Lexicon, names: list[bool]) -> list[tuple[int, int, str]]:
@@ -253,21 +278,16 @@ def decode(tokens: list[str], lexicon: Lexicon, names: list[bool]) -> list[tuple
         w = low[i]
         known = w in lexicon.counts
         offer(i, i + 1, min(lexicon.cost(w), unknown) if known else unknown + (0 if names[i] else 4), tokens[i])
-        if not known or lexicon.counts[w] < 50:
+        if lexicon.doubtful(w):
             meant = lexicon.meant(w) if len(w) > 2 and not w.isdigit() else None
             if meant and (not names[i] or any(c in SIGNS for c in w) or meant[1] < 14):
                 offer(i, i + 1, meant[1], meant[0])
-            if len(w) > 5 and not names[i]:
-                for cut in range(1, len(w)):
-                    a, b = w[:cut], w[cut:]
-                    if a in lexicon.counts and b in lexicon.counts and min(len(a), len(b)) > (1 if a not in ("a",) else 0) and lexicon.counts[a] > 20 and lexicon.counts[b] > 20:
-                        offer(i, i + 1, lexicon.cost(a) + lexicon.cost(b) + 3.0, f"{a} {b}")
-        if i + 1 < n:
-            both = w + low[i + 1]
-            if both in lexicon.counts and lexicon.counts[both] > 5 and lexicon.counts.get(w, 0) + lexicon.counts.get(low[i + 1], 0) >= 0:
-                rare = min(lexicon.counts.get(w, 0), lexicon.counts.get(low[i + 1], 0))
-                if rare <= max(1, RARER * 5 * lexicon.counts[both]):
-                    offer(i, i + 2, lexicon.cost(both) + 4.0, both)
+            if not names[i]:
+                for a, b, cost in lexicon.cuts(w):
+                    offer(i, i + 1, cost, f"{a} {b}")
+        both = lexicon.union(w, low[i + 1]) if i + 1 < n else None
+        if both:
+            offer(i, i + 2, lexicon.cost(both) + 4.0, both)
     out, j = [], n
     while j:
         i, words = how[j]
@@ -287,11 +307,11 @@ def _is_break(lexicon: Lexicon, left: str, right: str, sign: str) -> bool:
     if sign != "-":
         return True
     parts = [p for p in re.split("-", kept) if p]
-    if all(lexicon.counts.get(p, 0) > LEAST for p in parts):
+    if all(p in lexicon.counts for p in parts):
         return False
     if lexicon.meant(whole):
         return True
-    return not (lexicon.counts.get(left.split("-")[-1].lower(), 0) > 20 and lexicon.counts.get(right.lower(), 0) > 20)
+    return not (lexicon.counts.get(left.split("-")[-1].lower(), 0) > lexicon.often and lexicon.counts.get(right.lower(), 0) > lexicon.often)
 
 
 class Page:
@@ -372,16 +392,19 @@ class Page:
                     at += len(p) + 1
                 start = False
             start = bool(_STOP.search(line))
-            if all(f.lower() in lexicon.counts and lexicon.counts[f.lower()] >= 50 for f in flat):
-                continue
-            # Only stretches around doubtful tokens have a choice.
+            # Only stretches around doubtful tokens, or around neighbours that form a word, have a choice.
+            low = [f.lower() for f in flat]
+            open_ = [lexicon.doubtful(w) for w in low]
+            for k in range(1, len(low)):
+                if lexicon.union(low[k - 1], low[k]):
+                    open_[k - 1] = open_[k] = True
             at = 0
             while at < len(flat):
-                if flat[at].lower() in lexicon.counts and lexicon.counts[flat[at].lower()] >= 50:
+                if not open_[at]:
                     at += 1
                     continue
                 a, b = max(0, at - 1), min(len(flat), at + 2)
-                while b < len(flat) and (flat[b - 1].lower() not in lexicon.counts or lexicon.counts[flat[b - 1].lower()] < 50):
+                while b < len(flat) and open_[b - 1]:
                     b += 1
                 for x, y, fixed in decode(flat[a:b], lexicon, names[a:b]):
                     gap = line[spans[a + x][1] : spans[a + y - 1][0]] if y - x > 1 else ""
@@ -493,7 +516,7 @@ def word_counts(documents: DataFrame, text: str) -> DataFrame:
 
 
 def lexicon_of(documents: DataFrame, text: str = "markdown") -> dict[str, int]:
-    """The corpus's frequent words; at most ``1 / SHARE`` of them by construction."""
+    """The corpus's frequent words; at most ``1 / SHARE`` of them by construction, the same at any size of the corpus."""
     from lectern.session import durable
 
     counts = durable(word_counts(documents, text), "words")

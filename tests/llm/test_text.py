@@ -246,3 +246,12 @@ def test_noise_edges(spark):
     assert {r["parse_id"]: r["text"] for r in scans.repaired(df).collect()}[1] is None
     assert scans.noise(df.limit(0)).count() == 0
     assert scans.noise(df).where(F.col("line_no") < 1).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 100])
+def test_misreadings_are_found_at_any_size_of_the_corpus(scale):
+    counts = {"the": 60_000, "cat": 900, "sat": 900, "another": 14_000, "anofher": 13, "scheduled": 900, "sched": 4, "uled": 4}
+    lexicon = scans.Lexicon({w: n * scale for w, n in counts.items()})
+    page = scans.Page("12\nthe cat sat anofher cat\nthe cat sat sched uled the cat", lexicon)
+    assert page.found() == [(1, "furniture"), (2, "misread"), (3, "misread")]
+    assert page.text().startswith("the cat sat another cat the cat sat scheduled the cat")
