@@ -40,6 +40,21 @@ def test_pairs_equal_brute_force(spark):
     assert neardup.pairs(df.limit(0), "object_id", ["title"], 0.75).count() == 0
 
 
+def test_a_large_group_of_near_copies_keeps_its_links(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        words = base[:]
+        for at in (rng.randrange(3, 27), rng.randrange(33, 57), rng.randrange(63, 87)):
+            words[at] = f"own{i}x{at}"
+        rows.append((f"g{i:03d}", " ".join(words)))
+    rows += [(f"o{i:03d}", " ".join(f"z{rng.randrange(4000)}" for _ in range(90))) for i in range(200)]
+    df = spark.createDataFrame(rows, "object_id string, content string")
+    got = {tuple(r)[:2] for r in neardup.pairs(df, "object_id", ["content"], 0.75).collect()}
+    assert got == {(f"g{i:03d}", f"g{j:03d}") for i in range(60) for j in range(i + 1, 60)}
+
+
 def test_banded_alignment_bounds_common_words():
     rng = random.Random(1)
     a = [np.array([rng.randrange(12) for _ in range(rng.randint(1, 30))]) for _ in range(80)]
