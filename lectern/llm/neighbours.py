@@ -7,12 +7,16 @@ diverse edges survive.  Beam search answers the queries of each shard: its own m
 the second, third ... nearest shard.  All searches of a shard advance in lockstep as matrix work.  The proposals meet
 by query, and exact cosines in double precision, rounded to six decimals, give the final order.
 
-Equal vectors are one node of the graph: their members share its answers and each other, so a vector repeated in a
-third of all rows costs one search.
+Vectors of one direction are one node of the graph, whatever their lengths: its members share its answers and each
+other, so a vector repeated in a third of all rows, rescaled or not, costs one search.  No tie is cut before ids are
+compared: a shard keeps whatever may equal its k-th answer at six decimals, scanning all of its nodes where more tie
+than a beam holds, and where the small differences of a node's vectors may change a sixth decimal, its vectors are
+compared one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,9 @@ PROBES = 2
 DEGREE = 24
 BEAM = 40
 ALPHA = 1.2
+#: Width of the cells of normalised numbers that make a node: in 64 dimensions any two vectors of a cell have a cosine
+#: above 1 - 3.2e-7, which is 1 at six decimals.
+CELL = 1e-4
 
 
 def usable(points: DataFrame, size: int) -> DataFrame:
@@ -194,22 +201,50 @@ class Graph:
                 self.edges[nodes[part]] = self.prune(nodes[part], np.concatenate([self.edges[nodes[part]], back[part]], axis=1))
 
 
+def _kept(lower: np.ndarray, upper: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Which answers of each row may be among its first ``k`` by similarity and rank; absent ones are below -1."""
+    real = lower > -2
+    if lower.shape[1] <= k:
+        return real
+    last = np.lexsort((rank, -lower), axis=-1)[:, k - 1 : k]
+    least, first = np.take_along_axis(lower, last, axis=1), np.take_along_axis(rank, last, axis=1)
+    return real & ((upper > least) | ((upper == least) & (rank <= first)))
+
+
 def _shard_answers(k: int, beam: int):
-    """Answers of one shard: ``(query, node, sim)`` for the queries routed to it."""
+    """Answers of one shard: ``(query, node, lower, upper)`` for the queries routed to it; the bounds of the cosine of
+    any two of their vectors, at six decimals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node", ignore_index=True)
-        data = unit(np.stack(pdf["vector"].to_numpy()))
-        names = pdf["node"].to_numpy()
-        graph = Graph(data)
-        ids, sims = [], []
-        for start in range(0, len(data), 2048):
-            i, s = graph.search(data[start : start + 2048], k + 1, max(beam, k + 1))
-            ids.append(i)
-            sims.append(s)
-        ids, sims = np.concatenate(ids), np.concatenate(sims)
-        rows, cols = np.nonzero((ids >= 0) & (ids != np.arange(len(ids))[:, None]))
-        return pd.DataFrame({"node": names[rows], "near": names[ids[rows, cols]], "sim": sims[rows, cols].astype("float64")})
+        raw = np.stack(pdf["vector"].to_numpy()).astype("f8")
+        exact = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        names, radius = pdf["node"].to_numpy(), pdf["radius"].to_numpy()
+        rank = pdf["first"].rank(method="first").to_numpy().astype("int64")
+        graph = Graph(unit(raw), seed=3 + int(pdf["shard"].iloc[0]))
+        out: list[pd.DataFrame] = []
+
+        def bounds(queries: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            spread = radius[queries][:, None] + radius[ids]
+            absent = (ids < 0) | (ids == queries[:, None])
+            return tuple(np.where(absent, -9.0, np.round(x, 6)) for x in (sims - spread, sims + spread))
+
+        def keep(queries: np.ndarray, ids: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+            rows, cols = np.nonzero(_kept(lower, upper, rank[ids], k))
+            out.append(pd.DataFrame({"node": names[queries[rows]], "near": names[ids[rows, cols]], "lower": lower[rows, cols], "upper": upper[rows, cols]}))
+
+        for start in range(0, len(exact), 2048):
+            queries = np.arange(start, min(start + 2048, len(exact)))
+            ids, near = graph.search(graph.data[queries], max(beam, k + 1), max(beam, k + 1))
+            lower, upper = bounds(queries, ids, np.einsum("ij,icj->ic", exact[queries], exact[ids]))
+            # Where the last of a full beam may still tie with the k-th, others may too: all of the shard is compared.
+            kth = -np.sort(-lower, axis=1)[:, k - 1]
+            open_ = (ids[:, -1] >= 0) & (near[:, -1] + radius[queries] + radius.max() + 2e-6 >= kth)
+            keep(queries[~open_], ids[~open_], lower[~open_], upper[~open_])
+            for some in np.array_split(queries[open_], -(-open_.sum() // 256)) if open_.any() else ():
+                all_ids = np.broadcast_to(np.arange(len(exact)), (len(some), len(exact)))
+                keep(some, all_ids, *bounds(some, all_ids, exact[some] @ exact.T))
+        return pd.concat(out)
 
     return run
 
@@ -222,12 +257,13 @@ def nearest(points: DataFrame, k: int = 10, size: int = 64, probes: int = PROBES
     than ``k`` other points give fewer rows.  The neighbours are those the graphs find: see the README for recall.
     """
     spark = points.sparkSession
-    # One node for each distinct vector; its members in order of id, the first k + 1 of them kept beside it.
-    rows = durable(usable(points, size).withColumn("node", F.xxhash64(*[F.col("vector")[i] for i in range(size)])), "usable")
-    # Equal hashes of different vectors would only merge two nodes' proposals: sims are computed from the vectors.
-    nodes = durable(
-        rows.groupBy("node").agg(F.min_by("vector", "point_id").alias("vector"), F.count("*").alias("copies")), "nodes"
-    )
+    # One node for each direction; its members in order of id, the first k + 1 of them kept beside it.
+    rows = durable(usable(points, size).withColumn("node", _direction("vector")).withColumn("raw", F.xxhash64("vector")), "usable")
+    variants = durable(rows.groupBy("node", "raw").agg(F.min("point_id").alias("first"), F.min_by("vector", "point_id").alias("vector")), "variants")
+    nodes = variants.groupBy("node").agg(F.min_by("vector", "first").alias("vector"), F.min("first").alias("first"), F.count("*").alias("n"))
+    several = nodes.where("n > 1").select("node", F.col("vector").alias("centre"))
+    radii = variants.join(several, "node").groupBy("node").agg(F.max(_apart("vector", "centre")).alias("radius"))
+    nodes = durable(nodes.join(radii, "node", "left").select("node", "vector", "first", F.coalesce("radius", F.lit(0.0)).alias("radius")), "nodes")
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "point_id string, neighbour_id string, sim double, rank int")
@@ -252,36 +288,75 @@ def nearest(points: DataFrame, k: int = 10, size: int = 64, probes: int = PROBES
                 "shard": best.ravel().astype("int32"),
                 "node": np.repeat(pdf["node"].to_numpy(), m),
                 "vector": np.repeat(pdf["vector"].to_numpy(), m),
+                "first": np.repeat(pdf["first"].to_numpy(), m),
+                "radius": np.repeat(pdf["radius"].to_numpy(), m),
             })
 
-    routed = nodes.select("node", "vector").mapInPandas(route, "shard int, node bigint, vector array<float>")
-    proposals = routed.groupBy("shard").applyInPandas(_shard_answers(k, beam), "node bigint, near bigint, sim double")
-    best = W.partitionBy("node").orderBy(F.desc("sim"), "near")
-    # A proposal serves both of its ends.
+    routed = nodes.mapInPandas(route, "shard int, node bigint, vector array<float>, first string, radius double")
+    proposals = routed.groupBy("shard").applyInPandas(_shard_answers(k, beam), "node bigint, near bigint, lower double, upper double")
+    best = W.partitionBy("node").orderBy(F.desc("lower"))
+    # A proposal serves both of its ends; all that may tie with the k-th stay until ids are compared.
     proposals = durable(proposals, "answers")
-    proposals = proposals.unionByName(proposals.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim"))
-    proposals = durable(
-        proposals.dropDuplicates(["node", "near"]).withColumn("rn", F.row_number().over(best)).where(f"rn <= {k + 2}").drop("rn"), "proposals"
-    )
-    # Exact similarity of the proposals.
-    a = nodes.select("node", F.col("vector").alias("va"))
-    b = nodes.select(F.col("node").alias("near"), F.col("vector").alias("vb"))
-    exact = durable(
-        proposals.select("node", "near").join(a, "node").join(b, "near").select("node", "near", _cosine("va", "vb", size).alias("sim")), "exact"
-    )
+    proposals = proposals.unionByName(proposals.select(F.col("near").alias("node"), F.col("node").alias("near"), "lower", "upper"))
+    proposals = proposals.dropDuplicates(["node", "near"]).withColumn("rn", F.row_number().over(best))
+    proposals = proposals.withColumn("least", F.max(F.when(F.col("rn") == k, F.col("lower"))).over(W.partitionBy("node")))
+    proposals = durable(proposals.where("least IS NULL OR upper >= least").drop("rn", "least"), "proposals")
+    settled = proposals.where("lower = upper").select("node", "near", F.col("lower").alias("sim"))
+    # Where vectors of the two nodes may differ in a sixth decimal, each is compared with each.
+    a = variants.select("node", F.col("raw"), F.col("vector").alias("va"))
+    b = variants.select(F.col("node").alias("near"), F.col("raw").alias("near_raw"), F.col("vector").alias("vb"))
+    open_ = proposals.where("lower < upper").select("node", "near").join(a, "node").join(b, "near").select("node", "raw", "near", "near_raw", _cosine("va", "vb").alias("sim"))
     # The first members of each node, for the nodes that name it and for itself.
     first = W.partitionBy("node").orderBy("point_id")
     members = rows.select("point_id", "node").withColumn("rn", F.row_number().over(first)).where(f"rn <= {k + 1}").drop("rn")
     own = members.select("node", F.col("point_id").alias("neighbour_id"), F.lit(1.0).alias("sim"))
-    others = exact.join(members.select(F.col("node").alias("near"), F.col("point_id").alias("neighbour_id")), "near").select("node", "neighbour_id", "sim")
+    others = settled.join(members.select(F.col("node").alias("near"), F.col("point_id").alias("neighbour_id")), "near").select("node", "neighbour_id", "sim")
     order = W.partitionBy("node").orderBy(F.desc("sim"), "neighbour_id")
     top = own.unionByName(others).withColumn("rn", F.row_number().over(order)).where(f"rn <= {k + 1}").drop("rn")
-    listed = rows.select("point_id", "node").join(top, "node").where("point_id != neighbour_id")
+    in_raw = W.partitionBy("node", "raw").orderBy("point_id")
+    firsts = rows.select("node", "raw", "point_id").withColumn("rn", F.row_number().over(in_raw)).where(f"rn <= {k + 1}").select(
+        F.col("node").alias("near"), F.col("raw").alias("near_raw"), F.col("point_id").alias("neighbour_id")
+    )
+    of_raw = W.partitionBy("node", "raw").orderBy(F.desc("sim"), "neighbour_id")
+    single = open_.join(firsts, ["near", "near_raw"]).withColumn("rn", F.row_number().over(of_raw)).where(f"rn <= {k}").select("node", "raw", "neighbour_id", "sim")
+    listed = rows.select("point_id", "node").join(top, "node").unionByName(rows.select("point_id", "node", "raw").join(single, ["node", "raw"]).drop("raw"))
+    listed = listed.where("point_id != neighbour_id")
     final = W.partitionBy("point_id").orderBy(F.desc("sim"), "neighbour_id")
     return listed.withColumn("rank", F.row_number().over(final)).where(f"rank <= {k}").select("point_id", "neighbour_id", "sim", "rank")
 
 
-def _cosine(a: str, b: str, size: int):
+def _normed(column: pd.Series) -> np.ndarray:
+    rows = np.stack(column.to_numpy()).astype("f8")
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def _direction(vector: str):
+    """Hash of the cell in which the normalised vector lies."""
+
+    @F.pandas_udf("bigint")
+    def direction(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int64")
+        cells = np.rint(_normed(x) / CELL).astype("<i8")
+        return pd.Series([int.from_bytes(hashlib.blake2b(c.tobytes(), digest_size=8).digest(), "little", signed=True) for c in cells], dtype="int64")
+
+    return direction(vector)
+
+
+def _apart(a: str, b: str):
+    """Distance of two normalised vector columns."""
+
+    @F.pandas_udf("double")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        difference = _normed(x) - _normed(y)
+        return pd.Series(np.sqrt((difference * difference).sum(axis=1)))
+
+    return apart(a, b)
+
+
+def _cosine(a: str, b: str):
     """Cosine of two vector columns in double precision, rounded to 6 decimals."""
 
     @F.pandas_udf("double")

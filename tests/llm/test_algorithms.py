@@ -126,6 +126,26 @@ def test_neighbours_reach_the_recall_and_handle_bad_vectors(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_rescaled_copies_and_close_directions_go_by_id(spark):
+    rng = np.random.default_rng(9)
+    points = [(f"p{i:04d}", [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(200)]
+    base = np.array(points[0][1])
+    # Copies of other lengths, and directions so close that all cosines are 1 at six decimals.
+    points += [(f"r{i:03d}", [float(np.float32(x)) for x in base * s]) for i, s in enumerate(rng.uniform(0.3, 3, 120))]
+    other = np.array(points[1][1])
+    points += [(f"s{i:03d}", [float(np.float32(x)) for x in other + 2e-4 * rng.normal(size=8)]) for i in range(120)]
+    rng.shuffle(points)
+    points = [(str(i), [float(x) for x in v]) for i, v in points]
+    df = spark.createDataFrame(points, "point_id string, vector array<float>")
+    true = _brute(points, 10)
+    got = {}
+    for r in neighbours.nearest(df, 10, size=8).collect():
+        got.setdefault(r["point_id"], []).append((r["rank"], r["neighbour_id"]))
+    close = [i for i in true if i[0] in "rs"]
+    assert {i: [j for _, j in sorted(got[i])] for i in close} == {i: true[i] for i in close}
+    assert np.mean([len({j for _, j in got[i]} & set(true[i])) / 10 for i in true]) >= 0.99
+
+
 def test_pruning_keeps_nearest_and_drops_covered():
     data = neighbours.unit(np.array([[1, 0.0], [1, 0.1], [1, 0.11], [0.1, 1]], dtype="f4"))
     graph = neighbours.Graph(data, degree=3, beam=4)
