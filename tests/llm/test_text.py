@@ -255,3 +255,19 @@ def test_misreadings_are_found_at_any_size_of_the_corpus(scale):
     page = scans.Page("12\nthe cat sat anofher cat\nthe cat sat sched uled the cat", lexicon)
     assert page.found() == [(1, "furniture"), (2, "misread"), (3, "misread")]
     assert page.text().startswith("the cat sat another cat the cat sat scheduled the cat")
+
+
+def test_evidence_is_counted_over_all_texts(spark):
+    rows = [(i, "Nothing of note here.\n\nThe next one ends.") for i in range(7000)]
+    # Rare among all texts, though each of them has it once.
+    rows += [(7000 + i, "They met Xyz. Smith there.\n\nIt went well.") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = sentences.fitted(df)
+    assert model.ends == sentences.fit([t for _, t in rows]).ends and "Xyz." in model.ends
+    assert sentences.fitted(df.limit(0)).ends == {}
+
+
+def test_a_word_that_also_stands_bare_is_no_abbreviation():
+    texts = ["We like metrics more.\n\nThey read metrics. Then they go on.\n\nIt ends here."] * 40 + ["They met Xyz. Smith.\n\nIt ends here."] * 40
+    model = sentences.fit(texts)
+    assert model.ends["metrics."] >= 2.0 and model.ends["Xyz."] < 0
