@@ -3,7 +3,7 @@
 Per document: running headers, footers and page numbers are found by their form and by likeness to the document's own
 headings and to each other; the remaining lines of running text become one stream of characters in which words are
 segmented jointly: a lattice offers each token as it stands, its one-edit and confusion neighbours in the lexicon, the
-word that it forms with its neighbour (a split, or a hyphen of a line break) and the two words that it may hold
+word that it forms with its neighbour (a split, at a blank or a line end, or a hyphen of a line break) and the two words that it may hold
 (a merge); the path with the least cost under the corpus's word frequencies wins.  Dynamic programming over the line
 gaps then chooses the paragraph boundaries.  Headings, lists, tables and code stay as they are.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 LEAST, SHARE = 4, 3e-6
 #: Share of all words from which a word may be a part of a merged token.
 OFTEN = 1.5e-5
+#: Further cost of an error in a document that shows no other trace of a scanned page.
+UNTOUCHED = 4.0
 #: A form this much rarer than a word one edit away may be a misreading of it.
 RARER = 0.02
 
@@ -258,11 +260,12 @@ class Lexicon:
         return self._doubtful[form]
 
 
-def decode(tokens: list[str], lexicon: Lexicon, names: list[bool]) -> list[tuple[int, int, str]]:
+def decode(tokens: list[str], lexicon: Lexicon, names: list[bool], joins: list[bool], prior: float = 0.0) -> list[tuple[int, int, str]]:
     """Least-cost segmentation of a run of tokens: (first, last + 1, words) of every repaired stretch.
 
     ``names`` marks tokens that may be names: capitalised ones, which are only repaired where they hold a sign or stand
-    one confusion from a word.
+    one confusion from a word.  ``joins`` marks tokens after which only white space comes before the next one;
+    ``prior`` is added to the cost of every error.
     """
     n = len(tokens)
     low = [t.lower() for t in tokens]
@@ -281,13 +284,13 @@ def decode(tokens: list[str], lexicon: Lexicon, names: list[bool]) -> list[tuple
         if lexicon.doubtful(w):
             meant = lexicon.meant(w) if len(w) > 2 and not w.isdigit() else None
             if meant and (not names[i] or any(c in SIGNS for c in w) or meant[1] < 14):
-                offer(i, i + 1, meant[1], meant[0])
+                offer(i, i + 1, meant[1] + prior, meant[0])
             if not names[i]:
                 for a, b, cost in lexicon.cuts(w):
-                    offer(i, i + 1, cost, f"{a} {b}")
-        both = lexicon.union(w, low[i + 1]) if i + 1 < n else None
+                    offer(i, i + 1, cost + prior, f"{a} {b}")
+        both = lexicon.union(w, low[i + 1]) if i + 1 < n and joins[i] else None
         if both:
-            offer(i, i + 2, lexicon.cost(both) + 4.0, both)
+            offer(i, i + 2, lexicon.cost(both) + 4.0 + prior, both)
     out, j = [], n
     while j:
         i, words = how[j]
@@ -328,7 +331,8 @@ class Page:
         self.hyphen: dict[int, tuple[str, str, int]] = {}
         self.repairs: dict[int, list[tuple[int, int, str]]] = {}
         self._hyphens()
-        self.scanned = any(self.furniture) or bool(self.hyphen)
+        #: Lines whose first word belongs to the line before it.
+        self.taken: dict[int, tuple[int, int]] = {}
         self._words()
 
     def _next(self, i: int) -> int | None:
@@ -355,63 +359,69 @@ class Page:
         skip_first = {j: right for _, (_, right, j) in self.hyphen.items()}
         lexicon = self.lexicon
         start = True
+        # One stream over all lines; a line break may be a split as well as a blank may.
+        flat: list[str] = []
+        spans: list[tuple[int, int, int]] = []
+        names: list[bool] = []
         for i, line in enumerate(self.lines):
             if not self.prose[i]:
                 continue
             words = list(_WORD.finditer(line))
-            if not words:
-                continue
-            if not self.scanned and not any(c in line for c in "@!|$"):
-                continue
             if "[[" in line or "{{" in line:
                 words = [m for m in words if "|" not in m.group()]
-            words = [m for m in words if "'" not in m.group() and "’" not in m.group()]
-            if not words:
-                continue
-            tokens = [m.group().replace("­", "") for m in words]
             # The two halves of a broken word are judged as one, at the line where it begins.
-            if i in skip_first and tokens:
-                words, tokens = words[1:], tokens[1:]
-            if i in self.hyphen and tokens:
+            if i in skip_first and words:
+                words = words[1:]
+            if i in self.hyphen and words:
                 left, right, _ = self.hyphen[i]
                 whole = (left + right).lower()
                 if whole not in lexicon.counts and lexicon.meant(whole) and (left + right)[:1].islower():
                     self.repairs.setdefault(i, []).append((words[-1].start(), len(line), lexicon.meant(whole)[0]))
-                words, tokens = words[:-1], tokens[:-1]
-            flat, spans, names = [], [], []
-            for m, t in zip(words, tokens, strict=True):
-                parts = [t] if t.lower() in lexicon.counts or "-" not in t else t.split("-")
-                at = m.start()
-                if len(parts) > 1 and any(not p for p in parts):
-                    parts = [t]
-                for p in parts:
-                    first = start or (m.start() > 0 and bool(re.search(r"[.!?:;\"“(]\W*$", line[: m.start()])))
-                    flat.append(p)
-                    spans.append((at, at + len(p)))
-                    names.append(p[:1].isupper() and not first)
-                    at += len(p) + 1
+                words = words[:-1]
+            for m in words:
+                token = m.group()
+                parts = [(0, token)] if token.lower() in lexicon.counts else [(p.start(), p.group()) for p in re.finditer(r"[^-'’]+", token)]
+                first = start or (m.start() > 0 and bool(re.search(r"[.!?:;\"“(]\W*$", line[: m.start()])))
+                for at, part in parts:
+                    flat.append(part.replace("­", ""))
+                    spans.append((i, m.start() + at, m.start() + at + len(part)))
+                    names.append(part[:1].isupper() and not first)
                 start = False
             start = bool(_STOP.search(line))
-            # Only stretches around doubtful tokens, or around neighbours that form a word, have a choice.
-            low = [f.lower() for f in flat]
-            open_ = [lexicon.doubtful(w) for w in low]
-            for k in range(1, len(low)):
-                if lexicon.union(low[k - 1], low[k]):
-                    open_[k - 1] = open_[k] = True
-            at = 0
-            while at < len(flat):
-                if not open_[at]:
-                    at += 1
-                    continue
-                a, b = max(0, at - 1), min(len(flat), at + 2)
-                while b < len(flat) and open_[b - 1]:
-                    b += 1
-                for x, y, fixed in decode(flat[a:b], lexicon, names[a:b]):
-                    gap = line[spans[a + x][1] : spans[a + y - 1][0]] if y - x > 1 else ""
-                    if y - x > 1 and gap.strip():
-                        continue  # a mark stands between them
-                    self.repairs.setdefault(i, []).append((spans[a + x][0], spans[a + y - 1][1], fixed))
-                at = b
+        joins = [self._joined(x, y) for x, y in zip(spans, spans[1:], strict=False)] + [False]
+        prior = 0.0 if self.hyphen or any(self.furniture) else UNTOUCHED
+        # Only stretches around doubtful tokens, or around neighbours that form a word, have a choice.
+        low = [f.lower() for f in flat]
+        open_ = [lexicon.doubtful(w) for w in low]
+        for k in range(1, len(low)):
+            if joins[k - 1] and lexicon.union(low[k - 1], low[k]):
+                open_[k - 1] = open_[k] = True
+        at = 0
+        while at < len(flat):
+            if not open_[at]:
+                at += 1
+                continue
+            a, b = max(0, at - 1), min(len(flat), at + 2)
+            while b < len(flat) and open_[b - 1]:
+                b += 1
+            for x, y, fixed in decode(flat[a:b], lexicon, names[a:b], joins[a:b], prior):
+                (i, begin, _), (j, _, end) = spans[a + x], spans[a + y - 1]
+                if i == j:
+                    self.repairs.setdefault(i, []).append((begin, end, fixed))
+                else:
+                    self.repairs.setdefault(i, []).append((begin, len(self.lines[i]), fixed))
+                    self.taken[j] = spans[a + y - 1][1:]
+            at = b
+
+    def _joined(self, x: tuple[int, int, int], y: tuple[int, int, int]) -> bool:
+        """Whether only white space, or a line break within a paragraph, is between two tokens."""
+        (i, _, end), (j, begin, _) = x, y
+        if i == j:
+            return not self.lines[i][end:begin].strip()
+        if self.lines[i][end:].strip() or self.lines[j][:begin].strip() or re.match(r"\s*#{1,6}\s", self.lines[i]) or self._next(i) != j:
+            return False
+        between = range(i + 1, j)
+        return not between or any(self.furniture[k] for k in between)
 
     def found(self) -> list[tuple[int, str]]:
         """``(line number from 1, kind)`` of everything found."""
@@ -429,7 +439,11 @@ class Page:
                 if a in done:
                     continue
                 done.add(a)
+                if i in self.taken and a == self.taken[i][0]:
+                    continue
                 line = line[:a] + (words[:1].upper() + words[1:] if line[a : a + 1].isupper() else words) + line[b:]
+            if i in self.taken:
+                line = line[self.taken[i][1] :].lstrip()
             fixed.append(line)
         for i, (_, right, j) in sorted(self.hyphen.items(), reverse=True):
             head = fixed[i].rstrip()

@@ -271,3 +271,9 @@ def test_a_word_that_also_stands_bare_is_no_abbreviation():
     texts = ["We like metrics more.\n\nThey read metrics. Then they go on.\n\nIt ends here."] * 40 + ["They met Xyz. Smith.\n\nIt ends here."] * 40
     model = sentences.fit(texts)
     assert model.ends["metrics."] >= 2.0 and model.ends["Xyz."] < 0
+
+
+def test_every_line_is_decoded_over_line_ends_and_without_other_traces():
+    page = scans.Page("The good debug\nger widens the explicit rcview\nunder load.\n\nThe reviev's load.", _lexicon())
+    assert page.found() == [(1, "misread"), (2, "misread"), (5, "misread")]
+    assert page.text() == "The good debugger widens the explicit review under load.\n\nThe review's load."
