@@ -123,7 +123,7 @@ def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
     groups = graph.components(links).withColumnRenamed("node", "cid")
     return (
-        members.join(texts.select("cid", "class"), "class")
+        members.join(texts.select("cid", "class").hint("merge"), "class")
         .join(ends, "cid", "left")
         .join(groups, "cid", "left")
         .select("object_id", F.coalesce("component", "cid").alias("group_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

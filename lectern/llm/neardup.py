@@ -9,8 +9,13 @@ each text is sampled without them, and a text of which they make up more than ``
 k-mers too.  Any other pair has enough common k-mers outside of them: two texts of similarity 0.75 with scattered
 changes share about 0.63 of their triples, of which at most ``PHRASED`` may be frequent.
 
-Candidates are verified by a banded alignment, whose matches bound the common words from below, and those that it
-leaves open (moved sentences) by counting their common words.
+Candidates are verified by a banded alignment: its matches are words common to both texts in the same order, and only
+the words that it leaves over on either side (those of moved sentences) are then counted against each other.  Taking a
+matched word from both sides lowers the smaller count by one, so the two numbers add up to the exact common words,
+whatever the band.
+
+A signature shared by very many texts is a hot key of one sort-merge join, which adaptive execution splits on both
+sides; neither words nor signatures are ever broadcast.
 
 Texts with the same words are one class from the start, so a text copied into a third of all records is one text here.
 """
@@ -43,7 +48,9 @@ PHRASED = 1 / 3
 SHORT, SHORTISH = 8, 12
 #: Texts whose k-mers are counted together; a phrase counts where half its share is reached.
 CHUNK = 20_000
+#: Half the width of the alignment's band; rows of bands that are in memory together.
 BAND = 8
+CELLS = 100_000
 
 _U = np.uint64
 
@@ -182,7 +189,7 @@ def phrases(texts: DataFrame, share: float = FREQUENT) -> DataFrame:
             yield counted()
 
     counts = texts.select("words").mapInPandas(run, "kmer bigint, n bigint").groupBy("kmer").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") > max(FEW, share * n)).select("kmer")
+    return counts.where(F.col("n") > 1 + share * n).select("kmer")
 
 
 def signed(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -212,31 +219,45 @@ def signed(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     return texts.select("cid", "words").mapInPandas(run, "sig bigint, cid bigint")
 
 
-def aligned(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND) -> np.ndarray:
-    """Matches of a banded alignment of each pair of word sequences: their longest common subsequence within the band.
+def aligned(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Banded alignment of each pair of word sequences: the number of matches, and the words left over on either side.
 
-    All pairs advance together, one row of the band at a time.
+    The matches are a longest common subsequence within the band.  All pairs advance together, one row of the band at
+    a time, and are traced back together.
     """
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    rows, width = int(n.max(initial=0)), 2 * band + 1
-    left = np.full((len(a), rows), -1, dtype=np.int64)
-    right = np.full((len(a), rows + 2 * band + 1), -2, dtype=np.int64)
+    n, m = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    pairs, rows, width = len(a), int(n.max(initial=0)), 2 * band + 1
+    left = np.full((pairs, rows), -1, dtype=np.int64)
+    right = np.full((pairs, rows + 2 * band + 1), -2, dtype=np.int64)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        left[i, : len(x)] = x
+        left[i, : len(x)] = (x.astype(np.int64) << 1) + 1
         y = y[: rows + band + 1]
-        right[i, band : band + len(y)] = y
-    score = np.zeros((len(a), width), dtype=np.int16)
-    result = np.zeros(len(a), dtype=np.int64)
+        right[i, band : band + len(y)] = (y.astype(np.int64) << 1) + 1
+    scores = np.zeros((rows + 1, pairs, width), dtype=np.int32)
     for r in range(rows):
         # Cell (r, c) of the band is row r, column r + c - band.
-        up = np.zeros_like(score)
-        up[:, :-1] = score[:, 1:]
-        diagonal = score + (left[:, r : r + 1] == right[:, r : r + width])
-        score = np.maximum.accumulate(np.maximum(up, diagonal), axis=1)
-        ended = n == r + 1
-        if ended.any():
-            result[ended] = score[ended].max(axis=1)
-    return result
+        up = np.zeros_like(scores[r])
+        up[:, :-1] = scores[r][:, 1:]
+        diagonal = scores[r] + (left[:, r : r + 1] == right[:, r : r + width])
+        scores[r + 1] = np.maximum.accumulate(np.maximum(up, diagonal), axis=1)
+    every = np.arange(pairs)
+    used_a, used_b = np.zeros((pairs, rows), dtype=bool), np.zeros((pairs, rows + 2 * band + 1), dtype=bool)
+    matches = scores[n, every, width - 1].astype(np.int64)
+    value, cell = matches.copy(), np.full(pairs, width - 1)
+    for r in range(rows, 0, -1):
+        live = (n >= r) & (value > 0)
+        if not live.any():
+            continue
+        # Scores grow with the column: the first cell of this score is where it was reached.
+        cell = np.where(live, (scores[r] < value[:, None]).sum(axis=1), cell)
+        came = live & (left[:, r - 1] == right[every, r - 1 + cell]) & (scores[r - 1][every, cell] + 1 == value)
+        used_a[came, r - 1] = True
+        used_b[came, (r - 1 + cell)[came]] = True
+        value -= came
+        cell = np.where(live & ~came, np.minimum(cell + 1, width - 1), cell)
+    over_a = [x[~used_a[i, : len(x)]] for i, x in enumerate(a)]
+    over_b = [np.concatenate([y[: rows + band + 1][~used_b[i, band : band + min(len(y), rows + band + 1)]], y[rows + band + 1 :]]) for i, y in enumerate(b)]
+    return matches, over_a, over_b
 
 
 def common_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -269,30 +290,27 @@ def similar(texts: DataFrame, threshold: float) -> DataFrame:
     frequent = phrases(texts).toPandas()["kmer"].to_numpy(dtype=np.int64)
     sigs = signed(texts, frequent)  # both sides of the join read one exchange
     pairs = (
-        sigs.alias("x").join(sigs.alias("y"), "sig").where("x.cid < y.cid").selectExpr("x.cid AS a", "y.cid AS b").distinct()
+        sigs.alias("x").hint("merge").join(sigs.alias("y"), "sig").where("x.cid < y.cid").selectExpr("x.cid AS a", "y.cid AS b").distinct()
     )
-    named = texts.select("cid", "words")
+    named = texts.select("cid", "words").hint("merge")  # the size of arrays is estimated too low for a choice by size
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 4000):
-                pdf = whole.iloc[at : at + 4000]
-                x, y = list(pdf["wa"]), list(pdf["wb"])
-                na, nb = np.array([len(w) for w in x]), np.array([len(w) for w in y])
-                both = na + nb
-                # sim >= t  <=>  common >= t / (1 + t) * (na + nb)
-                need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-                common = np.zeros(len(pdf), dtype=np.int64)
-                sure = np.zeros(len(pdf), dtype=bool)
-                possible = np.minimum(na, nb) >= need
-                for group in np.array_split(np.flatnonzero(possible)[np.argsort(na[possible])], max(1, possible.sum() // 500)):
-                    if len(group):
-                        sure[group] = aligned([x[i] for i in group], [y[i] for i in group]) >= need[group]
-                check = np.flatnonzero(possible)
-                if len(check):
-                    common[check] = common_words([x[i] for i in check], [y[i] for i in check])
-                keep = (sure | (common >= need)) & possible
-                yield pd.DataFrame({"a": pdf["a"][keep], "b": pdf["b"][keep], "similarity": (common / (both - common))[keep]})
+        for pdf in batches:
+            x, y = list(pdf["wa"]), list(pdf["wb"])
+            na, nb = np.array([len(w) for w in x], dtype=np.int64), np.array([len(w) for w in y], dtype=np.int64)
+            both = na + nb
+            # sim >= t  <=>  common >= t / (1 + t) * (na + nb)
+            need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+            common = np.zeros(len(pdf), dtype=np.int64)
+            possible = np.flatnonzero(np.minimum(na, nb) >= need)
+            possible = possible[np.argsort(na[possible], kind="stable")]
+            # Pairs of like length go together, so many that their bands stay small in memory.
+            for group in _groups(na[possible], CELLS):
+                some = possible[group]
+                matches, over_a, over_b = aligned([x[i] for i in some], [y[i] for i in some])
+                common[some] = matches + common_words(over_a, over_b)
+            keep = (common >= need) & (both > 0)
+            yield pd.DataFrame({"a": pdf["a"][keep], "b": pdf["b"][keep], "similarity": (common / np.maximum(1, both - common))[keep]})
 
     full = pairs.join(named.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(
         named.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b"
@@ -300,6 +318,17 @@ def similar(texts: DataFrame, threshold: float) -> DataFrame:
     return full.select("a", "b", "wa", "wb").mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
+def _groups(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of ascending sizes whose number times the largest stays within ``most``, one member at least."""
+    at = 0
+    while at < len(sizes):
+        end = at + 1
+        while end < len(sizes) and (end + 1 - at) * sizes[end] <= most:
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
 def pairs(records: DataFrame, key: str, columns: list[str], threshold: float) -> DataFrame:
     """``(key_a, key_b, similarity)``: all pairs of different records that are similar enough, the smaller key first.
 
@@ -307,8 +336,8 @@ def pairs(records: DataFrame, key: str, columns: list[str], threshold: float) ->
     """
     members, texts = classes(records, key, columns)
     found = durable(similar(texts, threshold), "similar")
-    ids = texts.select("cid", "class")
-    named = members.join(ids, "class").select("cid", key)
+    ids = texts.select("cid", "class").hint("merge")
+    named = members.join(ids, "class").select("cid", key).hint("merge")
     # Only classes with several members pair within themselves.
     several = named.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("similarity"))
     links = found.unionByName(several)

@@ -55,7 +55,7 @@ def test_a_large_group_of_near_copies_keeps_its_links(spark):
     assert got == {(f"g{i:03d}", f"g{j:03d}") for i in range(60) for j in range(i + 1, 60)}
 
 
-def test_banded_alignment_bounds_common_words():
+def test_banded_alignment_and_its_leftovers_make_up_the_common_words():
     rng = random.Random(1)
     a = [np.array([rng.randrange(12) for _ in range(rng.randint(1, 30))]) for _ in range(80)]
     b = [np.array([rng.randrange(12) for _ in range(rng.randint(1, 30))]) for _ in range(80)]
@@ -68,11 +68,17 @@ def test_banded_alignment_bounds_common_words():
                 row.append(max(row[-1], last[j], last[j - 1] + (u == v)))
         return row[-1]
 
-    wide = neardup.aligned(a, b, band=40)
+    wide, _, _ = neardup.aligned(a, b, band=40)
     assert wide.tolist() == [lcs(x, y) for x, y in zip(a, b)]
     common = neardup.common_words(a, b)
     assert common.tolist() == [sum((Counter(x.tolist()) & Counter(y.tolist())).values()) for x, y in zip(a, b)]
-    assert (neardup.aligned(a, b) <= common).all()
+    for band in (0, 2, 8, 40):
+        matches, over_a, over_b = neardup.aligned(a, b, band)
+        assert [len(x) - len(o) for x, o in zip(a, over_a)] == matches.tolist() == [len(x) - len(o) for x, o in zip(b, over_b)]
+        moved = neardup.common_words(over_a, over_b)
+        assert (matches + moved).tolist() == common.tolist()
+        # Without the alignment the leftovers alone are too few.
+        assert (moved < common).any()
 
 
 def test_components_equal_union_find(spark):
