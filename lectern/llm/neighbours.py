@@ -32,6 +32,11 @@ SHARD = 4_000
 SAMPLE = 40_000
 #: Shards that each vector is stored in and searched in.
 PROBES = 2
+#: A shard that receives more than this many times ``SHARD`` rows gets pivots of its own, in so many rounds; what no
+#: pivots can part is cut at random, and each part answers all of the shard's queries.
+MOST, ROUNDS = 4, 6
+#: Cells of the table of nodes that the queries of a batch have seen; it sets the size of a batch.
+SEEN = 50_000_000
 #: Edges of a node, width of a beam, relaxation of the pruning.
 DEGREE = 24
 BEAM = 40
@@ -90,12 +95,16 @@ class Graph:
             self._connect(self.entries, self.entries[near])
         # Batches grow with what is already connected, so a search always meets most of the graph.
         while at < n:
-            batch = order[at : at + max(16, min(at, 2048))]
+            batch = order[at : at + min(max(16, at), self.batch())]
             visited: list[np.ndarray] = []
             ids, _ = self.search(self.data[batch], beam, beam, visited=visited)
             self._connect(batch, np.concatenate([ids, *visited], axis=1))
             at += len(batch)
 
+    def batch(self, most: int = 2048) -> int:
+        """How many queries to search for at once."""
+        return max(1, min(most, SEEN // max(1, len(self.data))))
+
     def search(self, queries: np.ndarray, k: int, beam: int, width: int = 4, visited: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the ``k`` best found for each query, best first, -1 where there are fewer.
 
@@ -109,9 +118,8 @@ class Graph:
         begin = queries @ self.data[self.entries].T
         best = np.argpartition(-begin, starts - 1, axis=1)[:, :starts]
         ids[:, :starts], sims[:, :starts], done[:, :starts] = self.entries[best], np.take_along_axis(begin, best, axis=1), False
-        seen = np.zeros((q, n), dtype=bool) if q * n <= 50_000_000 else None
-        if seen is not None:
-            np.put_along_axis(seen, self.entries[best], True, axis=1)
+        seen = np.zeros((q, n), dtype=bool)
+        np.put_along_axis(seen, self.entries[best], True, axis=1)
         live = np.arange(q)
         while len(live):
             waiting = np.where(done[live], -9.0, sims[live])
@@ -123,20 +131,16 @@ class Graph:
                 break
             done[live[:, None], pick] = True
             nodes = np.where(ready, ids[live[:, None], pick], -1)
-            if visited is not None and len(visited) < 6:
+            if visited is not None:
                 log = np.full((q, width), -1, dtype=np.int32)
                 log[live] = nodes
                 visited.append(log)
             near = np.where(nodes[:, :, None] >= 0, self.edges[nodes], -1).reshape(len(live), -1)
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            if seen is not None:
-                fresh = (near >= 0) & ~seen[live[:, None], near]
-                rows, cols = np.nonzero(fresh)
-                seen[live[rows], near[rows, cols]] = True
-            else:
-                fresh = (near >= 0) & ~(near[:, :, None] == ids[live][:, None, :]).any(axis=2)
-                rows, cols = np.nonzero(fresh)
+            fresh = (near >= 0) & ~seen[live[:, None], near]
+            rows, cols = np.nonzero(fresh)
+            seen[live[rows], near[rows, cols]] = True
             got = np.full(near.shape, -9.0, dtype=np.float32)
             got[rows, cols] = np.einsum("ij,ij->i", queries[live[rows]], self.data[near[rows, cols]])
             all_sims = np.concatenate([sims[live], got], axis=1)
@@ -212,43 +216,100 @@ def _kept(lower: np.ndarray, upper: np.ndarray, rank: np.ndarray, k: int) -> np.
 
 
 def _shard_answers(k: int, beam: int):
-    """Answers of one shard: ``(query, node, lower, upper)`` for the queries routed to it; the bounds of the cosine of
-    any two of their vectors, at six decimals."""
+    """Answers of one shard, or of one part of it: ``(node, near, lower, upper)`` for the rows that ask, out of the rows
+    that are held; the bounds of the cosine of any two of their vectors, at six decimals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node", ignore_index=True)
         raw = np.stack(pdf["vector"].to_numpy()).astype("f8")
-        exact = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        names, radius = pdf["node"].to_numpy(), pdf["radius"].to_numpy()
-        rank = pdf["first"].rank(method="first").to_numpy().astype("int64")
-        graph = Graph(unit(raw), seed=3 + int(pdf["shard"].iloc[0]))
-        out: list[pd.DataFrame] = []
+        every = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        node, spread = pdf["node"].to_numpy(), pdf["radius"].to_numpy()
+        held, asked = pdf["held"].to_numpy(), np.flatnonzero(pdf["asked"].to_numpy())
+        exact, names, radius = every[held], node[held], spread[held]
+        rank = pdf["first"][held].rank(method="first").to_numpy().astype("int64")
+        out: list[pd.DataFrame] = [pd.DataFrame({"node": node[:0], "near": node[:0], "lower": spread[:0], "upper": spread[:0]})]
+        if not len(exact):
+            return out[0]
+        graph = Graph(unit(raw[held]), seed=3 + int(pdf["shard"].iloc[0]))
 
         def bounds(queries: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            spread = radius[queries][:, None] + radius[ids]
-            absent = (ids < 0) | (ids == queries[:, None])
-            return tuple(np.where(absent, -9.0, np.round(x, 6)) for x in (sims - spread, sims + spread))
+            around = spread[queries][:, None] + radius[ids]
+            absent = (ids < 0) | (names[ids] == node[queries][:, None])
+            return tuple(np.where(absent, -9.0, np.round(x, 6)) for x in (sims - around, sims + around))
 
         def keep(queries: np.ndarray, ids: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
             rows, cols = np.nonzero(_kept(lower, upper, rank[ids], k))
-            out.append(pd.DataFrame({"node": names[queries[rows]], "near": names[ids[rows, cols]], "lower": lower[rows, cols], "upper": upper[rows, cols]}))
+            out.append(pd.DataFrame({"node": node[queries[rows]], "near": names[ids[rows, cols]], "lower": lower[rows, cols], "upper": upper[rows, cols]}))
 
-        for start in range(0, len(exact), 2048):
-            queries = np.arange(start, min(start + 2048, len(exact)))
-            ids, near = graph.search(graph.data[queries], max(beam, k + 1), max(beam, k + 1))
-            lower, upper = bounds(queries, ids, np.einsum("ij,icj->ic", exact[queries], exact[ids]))
+        step = graph.batch()
+        for start in range(0, len(asked), step):
+            queries = asked[start : start + step]
+            ids, near = graph.search(every[queries].astype(np.float32), max(beam, k + 1), max(beam, k + 1))
+            lower, upper = bounds(queries, ids, np.einsum("ij,icj->ic", every[queries], exact[ids]))
             # Where the last of a full beam may still tie with the k-th, others may too: all of the shard is compared.
             kth = -np.sort(-lower, axis=1)[:, k - 1]
-            open_ = (ids[:, -1] >= 0) & (near[:, -1] + radius[queries] + radius.max() + 2e-6 >= kth)
+            open_ = (ids[:, -1] >= 0) & (near[:, -1] + spread[queries] + radius.max() + 2e-6 >= kth)
             keep(queries[~open_], ids[~open_], lower[~open_], upper[~open_])
             for some in np.array_split(queries[open_], -(-open_.sum() // 256)) if open_.any() else ():
                 all_ids = np.broadcast_to(np.arange(len(exact)), (len(some), len(exact)))
-                keep(some, all_ids, *bounds(some, all_ids, exact[some] @ exact.T))
+                keep(some, all_ids, *bounds(some, all_ids, every[some] @ exact.T))
         return pd.concat(out)
 
     return run
 
 
+def _nearest_pivots(vectors: pd.Series, pivots: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest pivots of each vector, in no order."""
+    m = min(probes, len(pivots))
+    near = unit(np.stack(vectors.to_numpy())) @ pivots.T
+    return np.argpartition(-near, m - 1, axis=1)[:, :m].astype("int32")
+
+
+def fitted_shards(nodes: DataFrame, shard: int, probes: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots, and into how many parts the shard of each must be cut at random.
+
+    Pivots are fitted on at most ``sample`` rows; then every row is routed and counted, and a shard that receives more
+    than ``MOST * shard`` rows is given pivots of its own, fitted on at most ``sample`` rows of such shards.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    rows = nodes.select("vector").sample(min(1.0, 1.2 * sample / max(1, n)), seed=11).limit(sample).toPandas()
+    if not len(rows):
+        rows = nodes.select("vector").limit(sample).toPandas()
+    pivots = fit_pivots(unit(np.stack(rows["vector"].to_numpy())), -(-n // shard))
+    for at in range(rounds + 1):
+        shared = spark.sparkContext.broadcast(pivots)
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    ids, n = np.unique(_nearest_pivots(pdf["vector"], shared.value, probes), return_counts=True)
+                    yield pd.DataFrame({"shard": ids, "n": n.astype("int64")})
+
+        sizes = nodes.select("vector").mapInPandas(count, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n"))
+        over = sizes.where(F.col("n") > MOST * shard).toPandas().sort_values("shard", ignore_index=True)
+        parts = np.ones(len(pivots), dtype=np.int64)
+        if not len(over) or at == rounds:
+            parts[over["shard"]] = -(-over["n"] // (MOST * shard // 2))
+            return pivots, parts
+        wanted = spark.sparkContext.broadcast(over["shard"].to_numpy())
+
+        def crowded(batches: Iterator[pd.DataFrame], shared=shared, wanted=wanted) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    owner = _nearest_pivots(pdf["vector"], shared.value, 1)[:, 0]
+                    kept = np.isin(owner, wanted.value)
+                    yield pd.DataFrame({"shard": owner[kept], "vector": pdf["vector"][kept]})
+
+        within = nodes.select("vector").sample(min(1.0, 1.2 * sample / over["n"].sum()), seed=12 + at).mapInPandas(crowded, "shard int, vector array<float>").limit(sample).toPandas()
+        new = [pivots[np.setdiff1d(np.arange(len(pivots)), within["shard"])]]
+        for owner, group in within.groupby("shard"):
+            size = int(over["n"][over["shard"] == owner].iloc[0])
+            new.append(fit_pivots(unit(np.stack(group["vector"].to_numpy())), -(-size // shard), seed=5 + at))
+        pivots = np.concatenate(new)
+    raise AssertionError
+
+
 def nearest(points: DataFrame, k: int = 10, size: int = 64, probes: int = PROBES, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """``(point_id, neighbour_id, sim, rank)``: the ``k`` most similar other points of each usable point.
 
@@ -261,39 +322,39 @@ def nearest(points: DataFrame, k: int = 10, size: int = 64, probes: int = PROBES
     rows = durable(usable(points, size).withColumn("node", _direction("vector")).withColumn("raw", F.xxhash64("vector")), "usable")
     variants = durable(rows.groupBy("node", "raw").agg(F.min("point_id").alias("first"), F.min_by("vector", "point_id").alias("vector")), "variants")
     nodes = variants.groupBy("node").agg(F.min_by("vector", "first").alias("vector"), F.min("first").alias("first"), F.count("*").alias("n"))
-    several = nodes.where("n > 1").select("node", F.col("vector").alias("centre"))
+    several = nodes.where("n > 1").select("node", F.col("vector").alias("centre")).hint("merge")
     radii = variants.join(several, "node").groupBy("node").agg(F.max(_apart("vector", "centre")).alias("radius"))
     nodes = durable(nodes.join(radii, "node", "left").select("node", "vector", "first", F.coalesce("radius", F.lit(0.0)).alias("radius")), "nodes")
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "point_id string, neighbour_id string, sim double, rank int")
-    fraction = min(1.0, 1.2 * SAMPLE / n)
-    sample = nodes.select("vector").sample(fraction, seed=11).limit(SAMPLE).toPandas()
-    if not len(sample):
-        sample = nodes.select("vector").limit(SAMPLE).toPandas()
-    n_pivots = -(-n // shard)
-    pivots = fit_pivots(unit(np.stack(sample["vector"].to_numpy())), n_pivots)
-    # At most as many pivots as the sample has rows: its size bounds the broadcast.
-    shared = spark.sparkContext.broadcast(pivots)
+    # At most a quarter as many pivots as the sample has rows, which bounds the broadcast; beyond that shards grow.
+    shared = spark.sparkContext.broadcast(fitted_shards(nodes, max(shard, -(-4 * n // SAMPLE)), probes))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots = shared.value
-        m = min(probes, len(pivots))
+        pivots, parts = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            near = unit(np.stack(pdf["vector"].to_numpy())) @ pivots.T
-            best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            yield pd.DataFrame({
-                "shard": best.ravel().astype("int32"),
-                "node": np.repeat(pdf["node"].to_numpy(), m),
-                "vector": np.repeat(pdf["vector"].to_numpy(), m),
-                "first": np.repeat(pdf["first"].to_numpy(), m),
-                "radius": np.repeat(pdf["radius"].to_numpy(), m),
-            })
-
-    routed = nodes.mapInPandas(route, "shard int, node bigint, vector array<float>, first string, radius double")
-    proposals = routed.groupBy("shard").applyInPandas(_shard_answers(k, beam), "node bigint, near bigint, lower double, upper double")
+            best = _nearest_pivots(pdf["vector"], pivots, probes)
+            row, owner = np.repeat(np.arange(len(pdf)), best.shape[1]), best.ravel()
+            part, chunk = np.zeros(len(row), dtype="int32"), np.zeros(len(row), dtype="int32")
+            held = asked = np.ones(len(row), dtype=bool)
+            if (parts[owner] > 1).any():
+                # Held in one part beside every chunk of queries, and asked in every part within one chunk.
+                own = (pdf["node"].to_numpy()[row] & 0x7FFFFFFF) % parts[owner]
+                cells = [[(o, j) for j in range(p)] + [(i, o) for i in range(p) if i != o] for o, p in zip(own, parts[owner], strict=True)]
+                times = np.array([len(c) for c in cells])
+                part, chunk = np.array([x for c in cells for x in c], dtype="int32").T
+                row, owner, own = np.repeat(row, times), np.repeat(owner, times), np.repeat(own, times)
+                held, asked = part == own, chunk == own
+            frame = pdf[["node", "vector", "first", "radius"]].iloc[row].reset_index(drop=True)
+            yield frame.assign(shard=owner, part=part, chunk=chunk, held=held, asked=asked)
+
+    routed = nodes.select("node", "vector", "first", "radius").mapInPandas(
+        route, "node bigint, vector array<float>, first string, radius double, shard int, part int, chunk int, held boolean, asked boolean"
+    )
+    proposals = routed.groupBy("shard", "part", "chunk").applyInPandas(_shard_answers(k, beam), "node bigint, near bigint, lower double, upper double")
     best = W.partitionBy("node").orderBy(F.desc("lower"))
     # A proposal serves both of its ends; all that may tie with the k-th stay until ids are compared.
     proposals = durable(proposals, "answers")
@@ -303,8 +364,8 @@ def nearest(points: DataFrame, k: int = 10, size: int = 64, probes: int = PROBES
     proposals = durable(proposals.where("least IS NULL OR upper >= least").drop("rn", "least"), "proposals")
     settled = proposals.where("lower = upper").select("node", "near", F.col("lower").alias("sim"))
     # Where vectors of the two nodes may differ in a sixth decimal, each is compared with each.
-    a = variants.select("node", F.col("raw"), F.col("vector").alias("va"))
-    b = variants.select(F.col("node").alias("near"), F.col("raw").alias("near_raw"), F.col("vector").alias("vb"))
+    a = variants.select("node", F.col("raw"), F.col("vector").alias("va")).hint("merge")
+    b = variants.select(F.col("node").alias("near"), F.col("raw").alias("near_raw"), F.col("vector").alias("vb")).hint("merge")
     open_ = proposals.where("lower < upper").select("node", "near").join(a, "node").join(b, "near").select("node", "raw", "near", "near_raw", _cosine("va", "vb").alias("sim"))
     # The first members of each node, for the nodes that name it and for itself.
     first = W.partitionBy("node").orderBy("point_id")

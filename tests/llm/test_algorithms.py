@@ -213,3 +213,32 @@ def test_initials_are_no_titles():
 def test_alignment_permits_initials_and_refuses_clashes():
     assert names.align(["c", "r"], ["cosmo", "r"]) > 0 == names.align(["c", "x"], ["cosmo", "r"])
     assert names.one_edit("abcd", "abdc") and names.one_edit("abc", "abxc") and not names.one_edit("abc", "abc") and not names.one_edit("abcd", "badc")
+
+
+def _brute_neighbours(points, k):
+    ids = np.array([p for p, _ in points])
+    rows = np.array([v for _, v in points], dtype="float64")
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    sims = np.round(rows @ rows.T, 6)
+    np.fill_diagonal(sims, -9)
+    return {(ids[i], ids[j]) for i in range(len(ids)) for j in np.lexsort((ids, -sims[i]))[:k]}
+
+
+def test_crowded_shards_get_pivots_of_their_own_or_are_cut_into_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    # One dense region of 26 close groups, beside scattered vectors.
+    dense = rng.normal(size=64) * 3 + np.repeat(rng.normal(size=(26, 64)) * 0.3, 10, axis=0) + rng.normal(size=(260, 64)) * 0.03
+    points = [(f"p{i:03d}", [float(np.float32(x)) for x in v]) for i, v in enumerate(np.concatenate([dense, rng.normal(size=(60, 64))]))]
+    df = spark.createDataFrame(points, "point_id string, vector array<float>")
+    truth = _brute_neighbours(points, 5)
+    nodes = df.select("vector")
+    pivots, parts = neighbours.fitted_shards(nodes, 20, 2)
+    assert len(pivots) > 320 // 20 and (parts == 1).all()
+    found = {tuple(r)[:2] for r in neighbours.nearest(df, 5, shard=20).collect()}
+    assert len(found & truth) >= 0.8 * len(truth)
+    # Pivots that cannot part a region: the shard is cut at random, and its parts answer every query.
+    monkeypatch.setattr(neighbours, "fit_pivots", lambda sample, n, **_: sample[:1])
+    pivots, parts = neighbours.fitted_shards(nodes, 20, 2)
+    assert len(pivots) == 1 and parts.tolist() == [8]
+    found = {tuple(r)[:2] for r in neighbours.nearest(df, 5, shard=20).collect()}
+    assert len(found & truth) >= 0.99 * len(truth)
