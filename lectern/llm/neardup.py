@@ -91,7 +91,7 @@ def _kmers(words: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _label(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Number of occurrence of each k-mer within its text, from 0."""
-    order = np.lexsort((np.arange(len(h)), h, doc))
+    order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]
     at = np.arange(len(h))
     new = np.ones(len(h), dtype=bool)
@@ -174,8 +174,11 @@ def phrases(texts: DataFrame, share: float = FREQUENT) -> DataFrame:
 
         def counted() -> pd.DataFrame:
             h, doc = _kmers(*_flat(pd.concat(held)), K)
-            once = np.unique(np.stack([h.view(np.int64), doc]), axis=1)[0] if len(h) else np.zeros(0, dtype=np.int64)
-            kmer, texts_with = np.unique(once, return_counts=True)
+            order = np.argsort(h, kind="stable")  # the texts of a k-mer stay in order
+            h, doc = h[order].view(np.int64), doc[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            kmer, texts_with = np.unique(h[new], return_counts=True)
             often = texts_with >= max(2, share / 2 * size)
             return pd.DataFrame({"kmer": kmer[often], "n": texts_with[often].astype("int64")})
 
