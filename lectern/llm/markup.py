@@ -1,13 +1,21 @@
 """Foreign markup in documents: finding it, and turning documents into clean text.
 
-A scanner cuts a document into words, breaks and tags of HTML, wiki, LaTeX and (where it is foreign) Markdown.  Every
-element scores: a word positive, a tag negative, by log odds learned from labelled pages.  One linear scan finds the
-contiguous region with the highest sum (Ruzzo and Tompa's maximum-scoring subsequence); what lies before and behind it
-is page furniture and goes.  The region is written out as clean text that keeps headings, lists, code and formulas.
+A scanner cuts a document into words, breaks, elements of HTML, wiki, LaTeX and (where it is foreign) Markdown, and signs
+that only look like them.  Every element scores: a word positive, a tag negative, by log odds learned from labelled
+pages (``LABELLED``), in which the markup is set between brackets.  One linear scan finds the contiguous span with the
+highest sum (Ruzzo and Tompa's maximum-scoring subsequence), twice:
+
+* over the negated scores, in which markup is positive and words are negative: a document holds markup if and only if
+  its best span has a positive sum; what the labelled pages show as content (comparisons, prices, generic types, paths,
+  a mark of emphasis without partner) never makes one;
+* over the scores of a document with markup: what lies before and behind its best span is page furniture and goes.
+
+The span is written out as clean text that keeps headings, lists, code and formulas.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -55,8 +63,8 @@ _SHARED = [
     ("texescape", r"\\[%&#_{}$](?![A-Za-z]:)|~(?=\\(?:cite|ref)\b)"),
     ("wikihead", r"(?m:^(?P<eq>={2,6})[ \t]*(?=[^=\s])[^\n]*?[^=\s][ \t]*(?P=eq)[ \t]*$)"),
     ("wikitable", r"(?sm:^\{\|.*?^\|\})"),
-    ("template", r"(?s:\{\{(?!\{)[^{}]{1,400}\}\})"),
-    ("wikilink", r"\[\[[^\[\]\n]{1,300}\]\]"),
+    ("template", r"(?s:\{\{(?!\{)[^{}]+\}\})"),
+    ("wikilink", r"\[\[[^\[\]\n]+\]\]"),
     ("extlink", r"\[(?:https?|ftp)://[^\s\]]+(?:[ ][^\]\n]*)?\]"),
     ("quotes", r"'{2,5}(?=[^'\s])|(?<=[^'\s])'{2,5}"),
     ("wikiword", r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|INDEX|NOINDEX)__"),
@@ -67,7 +75,7 @@ _MARKDOWN = [
     ("mdrule", r"(?m:^[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$)"),
     ("mdlist", r"(?m:^[ \t]*(?:[-+*][ \t]+(?:\[[ xX]\][ \t]+)?|\d{1,3}[.)][ \t]+|[*#:;]{1,4}[ \t]+)(?=\S))"),
     ("mdquote", r"(?m:^[ ]{0,3}>[ \t]?)"),
-    ("footnote", r"\[\^[^\]\s]{1,40}\]:?"),
+    ("footnote", r"\[\^[^\]\s]+\]:?"),
     ("image", r"!\[[^\]\n]*\]\([^()\s]*(?:[ ]\"[^\"\n]*\")?\)"),
     ("link", r"\[[^\[\]\n]+\]\((?:#|/|\.|https?:|mailto:|[\w-]+[./#])?[^()\s]*(?:[ ]\"[^\"\n]*\")?\)|\[[^\[\]\n]+\]\[[^\[\]\n]*\]|<https?://[^>\s]+>"),
     ("strong", r"(?<![\w*])\*{1,3}(?=[^\s*])(?=[^*\n]*[^\s*]\*{1,3}(?![\w*]))|(?<=[^\s*])\*{1,3}(?![\w*])"),
@@ -75,6 +83,15 @@ _MARKDOWN = [
     ("strike", r"~~(?=\S)|(?<=\S)~~"),
     ("codespan", r"(?P<tick>`{1,2})(?!`)[^\n]+?(?<!`)(?P=tick)(?!`)"),
 ]
+# Signs that only look like markup; the labelled pages tell that they are content.
+_ALIKE = [
+    ("angle", r"</?[A-Za-z][^<>\s]*>|[<>]=?"),
+    ("amp", r"&"),
+    ("dollar", r"\$\d*"),
+    ("backslash", r"\\[A-Za-z]*"),
+    ("bracket", r"[\[{]{1,2}|[\]}]{1,2}"),
+    ("sign", r"[*_~`#|=]+"),
+]
 _TEXT = [("break", r"\n[ \t]*\n\s*|\n"), ("word", r"[^\W_]+(?:['’_-][^\W_]+)*"), ("other", r"[ \t]+|(?s:.)")]
 
 
@@ -83,7 +100,7 @@ _FIRST = r"(?:(?=[<&\\${\[='_~`*#>|!])|(?m:^)(?=[ \t\-+:;\d`~]))"
 
 def _scanner(kinds: list[tuple[str, str]], words: bool = False) -> re.Pattern:
     """One pattern over all kinds; without words it skips characters that begin no markup."""
-    body = "|".join(f"(?P<k_{k}>{p})" for k, p in kinds + (_TEXT if words else []))
+    body = "|".join(f"(?P<k_{k}>{p})" for k, p in kinds + _ALIKE + (_TEXT if words else []))
     return re.compile(body if words else f"{_FIRST}(?:{body})")
 
 
@@ -95,74 +112,151 @@ MAYBE_ANY = MAYBE_FOREIGN + r"|[*_~`#>|]|\[\^|\]\(|\]\[|(?m:^[ \t]*(?:[-+*:;=]|\
 _PAIRED = {"k_quotes", "k_strong", "k_under", "k_strike"}
 
 
-def kinds(text: str | None, markdown: bool) -> list[str]:
-    """The kinds of markup found, in order; ``markdown`` tells whether Markdown counts.
-
-    Fenced code is genuine content: nothing inside counts, and the fence itself only where Markdown does.
-    """
-    found = []
-    for m in (ANY if markdown else FOREIGN).finditer(text or ""):
-        kind = next(k for k, v in m.groupdict().items() if v is not None and k.startswith("k_"))
-        if markdown or kind != "k_code":
-            found.append(kind)
-    # A mark of emphasis that meets no partner is a sign of prose.
-    alone = {k for k in _PAIRED if found.count(k) == 1}
-    return [k[2:] for k in found if k not in alone]
-
-
-# --- the content region -----------------------------------------------------------------------------------------
-
-#: Structure that neither helps nor hurts a region.
-_NEUTRAL = {"mdhead", "mdlist", "break", "other"}
-#: Structure that stays in the text and counts as the words it holds.
-_HOLDING = {"code", "pre", "verbatim", "math", "mathenv", "inline", "wikihead", "texhead", "wikitable", "wikilink", "link", "extlink", "codespan"}
+def _elements(text: str, markdown: bool, words: bool) -> list[tuple[str, int, int]]:
+    """Elements of a text as (kind, start, end); a mark of emphasis that meets no partner is just a ``sign``."""
+    scanner = (_ANY_WORDS if markdown else _FOREIGN_WORDS) if words else (ANY if markdown else FOREIGN)
+    found = [(m.lastgroup, m.start(), m.end()) for m in scanner.finditer(text) if m.lastgroup != "k_other"]
+    names = [k for k, _, _ in found]
+    alone = {k for k in _PAIRED if names.count(k) == 1}
+    return [("sign" if k in alone else k[2:], a, b) for k, a, b in found]
 
 
 def elements(text: str, markdown: bool) -> list[tuple[str, int, int]]:
     """Every element of a text as (kind, start, end), words and breaks included."""
-    out = []
-    for m in (_ANY_WORDS if markdown else _FOREIGN_WORDS).finditer(text):
-        kind = next(k for k, v in m.groupdict().items() if v is not None and k.startswith("k_"))
-        if kind != "k_other":
-            out.append((kind[2:], m.start(), m.end()))
-    return out
+    return _elements(text, markdown, True)
+
+
+# --- weights from labelled pages ---------------------------------------------------------------------------------
+
+# Labelled pages: what stands between the brackets is markup, all else is content.
+LABELLED = (
+    "The ⟦<b>⟧scheduler⟦</b>⟧ picks the next ⟦<i>⟧runnable⟦</i>⟧ task.⟦<br/>⟧ Others wait their turn.",
+    "⟦<p>⟧A lock is held⟦</p>⟧ ⟦<ul>⟧⟦<li>⟧by one owner⟦</li>⟧⟦<li>⟧for a short time⟦</li>⟧⟦</ul>⟧",
+    "Tea ⟦&amp;⟧ coffee cost less than 3⟦&nbsp;⟧euros⟦&hellip;⟧ ⟦<!-- check the price -->⟧",
+    "⟦<style>p { margin: 0 }</style>⟧ Readers see only this. ⟦<pre>x = 1</pre>⟧ ⟦<script>run()</script>⟧",
+    "⟦<!-- nav -->⟧ ⟦<div>⟧The index is rebuilt every night⟦&#8212;⟧or so we hope.⟦</div>⟧ ⟦<pre>make all</pre>⟧",
+    "⟦\\section{Caches}⟧ A cache ⟦\\emph⟧{evicts} old entries, see ⟦\\ref⟧{fig}. ⟦\\item⟧ The cost is ⟦$n^2$⟧.",
+    "⟦\\begin{itemize}⟧ ⟦\\item⟧ small pages ⟦\\item⟧ large pages ⟦\\end{itemize}⟧ and {⟦\\bf⟧ bold} words, 5⟦\\%⟧ of all.",
+    "The sum ⟦$$a + b = c$$⟧ holds, and so does ⟦\\(x^2\\)⟧ or ⟦\\begin{equation}y = 2x\\end{equation}⟧ at once.",
+    "⟦\\begin{verbatim}ls -l\\end{verbatim}⟧ lists files; 3⟦\\&⟧4 are ⟦{\\it ⟧odd}. ⟦\\subsection{Limits}⟧ None. ⟦$x_1$⟧",
+    "⟦== History ==⟧\nThe ⟦'''⟧kernel⟦'''⟧ began as a ⟦[[hobby]]⟧ project.⟦{{citation needed}}⟧ ⟦[[Category:Systems]]⟧",
+    "⟦__TOC__⟧ See ⟦[https://example.org the manual]⟧ for ⟦''⟧details⟦''⟧.\n⟦{|\n! a !! b\n|-\n| 1 || 2\n|}⟧\n⟦=== Use ===⟧\nIt is used ⟦{{as of|2020}}⟧ daily.",
+    # Content that looks like markup.
+    "If a < b and c > d then a <= d, but x >= y does not follow from x < y.",
+    "A List<String> or Map<K> holds T&lt values; f<T> and <unset> are no tags, AT&T & Co. is a firm.",
+    "It costs $5 or $7, rarely $12; R&D took $3 of each $9 and Q&A took $2.",
+    "The file C:\\temp\\new lies beside D:\\data\\old and \\srv\\share, as arr[0] and {x} and [a] do.",
+    "Set snake_case_name and MAX_SIZE, then 2 * 3 * 4 = 24, C# or F#, a | b, x != y, ~5 pages, and don't stop!",
+    "It's rock 'n' roll: {a, b} is a set, [1, 2] is a list; item #1 of 10 is *the best, they say. 3 * 4.",
+    "The readers' notes say so! Really! A path like a/b or a\\b, a flag |x|, a rate of ~3, an id #7 and a [sic].",
+)
+LABELLED_MARKDOWN = (
+    "⟦# ⟧Caches\n\nA cache is ⟦**⟧fast⟦**⟧ and ⟦*⟧small⟦*⟧.\n\n⟦- ⟧hits\n⟦- ⟧misses\n\n⟦> ⟧Measure first.",
+    "⟦## ⟧Limits\n\n⟦1. ⟧time\n⟦2. ⟧space\n\n⟦---⟧\n\nSee ⟦[the manual](https://example.org/m)⟧ and ⟦![plan](plan.png)⟧.⟦[^1]⟧",
+    "Use ⟦`ls -l`⟧ or ⟦~~⟧nothing⟦~~⟧, with ⟦_⟧care⟦_⟧ and ⟦__⟧love⟦__⟧.\n\n⟦```sh\nls\n```⟧\n\n⟦[^1]:⟧ A note.",
+    "⟦| ⟧a | b |\n⟦|---|---|⟧\n| 1 | 2 |\n\n⟦```\nmake\n```⟧\n\n⟦* ⟧one\n⟦* ⟧two\n⟦> ⟧quoted\n\n⟦***⟧\n",
+)
+#: Where Markdown is the document's own form, fenced code is its content.
+LABELLED_OWN = ("Run this:\n```sh\nmake all\n```\nThen that:\n~~~\nls\n~~~\nand then\n```\nend\n```\nor\n```\nx\n```\nor\n```\ny\n```\n",)
+
+
+def read_labels(page: str) -> tuple[str, list[tuple[int, int]]]:
+    """A labelled page as its text and the spans of its content."""
+    text, spans, since, at = [], [], 0, 0
+    for part in re.split("([⟦⟧])", page):
+        if part == "⟦":
+            spans.append((since, at))
+        elif part == "⟧":
+            since = at
+        else:
+            text.append(part)
+            at += len(part)
+    return "".join(text), [*spans, (since, at)]
 
 
 def learn_weights(pages: list[tuple[str, list[tuple[int, int]]]], markdown: bool = True) -> dict[str, float]:
-    """Log odds of each kind of element from labelled pages: (text, spans that are content)."""
+    """Log odds of being content of each kind of element, from labelled pages: (text, spans that are content).
+
+    A kind that no page shows stands under ``""``: it leans to where fewer elements are.
+    """
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for text, spans in pages:
-        for kind, start, _ in elements(text, markdown):
-            where = inside if any(a <= start < b for a, b in spans) else outside
+        for kind, start, end in elements(text, markdown):
+            where = inside if any(a <= start and end <= b for a, b in spans) else outside
             where[kind] = where.get(kind, 0) + 1
     n, m = sum(inside.values()), sum(outside.values())
-    every = set(inside) | set(outside)
-    return {
-        k: 0.0 if k in _NEUTRAL | _HOLDING else math.log((inside.get(k, 0) + 1) / (n + len(every))) - math.log((outside.get(k, 0) + 1) / (m + len(every)))
-        for k in every
-    }
+    every = set(inside) | set(outside) | {""}
+    return {k: math.log((inside.get(k, 0) + 1) / (n + len(every))) - math.log((outside.get(k, 0) + 1) / (m + len(every))) for k in every}
 
 
-#: Weights before any page is labelled; learned weights take their place kind by kind.
-PRIOR = {"word": 1.0, "dropped": -30.0, "comment": -1.0, "tag": -1.2, "template": -0.5}
+@functools.cache
+def fitted(markdown: bool) -> dict[str, float]:
+    """The weights of the labelled pages."""
+    pages = [*LABELLED, *(LABELLED_MARKDOWN if markdown else LABELLED_OWN)]
+    return learn_weights([read_labels(p) for p in pages], markdown)
 
 
-def region(text: str, markdown: bool, weights: dict[str, float] | None = None) -> tuple[int, int]:
-    """The contiguous span with the highest sum of scores, widened to whole lines; the whole text if it has no word."""
-    weights = PRIOR | (weights or {})
-    best, best_span = 0.0, (0, len(text))
+def best_span(scores: Iterator[tuple[float, int, int]]) -> tuple[float, int, int]:
+    """The contiguous run of scored elements (score, start, end) with the highest sum: (sum, start, end), in one scan."""
+    best = (0.0, 0, 0)
     total, since = 0.0, 0
-    for kind, start, end in elements(text, markdown):
+    for score, start, end in scores:
         if total <= 0:
             total, since = 0.0, start
-        if kind in _HOLDING:
-            total += weights["word"] * max(1, len(re.findall(r"[^\W_]+", text[start:end])))
-        else:
-            total += 0.0 if kind in _NEUTRAL else weights.get(kind, -0.3)
-        if total > best:
-            best, best_span = total, (since, end)
-    a, b = best_span
+        total += score
+        if total > best[0]:
+            best = (total, since, end)
+    return best
+
+
+def kinds(text: str | None, markdown: bool, weights: dict[str, float] | None = None) -> list[str]:
+    """The kinds of markup of a text, in order; none unless some span of it scores as markup.
+
+    ``markdown`` tells whether Markdown counts.  Words, of which nothing is asked but their number, are counted as the
+    blanks between elements.
+    """
+    if not text:
+        return []
+    weights = weights or fitted(markdown)
+    found = _elements(text, markdown, False)
+    word, unseen = weights.get("word", 0.0), weights[""]
+
+    def scored() -> Iterator[tuple[float, int, int]]:
+        last = 0
+        for kind, start, end in found:
+            yield -word * text.count(" ", last, start), last, start
+            yield -weights.get(kind, unseen), start, end
+            last = end
+
+    if best_span(scored())[0] <= 0:
+        return []
+    return [k for k, _, _ in found if weights.get(k, unseen) < 0]
+
+
+# --- the content region -----------------------------------------------------------------------------------------
+
+#: Structure that neither helps nor hurts a region; what is dropped from the text anyway is none of its content.
+_NEUTRAL = {"mdhead", "mdlist", "break", "dropped", "comment"}
+#: Structure that stays in the text and counts as the words it holds.
+_HOLDING = {"code", "pre", "verbatim", "math", "mathenv", "inline", "wikihead", "texhead", "wikitable", "wikilink", "link", "extlink", "codespan"}
+
+
+def region(text: str, markdown: bool, weights: dict[str, float] | None = None) -> tuple[int, int]:
+    """The contiguous span with the highest sum of scores, widened to whole lines; the whole text if it has no word."""
+    weights = weights or fitted(markdown)
+    word, unseen = weights.get("word", 0.0), weights[""]
+
+    def scored() -> Iterator[tuple[float, int, int]]:
+        for kind, start, end in elements(text, markdown):
+            if kind in _HOLDING:
+                yield word * max(1, len(re.findall(r"[^\W_]+", text[start:end]))), start, end
+            elif kind not in _NEUTRAL:
+                yield weights.get(kind, unseen), start, end
+
+    total, a, b = best_span(scored())
+    if total <= 0:
+        return 0, len(text)
     return text.rfind("\n", 0, a) + 1, (text.find("\n", b) + len(text) + 1) % (len(text) + 1) or len(text)
 
 
@@ -203,7 +297,7 @@ def to_text(text: str, markdown: bool) -> str:
         return f"\x00{len(kept) - 1}\x00"
 
     def first(m: re.Match) -> str:
-        kind = next(k for k, v in m.groupdict().items() if v is not None and k.startswith("k_"))[2:]
+        kind = m.lastgroup[2:]
         s = m.group()
         if kind == "code":
             return keep(s)
@@ -271,8 +365,8 @@ def to_text(text: str, markdown: bool) -> str:
 
 def clean(text: str | None, markdown: bool, weights: dict[str, float] | None = None) -> tuple[list[str], str | None]:
     """The kinds of markup of a text and its clean form; a text without markup stays as it is."""
-    found = kinds(text, markdown)
-    if not text or not found:
+    found = kinds(text, markdown, weights)
+    if not found:
         return [], text
     a, b = region(text, markdown, weights)
     return sorted(set(found)), to_text(text[a:b].replace("\x00", ""), markdown)
