@@ -1,13 +1,16 @@
 """Detecting texts that were cut at a field limit or in transfer, in SQL alone.
 
-A JSON answer is whole if it parses, fenced or not.  A text that ends like prose, a list, a table, a formula or a note
-is judged by evidence from the whole corpus: the word trigrams that stand at sentence ends inside texts are counted
-against those at the ends of texts, and a final trigram that is frequent inside but almost never final (as after an
-abbreviation) marks a cut, as does a text that ends at no such place.  Final list items and headings, which carry no
-full stop, are judged in the same way by the words that end items and headings inside texts.  A trailing mark of
-omission is taken off first; it leaves a text whole only if the trigram before it is one that really ends texts.
-
-Every count runs over all texts.  Numbers in trigrams are folded to one digit.
+A JSON answer is whole if it parses, fenced or not.  Ends of prose are judged by trigrams: every word trigram of every
+text is counted where it stands inside and where it stands at an end, and the final trigram of a text is joined to
+both counts.  One that is frequent inside but almost never final marks a cut.  Rates have a prior: after a full stop a
+trigram nobody has seen says nothing (as many ends as not), while one without a full stop is an ending only if it ends
+a fixed share of all texts.  List items, headings and notes, which carry no full stop, are judged in the same way by
+their last word: how often it ends items and sentences, against its other uses.  A trailing mark of omission is taken
+off first; it leaves a text whole only if the trigram before it ends such a share of the texts with a mark.
+
+The closing of tables, tags, formulas and code, which no trigram can tell, is seen by its form; such ends are whole.
+Every count runs over all texts that are no JSON.  Numbers in trigrams are folded to one digit, and trigrams are
+counted by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 from lectern.session import durable
 from lectern.sources import table
 
-#: A trigram seen so often inside texts, and in so small a part of its places at their end, does not end a text.
-INSIDE = 20
+#: Least share of a trigram's places that must be ends of texts; for the last word of an item the same among its uses.
 FINAL_SHARE = 0.02
+ITEM_SHARE = 0.002
+#: Share of all ends that a trigram without a full stop must make up to be an ending.
+ENDING_SHARE = 0.0002
 
 #: Where the texts are: table, key, text, model.
 SOURCES = (
@@ -33,7 +38,6 @@ SOURCES = (
 )
 
 _CLOSERS = "[\"\\'”’»)\\\\]*_]*"
-_TRIGRAM = rf"(?<![^\\s])(?=(\\S+\\s+\\S+\\s+\\S*[.!?…]{_CLOSERS})\\s)"
 _ITEM = r"(?m)^[ \\t]*(?:[-*+•]|\\(?\\d+[.)]|#+|\\\\item)[ \\t]+[^\\n]*?(\\S+)[ \\t]*\\n"
 
 _BLANK = "' \\t\\n\\r\\f\\u000b\\u0085\\u00a0\\u1680\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000'"
@@ -41,6 +45,8 @@ _BLANK = "' \\t\\n\\r\\f\\u000b\\u0085\\u00a0\\u1680\\u2000\\u2001\\u2002\\u2003
 _MARKS = ("[...]", "(...)", "[…]", "(…)", "...", "…", "(cut)", "[cut]", "(truncated)", "[truncated]", "(continued)", "[continued]")
 _MARK_LENGTH = "CASE " + " ".join(f"WHEN endswith(whole, '{m}') THEN {len(m)}" for m in _MARKS) + " ELSE 0 END"
 
+_JSON = r'^\\s*(```[a-zA-Z]*\\s*)?(\\[\\s*[{"\\]]|\\{\\s*["}]|\\[\\s*$|\\{\\s*$|null$)'
+
 # What one text says about its own end.  Ends are cut off by plain string functions: a pattern tied to the end of a
 # text would be tried from each of its characters.
 _SHAPE = rf"""
@@ -54,7 +60,7 @@ SELECT tbl, rec_id, model, line,
     WHEN line RLIKE '^[ ]{{0,3}}(```|~~~)[ \\t]*$' THEN 'whole'
     WHEN endswith(body, '|') AND line RLIKE '^[ \\t]*\\|' OR line = '|}}' THEN 'whole'
     WHEN endswith(body, '=') AND line RLIKE '^[ \\t]*(=+)[^=].*[^=]\\1$' THEN 'whole'
-    WHEN line RLIKE '^[ \\t]*\\[\\^[^\\]]+\\]:[ \\t]*\\S' THEN 'whole'
+    WHEN line RLIKE '^[ \\t]*\\[\\^[^\\]]+\\]:[ \\t]*\\S' THEN 'item'
     WHEN endswith(body, '>') AND line RLIKE '(?i)</(p|div|section|article|li|ul|ol|blockquote|table|tr|td|th|h[1-6]|pre|main|body|html)\\s*>$|<(br|hr|img)\\b[^>]*>$|-->$' THEN 'whole'
     WHEN endswith(body, '}}') AND line RLIKE '\\\\end\\{{[^}}]*\\}}$|\\\\(sub)*(section|paragraph|chapter)\\*?\\{{[^}}]*\\}}$|^[ \\t]*\\{{\\{{.*\\}}\\}}$' THEN 'whole'
     WHEN endswith(body, '\\]') OR endswith(body, '\\)') THEN 'whole'
@@ -62,7 +68,7 @@ SELECT tbl, rec_id, model, line,
     WHEN endswith(body, '$$') AND size(split(body, '\\$\\$', -1)) % 2 = 1 THEN 'whole'
     WHEN line RLIKE '^[ \\t]*(\\*\\*|__)[^*_]+(\\*\\*|__)$' THEN 'whole'
     WHEN line RLIKE '^[ \\t]*([-*+•]|\\(?\\d+[.)]|#+|\\\\item)[ \\t]+\\S' THEN 'item'
-    ELSE 'cut'
+    ELSE 'bare'
   END AS shape,
   regexp_replace(substring_index(translate(body, '\n\t', '  '), ' ', -3), '\\d+', '9') AS trigram, word
 FROM (
@@ -70,7 +76,7 @@ FROM (
     SELECT *, substring_index(body, '\n', -1) AS line FROM (
       SELECT *, IF(mark = 0, whole, trim(TRAILING {_BLANK} FROM left(whole, length(whole) - mark))) AS body FROM (
         SELECT *, {_MARK_LENGTH} AS mark,
-          whole RLIKE '^\\s*(```[a-zA-Z]*\\s*)?(\\[\\s*[{{"\\]]|\\{{\\s*["}}]|\\[\\s*$|\\{{\\s*$|null$)' AS json_like
+          whole RLIKE '{_JSON}' AS json_like
         FROM (SELECT tbl, rec_id, model, trim(TRAILING {_BLANK} FROM text) AS whole FROM :texts WHERE text RLIKE '[^\\s\\p{{Z}}]')
       )
     )
@@ -78,34 +84,41 @@ FROM (
 )
 """
 
+# Hashes of what stands inside texts: trigrams (t), words as they are (u), and words that end sentences or items (f).
 _INSIDE = rf"""
 SELECT key, count(*) AS inside FROM (
   SELECT explode(concat(
-    transform(regexp_extract_all(text, '{_TRIGRAM}', 1), x -> concat('t ', regexp_replace(regexp_replace(x, '\\s+', ' '), '\\d+', '9'))),
-    transform(regexp_extract_all(text, '{_ITEM}', 1), x -> concat('i ', x)))) AS key
-  FROM :texts WHERE text RLIKE '[^\\s\\p{{Z}}]'
+    IF(n > 3, transform(slice(w, 3, n - 3), (x, i) -> xxhash64('t', w[i], w[i + 1], x)), array()),
+    IF(n > 1, transform(slice(w, 1, n - 1), x -> xxhash64('u', x)), array()),
+    IF(n > 1, transform(filter(slice(w, 1, n - 1), x -> right(x, 1) IN ('.', '!', '?', '…', ':')), x -> xxhash64('f', trim(TRAILING '.!?…:' FROM x))), array()),
+    transform(regexp_extract_all(text, '{_ITEM}', 1), x -> xxhash64('f', regexp_replace(x, '\\d+', '9')))
+  )) AS key
+  FROM (SELECT text, w, size(w) AS n FROM (
+    SELECT text, split(trim({_BLANK} FROM regexp_replace(text, '\\d+', '9')), '\\s+') AS w FROM :texts
+    WHERE text RLIKE '[^\\s\\p{{Z}}]' AND NOT (text RLIKE '{_JSON}')
+  ))
 ) GROUP BY key
 """
 
-# A word that stands before a full stop inside texts may also end an item.
-_WORDS = r"""
-SELECT key, sum(inside) AS inside FROM (
-  SELECT key, inside FROM :counted
-  UNION ALL
-  SELECT concat('i ', regexp_extract(key, '([\\w\\p{L}-]+)[^\\w\\p{L}]*\\z', 1)), inside FROM :counted WHERE startswith(key, 't ')
-) GROUP BY key
+_KEYS = r"""
+SELECT tbl, rec_id, model, shape, ends, marks, ask.kind, ask.key FROM (
+  SELECT *, CASE WHEN shape = 'item' THEN array(struct('f' AS kind, xxhash64('f', folded) AS key), struct('u' AS kind, xxhash64('u', folded) AS key))
+    ELSE array(struct('t' AS kind, xxhash64('t', get(t, 0), get(t, 1), get(t, 2)) AS key)) END AS asks
+  FROM (SELECT s.*, split(trigram, ' +') AS t, regexp_replace(word, '\\d+', '9') AS folded, ends, marks FROM :shapes s JOIN :ends e USING (trigram))
+) LATERAL VIEW explode(asks) AS ask
 """
 
 _JUDGED = """
-SELECT tbl, rec_id, model,
-  CASE shape
-    WHEN 'whole' THEN false
-    WHEN 'cut' THEN true
-    WHEN 'stop' THEN coalesce(inside, 0) >= {inside} AND ends < {share} * (inside + ends)
-    WHEN 'mark' THEN NOT (ends > 1 AND coalesce(inside, 0) < ends)
-    ELSE coalesce(inside, 0) < 1
+SELECT tbl, rec_id, model, CASE first(shape)
+    WHEN 'stop' THEN (first(ends) - 0.5) / (max(t) + first(ends)) < {share}
+    WHEN 'item' THEN (max(f) + 0.001) / (max(f) + max(u) + 1) < {item}
+    WHEN 'mark' THEN (first(marks) - 1) / (max(t) + first(marks) - 1 + {weak}) < {share}
+    ELSE (first(ends) - 1) / (max(t) + first(ends) - 1 + {strong}) < {share}
   END AS cut
-FROM :shapes JOIN :ends USING (key) LEFT JOIN :insides USING (key)
+FROM (
+  SELECT tbl, rec_id, model, shape, ends, marks, IF(kind = 't', coalesce(inside, 0), 0) AS t, IF(kind = 'f', coalesce(inside, 0), 0) AS f, IF(kind = 'u', coalesce(inside, 0), 0) AS u
+  FROM :asked LEFT JOIN :insides USING (key)
+) GROUP BY tbl, rec_id, model
 """
 
 
@@ -130,22 +143,22 @@ def gather(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def judge(texts: DataFrame, inside: int = INSIDE, share: float = FINAL_SHARE) -> DataFrame:
+def judge(texts: DataFrame, share: float = FINAL_SHARE, item: float = ITEM_SHARE, ending: float = ENDING_SHARE) -> DataFrame:
     """``(tbl, rec_id, model, cut)`` once for every record with a text; null and blank texts are left out.
 
     The texts themselves are read twice and never shuffled: what moves are the last trigrams and the counts, which
     are summed up before they are exchanged.  A record delivered twice counts once.
     """
-    shapes = _sql(_SHAPE, texts=texts).selectExpr(
-        "tbl", "rec_id", "model", "shape",
-        "CASE WHEN shape = 'item' THEN concat('i ', word) ELSE concat('t ', regexp_replace(trigram, '\\\\s+', ' ')) END AS key",
-    )
+    shapes = _sql(_SHAPE, texts=texts).selectExpr("tbl", "rec_id", "model", "shape", "regexp_replace(trigram, '\\\\s+', ' ') AS trigram", "word")
     shapes = durable(shapes.distinct(), "shapes")
     settled = shapes.where("shape IN ('whole', 'cut')").selectExpr("tbl", "rec_id", "model", "shape = 'cut' AS cut")
     open_ = shapes.where("shape NOT IN ('whole', 'cut')")
-    ends = open_.groupBy("key").agg(F.count("*").alias("ends"))
-    insides = _sql(_WORDS, counted=durable(_sql(_INSIDE, texts=texts), "inside"))
-    judged = _sql(_JUDGED.format(inside=int(inside), share=float(share)), shapes=open_, ends=ends, insides=insides)
+    ends = open_.groupBy("trigram").agg(F.count("*").alias("ends"), F.count_if(F.col("shape") == "mark").alias("marks"))
+    # The prior of a trigram without a full stop: one that ends this share of all texts, and another one, outweighs it.
+    n = open_.count()
+    strong, weak = (1 + ending * n) / share, (0.5 + ending * n) / share
+    asked = _sql(_KEYS, shapes=open_, ends=ends)
+    judged = _sql(_JUDGED.format(share=float(share), item=float(item), strong=float(strong), weak=float(weak)), asked=asked, insides=_sql(_INSIDE, texts=texts))
     return settled.unionByName(judged)
 
 

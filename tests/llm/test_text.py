@@ -126,6 +126,24 @@ def test_cut_texts(spark):
     assert {r["tbl"] for r in rate} == {"chapters", "llm_responses"}
 
 
+def test_ends_without_a_stop_are_judged_by_trigrams_and_items_by_their_words(spark):
+    texts = [(f"a{i}", f"We look at the plan of the day {i} first. Then we look at the load. It all ends well.") for i in range(60)]
+    texts += [(f"s{i}", f"A note on point {i} says little. Kindly yours the editors") for i in range(40)]
+    texts += [
+        ("item", "Two points:\n\n- we look at the load"),
+        ("cutitem", "Two points:\n\n- we look at the"),
+        ("fragment", "Two points:\n\n- we look at the loa"),
+        ("note", "It ends well.\n\n[^1]: See what the load"),
+        ("cutnote", "It ends well.\n\n[^1]: See what the"),
+        ("bare", "Then we look at the"),
+    ]
+    df = spark.createDataFrame([(k, "chapters", "m", x) for k, x in texts], "rec_id string, tbl string, model string, text string")
+    judged = lambda **kw: {r["rec_id"] for r in truncation.judge(df, **kw).where("cut").collect()}
+    assert judged() == {"cutitem", "fragment", "cutnote", "bare"}
+    # Without the evidence of the closing's trigram every text that ends in it would count as cut.
+    assert judged(ending=1.0) == {"cutitem", "fragment", "cutnote", "bare"} | {f"s{i}" for i in range(40)}
+
+
 # --- p2 ---
 
 
@@ -165,6 +183,21 @@ def test_region_drops_furniture_of_tags_and_learns_weights():
     assert weights["word"] > 0 > weights["tag"]
 
 
+def test_labelled_pages_decide_what_is_markup():
+    text = "a <b>bold</b> word and a \\emph{stressed} one"
+    assert set(markup.kinds(text, False)) == {"tag", "command"}
+    # Where the pages show tags as content, they are none.
+    shown = [("see <b>it</b> and <i>this</i>", [(0, 28)])] * 9 + [("a \\emph{b} c", [(0, 2), (8, 11)])] * 9
+    assert markup.kinds(text, False, markup.learn_weights(shown, False)) .count("tag") == 0
+    marked = [(t, []) for t in ("if a < b", "x <y> z", "p > q")]
+    plain = [("plain words go here and on and on", [(0, 33)])]
+    assert markup.kinds("so a < b holds", False, markup.learn_weights(marked + plain, False)) == ["angle"]
+    page, spans = markup.read_labels("see ⟦<b>⟧it⟦</b>⟧ now")
+    assert page == "see <b>it</b> now" and [page[a:b] for a, b in spans] == ["see ", "it", " now"]
+    long = "{{infobox\n" + "| field = some value\n" * 200 + "}}\nText."
+    assert "template" in markup.kinds(long, False)
+
+
 def test_cleaned_handles_edges(spark):
     df = spark.createDataFrame([(1, "a <b>c</b>", 9), (1, "a <b>c</b>", 9), (2, None, 8), (3, "", 7), (4, "<p>" + "word " * 200000 + "</p>", 6)], "id bigint, body string, kinds bigint")
     rows = {r["rec_id"]: r for r in markup.cleaned(df, "id", "body", True).collect()}
