@@ -3,9 +3,14 @@
 Each distinct spelling is read into a kind, a family name or an organisation's own name (the anchor), and further
 words.  Tokens that differ by one edit meet in a symmetric-delete index (a token and all its forms with one letter
 less); the rarer one is taken for a misspelling of the far more frequent one.  Nicknames are learned from spellings
-that quote them and completed from a small list.  Spellings with full names are then grouped by their repaired words;
-those with initials are aligned to the full names of the same anchor by an optimal assignment of words, and linked to
-the one entity that fits.  Only distinct tokens and spellings are ever joined; books meet the finished map.
+that quote them and completed from a small list.  Names in reverse order without a comma are turned where both of their
+words mostly stand in the other place.  Spellings with a full given name are then grouped by their repaired words; where
+a family has several people of one given name that differ in the middle name, those stay apart.  Spellings of initials
+and abbreviations are aligned to the full names of the same family by an optimal assignment of words, and linked to the
+one entity that fits best.
+
+Only distinct tokens and spellings are ever joined; books meet the finished map.  A token shares a form with no more
+tokens than there are letters to lose or replace, so no key of the index is hot.
 """
 
 from __future__ import annotations
@@ -13,7 +18,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,9 +73,11 @@ def read(author: str) -> tuple[str, str, list[str], str | None, str | None]:
     if quoted:
         text = text.replace(quoted[0], " ")
     text = re.sub(r"\([^)]*\)", " ", text)
-    tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)*|[,:]", text.replace("-", " "))
+    # A full stop stays with an abbreviation of a given name; initials and titles need none.
+    tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)*(?:(?<=\w\w)\.(?=\s*(?:[\w,]|$)))?|[,:]", text.replace("-", " "))
+    tokens = [t.rstrip(".") if t.rstrip(".").lower() in TITLES or t.rstrip(".").lower() in _KIND_OF or t.rstrip(".").lower() in LEGAL or t.rstrip(".").lower() in FILLERS else t for t in tokens]
     words = [t for t in tokens if t not in ",:"]
-    low = [w.lower() for w in words]
+    low = [w.lower().rstrip(".") for w in words]
     if not low or all(w in FILLERS or len(w) == 1 and not w.isalpha() for w in low):
         return "none", "", [], None, None
     if any(w in _KIND_OF for w in low) and len([w for w in low if w not in LEGAL]) > 1:
@@ -95,7 +101,7 @@ def read(author: str) -> tuple[str, str, list[str], str | None, str | None]:
     if not family or sum(map(len, family)) < 2:
         return "none", "", [], None, None
     given = [g.lower() for g in given]
-    return "person", " ".join(family).lower(), given, nickname, next((g for g in given if len(g) > 1), None)
+    return "person", " ".join(family).lower().replace(".", ""), given, nickname, next((g for g in given if len(g) > 1 and g[-1] != "."), None)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -112,29 +118,69 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i + 1 : i + 2] + b[i : i + 1] and a[i + 2 :] == b[i + 2 :])
 
 
+def assigned(scores: list[list[float]]) -> list[int]:
+    """The column of each row in the one-to-one assignment with the highest sum; no more rows than columns.
+
+    Shortest augmenting paths with potentials (the Hungarian method): any number of words, in cubic time.
+    """
+    n, m = len(scores), len(scores[0]) if scores else 0
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[at] = True
+            row, step, to = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    cost = -scores[row - 1][j - 1] - u[row] - v[j]
+                    if cost < least[j]:
+                        least[j], way[j] = cost, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+            if not owner[at]:
+                break
+        while at:
+            owner[at] = owner[way[at]]
+            at = way[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
 def align(short: list[str], full: list[str]) -> float:
     """Best assignment of the words of one name to those of another, with initials and abbreviations; 0 if one clashes.
 
-    Every word of the shorter name must fit a word of its own: equal counts 1, an initial or abbreviation 0.8.
+    Every word of the shorter name must fit a word of its own: equal counts 1, an initial or an abbreviation (with its
+    full stop) 0.8, a little less the farther it stands from the place of its word.
     """
     if len(short) > len(full):
         short, full = full, short
-    if len(full) > 6:
-        return 1.0 if short == full else 0.0
+    if not short:
+        return 0.0
 
     def fit(a: str, b: str) -> float:
         if a == b:
             return 1.0
-        a, b = sorted((a, b), key=len)
-        return 0.8 if (len(a) == 1 or len(a) >= 3) and b.startswith(a) else 0.0
+        a, b = sorted((a, b), key=lambda w: len(w.rstrip(".")))
+        return 0.8 if (len(a) == 1 or a[-1] == ".") and b.startswith(a.rstrip(".")) else 0.0
 
-    best = 0.0
-    for order in permutations(range(len(full)), len(short)):
-        scores = [fit(w, full[j]) for w, j in zip(short, order, strict=True)]
-        if scores and min(scores) > 0:
-            # Names are given in order: an assignment that crosses is a little worse.
-            best = max(best, sum(scores) / len(scores) - 0.05 * (list(order) != sorted(order)))
-    return best
+    fits = [[fit(a, b) for b in full] for a in short]
+    # A clash costs more than any other word can gain.
+    scores = [[f - 0.05 * abs(i - j) / len(full) if f else -2.0 * len(full) for j, f in enumerate(row)] for i, row in enumerate(fits)]
+    chosen = assigned(scores)
+    if any(not fits[i][j] for i, j in enumerate(chosen)):
+        return 0.0
+    return sum(scores[i][j] for i, j in enumerate(chosen)) / len(chosen)
 
 
 def repaired(tokens: DataFrame) -> DataFrame:
@@ -176,9 +222,29 @@ def entities(authors: DataFrame) -> DataFrame:
     spelled = authors.select("author").where("author is not null").distinct()
     names = durable(spelled.mapInPandas(parse, "author string, kind string, anchor string, words array<string>, nickname string, given string"), "names")
 
+    # A name without a comma whose two words mostly stand in each other's place is in reverse order.
+    roles = names.where("kind = 'person'").select(F.explode(F.array(F.struct(F.col("anchor").alias("token"), F.lit(1).alias("f")), F.struct(F.col("given").alias("token"), F.lit(0).alias("f")))).alias("r"))
+    roles = roles.select("r.*").where("token is not null").groupBy("token").agg(F.sum("f").alias("f"), F.count("*").alias("n")).withColumn("lean", 2 * F.col("f") - F.col("n"))
+    two = names.where("kind = 'person' and size(words) = 1 and given is not null and not contains(author, ',')")
+    turned = (
+        two.select("author", F.col("given").alias("new_anchor"), F.col("anchor").alias("new_given"))
+        .join(roles.select(F.col("token").alias("new_anchor"), F.col("lean").alias("a")), "new_anchor")
+        .join(roles.select(F.col("token").alias("new_given"), F.col("lean").alias("g")), "new_given")
+        .where("a > 0 and g < 0")
+        .select("author", "new_anchor", "new_given")
+    )
+    names = names.join(turned, "author", "left").withColumns(
+        {
+            "anchor": F.coalesce("new_anchor", "anchor"),
+            "words": F.when(F.col("new_given").isNotNull(), F.array("new_given")).otherwise(F.col("words")),
+            "given": F.coalesce("new_given", "given"),
+        }
+    ).drop("new_anchor", "new_given")
+    names = durable(names, "ordered")
+
     counted = lambda df: df.groupBy("token").agg(F.count("*").alias("n"))
     anchors = repaired(counted(names.where("kind = 'person'").select(F.col("anchor").alias("token"))))
-    givens = repaired(counted(names.where("kind = 'person'").select(F.explode("words").alias("token")).where("length(token) > 1")))
+    givens = repaired(counted(names.where("kind = 'person'").select(F.explode("words").alias("token")).where("length(token) > 1 and not endswith(token, '.')")))
     org_words = repaired(counted(names.where("kind = 'org'").select(F.explode("words").alias("token"))))
 
     # Nicknames quoted in spellings: a nickname with one formal name; the small list completes them.
@@ -205,25 +271,29 @@ def entities(authors: DataFrame) -> DataFrame:
         .groupBy("author").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("given"))
     )
     people = durable(people.drop("words").join(words, "author", "left").withColumn("given", F.coalesce("given", F.array().cast("array<string>"))), "people")
-    first = F.get(F.filter("given", lambda g: F.length(g) > 1), F.lit(0))
+    first = F.get(F.filter("given", lambda g: (F.length(g) > 1) & ~g.endswith(".")), F.lit(0))
     people = people.withColumn("first", F.when(F.size("given") > 0, first))
     initial = F.when(F.size("given") > 0, F.substring(F.get("given", F.lit(0)), 1, 1))
-    full = people.where("first is not null").select("author", "family", "first", "given")
-    resolved = full.select("author", F.concat_ws(" ", F.lit("person"), "family", "first").alias("entity"))
-
-    # Initials: the full name of the family that the words align with, if there is just one best.
-    known = full.groupBy("family", "first").agg(
-        F.array_join(F.array_sort(F.collect_set(F.get(F.filter("given", lambda g: F.length(g) == 1), F.lit(0)))), "").alias("middles")
-    ).withColumn("letter", F.substring("first", 1, 1))
+    middle = F.substring(F.get(F.filter("given", lambda g: g != F.col("first")), F.lit(0)), 1, 1)
+    full = people.where("first is not null").select("author", "family", "first", middle.alias("middle"))
+    # People of one name with several middle names stay apart; a spelling without one is then nobody's among them.
+    middles = full.groupBy("family", "first").agg(F.array_sort(F.collect_set("middle")).alias("middles"))
+    full = full.join(middles, ["family", "first"]).withColumn("own", F.when(F.size("middles") > 1, F.coalesce("middle", F.lit(""))))
+    named = F.concat_ws(" ", F.lit("person"), "family", "first", F.nullif("own", F.lit("")))
+    resolved = full.select("author", named.alias("entity"))
+
+    # Initials and abbreviations: the full name of the family that the words align with, if there is just one best.
+    letters = F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.array_join("middles", ""))
+    known = full.select("family", "first", letters.alias("middles"), named.alias("entity")).distinct().withColumn("letter", F.substring("first", 1, 1))
     short = people.where("first is null").select("author", "family", "given", initial.alias("letter"))
     score = F.pandas_udf(_initials_score, "double")
     fits = (
         short.select("author", "family", "given", "letter").join(known, ["family", "letter"])
         .withColumn("score", score("given", "first", "middles")).where("score > 0")
     )
-    rank = W.partitionBy("author").orderBy(F.desc("score"), "first")
+    rank = W.partitionBy("author").orderBy(F.desc("score"), "entity")
     best = fits.withColumns({"rn": F.row_number().over(rank), "next": F.lead("score").over(rank)})
-    best = best.where("rn = 1 and (next is null or next < score)").select("author", F.concat_ws(" ", F.lit("person"), "family", "first").alias("entity"))
+    best = best.where("rn = 1 and (next is null or next < score)").select("author", "entity")
     # Initials that fit no full name are an entity by family and first letter.
     alone = short.join(fits.select("author").distinct(), "author", "left_anti").select(
         "author", F.concat_ws(" ", F.lit("person"), "family", F.concat(F.coalesce("letter", F.lit("")), F.lit("."))).alias("entity")
@@ -253,7 +323,19 @@ def linked(books: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def pairs(links: DataFrame, key: str) -> DataFrame:
-    """``(key_a, key_b)``: records of one entity whose spellings differ, the smaller key first."""
-    a, b = links.alias("a"), links.alias("b")
-    out = a.join(b, "entity").where(F.col(f"a.{key}") < F.col(f"b.{key}")).where("a.author != b.author")
-    return out.select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")).distinct()
+    """``(key_a, key_b)``: records of one entity whose spellings differ, the smaller key first.
+
+    Spellings are paired first, so records that spell a name alike, however many, are never set against each other.
+    """
+    spelled = links.select("entity", "author").distinct()
+    both = (
+        spelled.select("entity", F.col("author").alias("author_a")).join(spelled.select("entity", F.col("author").alias("author_b")), "entity")
+        .where("author_a < author_b").select("author_a", "author_b")
+    )
+    records = links.select(key, "author").distinct()
+    out = (
+        both.join(records.select(F.col("author").alias("author_a"), F.col(key).alias("a")), "author_a")
+        .join(records.select(F.col("author").alias("author_b"), F.col(key).alias("b")), "author_b")
+        .where("a != b")
+    )
+    return out.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
