@@ -1,12 +1,15 @@
 """Mapping freely typed values to the entries of a reference list.
 
-All work is done on the distinct values of a field; the records only meet the finished map.  A value is folded
+All work is done on the distinct values of a field, spread over the cluster; the records only meet the finished map.
+The reference list is held in blocks of ``BLOCK`` entries, one pass over the values for each, so a list of any length
+does: mentions and scores of all blocks meet by value before anything is decided.  A value is folded
 (width, case, accents, joined words, punctuation), then
 
 1. a multi-pattern automaton over the folded names and aliases finds embedded mentions on word boundaries, of which
    the longest non-overlapping ones win; one entry mentioned decides.  A mention shorter than ``SHORT`` letters counts
    only where every other word of the value is decoration: a word seen around long mentions of several entries;
-2. what remains is compared by token-set similarity: words are aligned one to one, equal words score 1, an
+2. what remains is compared by token-set similarity with the entries that share a word up to the edits allowed (found
+   through the words' forms with letters deleted, which loses none): words are aligned one to one, equal words score 1, an
    abbreviation and a word within a small edit distance a little less; the best entry decides if it reaches ``LEAST``
    and no other entry comes within ``GAP``.
 
@@ -15,6 +18,7 @@ Anything else is reported with ``canon_id`` 0.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -28,8 +32,8 @@ from lectern.session import durable
 SHORT = 4
 LEAST = 0.72
 GAP = 0.02
-#: Entries that may come to the driver and be sent to every worker.
-MAX_ENTRIES = 200_000
+#: Entries, about, that are sent to every worker at a time.
+BLOCK = 5_000
 
 
 def fold(value: str) -> list[str]:
@@ -85,8 +89,17 @@ def token_set(words: list[str], entry: list[str]) -> float:
     return gain / whole if whole else 0.0
 
 
+def _deleted(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without up to ``most`` of its letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Matcher:
-    """The reference list of one field, ready to map values."""
+    """A reference list of one field, or a block of it, ready to map values."""
 
     def __init__(self, entries: Iterable[tuple[int, str, Iterable[str] | None]]):
         import ahocorasick
@@ -94,10 +107,8 @@ class Matcher:
         self.names: dict[str, int] = {}
         self.forms: list[tuple[int, list[str]]] = []
         self.joined: dict[str, int] = {}
-        self.decoration: frozenset[str] = frozenset()
-        self.exact: dict[str, int] = {}
+        self._near: dict[str, list[int]] | None = None
         for canon, name, aliases in sorted(entries, key=lambda e: e[0]):
-            self.exact.setdefault(name, canon)
             for form in [name, *(aliases or [])]:
                 words = fold(form or "")
                 if words:
@@ -111,68 +122,109 @@ class Matcher:
             self._automaton.make_automaton()
 
     def mentions(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """Longest non-overlapping mentions as (entry, start, length) in the joined words."""
+        """All mentions as (entry, start, length) in the joined words."""
         if not self.names:
             return []
-        text = f" {' '.join(words)} "
-        found = sorted(((n, -(end - n), canon) for end, (canon, n) in self._automaton.iter(text)), reverse=True)
-        taken: list[tuple[int, int, int]] = []
-        for n, start, canon in found:
-            start = -start - 1
-            if all(start + n <= s or s + m <= start for _, s, m in taken):
-                taken.append((canon, start, n))
-        return taken
-
-    def beside(self, value: str) -> list[tuple[str, int]]:
-        """The words that stand beside a long mention of one entry, with the entry."""
-        words = fold(value)
-        found = [m for m in self.mentions(words) if m[2] >= SHORT]
-        if len({m[0] for m in found}) != 1:
-            return []
-        return [(word, found[0][0]) for word in sorted(set(self._rest(words, found)))]
-
-    @staticmethod
-    def _rest(words: list[str], found: list[tuple[int, int, int]]) -> list[str]:
-        rest, at = [], 0
-        for word in words:
-            if not any(s <= at < s + n for _, s, n in found):
-                rest.append(word)
-            at += len(word) + 1
-        return rest
+        return [(canon, end - n - 1, n) for end, (canon, n) in self._automaton.iter(f" {' '.join(words)} ")]
 
-    def match(self, value: str) -> int:
-        """The entry meant, or 0."""
-        words = fold(value)
-        if not words:
-            return 0
-        whole = self.names.get(" ".join(words)) or self.joined.get("".join(words))
-        if whole:
-            return whole
-        found = self.mentions(words)
-        kept = [m for m in found if m[2] >= SHORT or all(w in self.decoration for w in self._rest(words, found))]
-        if kept:
-            canons = {m[0] for m in kept}
-            if len(canons) == 1:
-                return kept[0][0]
-            longest = sorted(kept, key=lambda m: -m[2])
-            return longest[0][0] if longest[0][2] > longest[1][2] else 0
+    def scores(self, words: list[str], decoration: frozenset[str]) -> list[tuple[float, int]]:
+        """The two best entries by token-set similarity, each with its score, best first."""
+        bare = [w for w in words if w not in decoration] or words
         best: dict[int, float] = {}
-        bare = [w for w in words if w not in self.decoration] or words
-        for canon, form in self.forms:
+        for at in sorted(self._candidates(words, bare)):
+            canon, form = self.forms[at]
             if sum(map(len, form)) < SHORT:
                 continue
             score = max(token_set(words, form), token_set(bare, form))
             if len(words) > 1 or len(form) > 1:
                 a, b = "".join(bare), "".join(form)
-                most = 1 if min(len(a), len(b)) < 8 else 2
+                most = _joined_edits(a, b)
                 d = edits(a, b, most)
                 if d <= most:
                     score = max(score, 1 - d / max(len(a), len(b)))
             best[canon] = max(best.get(canon, 0.0), score)
-        order = sorted(best.items(), key=lambda e: -e[1])
-        if not order or order[0][1] < LEAST or (len(order) > 1 and order[0][1] - order[1][1] < GAP):
-            return 0
+        return sorted(((score, canon) for canon, score in best.items() if score > 0), key=lambda e: (-e[0], e[1]))[:2]
+
+    def match(self, value: str, decoration: frozenset[str] = frozenset()) -> int:
+        """The entry meant by a value, where this matcher holds the whole list, or 0."""
+        words = fold(value)
+        whole = self.names.get(" ".join(words)) or self.joined.get("".join(words))
+        if whole or not words:
+            return whole or 0
+        canon = mentioned(value, self.mentions(words), decoration)
+        return closest(self.scores(words, decoration)) if canon is None else canon
+
+    def _candidates(self, words: list[str], bare: list[str]) -> set[int]:
+        """Forms with a word that is like one of the value's, or that are like it as a whole; no other scores above 0."""
+        if self._near is None:
+            self._near = {}
+            self._longest = max((sum(map(len, f)) for _, f in self.forms), default=0), max((len(w) for _, f in self.forms for w in f), default=0)
+            for at, (_, form) in enumerate(self.forms):
+                keys = {f"j{k}" for k in _deleted("".join(form), 2 if sum(map(len, form)) >= 8 else 1)}
+                for word in form:
+                    keys |= {f"w{k}" for k in _deleted(word, 2 if len(word) >= 6 else 1)}
+                    keys |= {f"p{word[:n]}" for n in range(3, len(word))}
+                for key in keys:
+                    self._near.setdefault(key, []).append(at)
+        asked: set[str] = set()
+        if sum(map(len, bare)) <= self._longest[0] + 2:
+            asked = {f"j{k}" for k in _deleted("".join(bare), 2 if sum(map(len, bare)) >= 8 else 1)}
+        for word in words:
+            if len(word) > self._longest[1] + 2:
+                continue  # two edits away from none
+            asked |= {f"w{k}" for k in _deleted(word, 2 if len(word) >= 6 else 1)} | {f"p{word}"}
+        return {at for key in asked for at in self._near.get(key, ())}
+
+
+def _joined_edits(a: str, b: str) -> int:
+    return 1 if min(len(a), len(b)) < 8 else 2
+
+
+def longest(found: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The longest mentions that do not overlap, as (entry, start, length)."""
+    taken: list[tuple[int, int, int]] = []
+    for canon, start, n in sorted(found, key=lambda m: (-m[2], m[1], m[0])):
+        if all(start + n <= s or s + m <= start for _, s, m in taken):
+            taken.append((canon, start, n))
+    return taken
+
+
+def _rest(words: list[str], found: list[tuple[int, int, int]]) -> list[str]:
+    """The words outside of all mentions."""
+    rest, at = [], 0
+    for word in words:
+        if not any(s <= at < s + n for _, s, n in found):
+            rest.append(word)
+        at += len(word) + 1
+    return rest
+
+
+def beside(value: str, found: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """The words that stand beside a long mention of one entry, with the entry."""
+    long = [m for m in longest(found) if m[2] >= SHORT]
+    if len({m[0] for m in long}) != 1:
+        return []
+    return [(word, long[0][0]) for word in sorted(set(_rest(fold(value), long)))]
+
+
+def mentioned(value: str, found: list[tuple[int, int, int]], decoration: frozenset[str]) -> int | None:
+    """The entry that the mentions of a value decide for, 0 where they tie, None where nothing is mentioned."""
+    taken = longest(found)
+    kept = [m for m in taken if m[2] >= SHORT or all(w in decoration for w in _rest(fold(value), taken))]
+    if not kept:
+        return None
+    order = sorted(kept, key=lambda m: -m[2])
+    if len({m[0] for m in kept}) == 1 or order[0][2] > order[1][2]:
         return order[0][0]
+    return 0
+
+
+def closest(scores: list[tuple[float, int]]) -> int:
+    """The best entry, if it is alike enough and no other comes close; else 0."""
+    order = sorted(scores, key=lambda e: (-e[0], e[1]))
+    if not order or order[0][0] < LEAST or (len(order) > 1 and order[0][0] - order[1][0] < GAP):
+        return 0
+    return order[0][1]
 
 
 def canonical_map(values: DataFrame, reference: DataFrame, field: str) -> DataFrame:
@@ -180,34 +232,74 @@ def canonical_map(values: DataFrame, reference: DataFrame, field: str) -> DataFr
 
     Null and blank values are left out; an empty reference list maps everything to 0.
     """
-    entries = [
-        (r["canon_id"], r["name"] or "", r["aliases"])
-        for r in reference.where(F.col("field") == field).distinct().limit(MAX_ENTRIES + 1).collect()
-    ]
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} reference entries")
-    distinct = values.select("value").where("value is not null").distinct()
-
-    def beside(batches):
-        probe = Matcher(entries)
+    spark = values.sparkSession
+    listed = reference.where(F.col("field") == field).select("canon_id", "name", "aliases").distinct()
+    blocks = 1 + listed.count() // BLOCK
+    width = spark.sparkContext.defaultParallelism
+    distinct = values.select("value").where("value is not null").where(F.regexp_replace("value", r"\p{Z}|\s", "") != "").distinct().repartition(width, "value")
+
+    def over_blocks(df: DataFrame, run, schema: str) -> DataFrame:
+        """``df`` through one matcher after the other."""
+        out = None
+        for b in range(blocks):
+            rows = listed.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect()
+            entries = [(r["canon_id"], r["name"] or "", r["aliases"]) for r in rows]
+            part = df.mapInPandas(functools.partial(run, entries), schema)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def mentions(entries, batches):
+        matcher = Matcher(entries)
+        for pdf in batches:
+            rows = []
+            for value in pdf["value"]:
+                words = fold(value)
+                found = [{"canon": c, "start": s, "n": n} for c, s, n in matcher.mentions(words)]
+                rows.append((value, matcher.names.get(" ".join(words)), matcher.joined.get("".join(words)), found))
+            yield pd.DataFrame(rows, columns=["value", "whole", "joined", "found"]).astype({"value": "str", "whole": "Int64", "joined": "Int64"})
+
+    found = over_blocks(distinct, mentions, "value string, whole bigint, joined bigint, found array<struct<canon:bigint,start:int,n:int>>")
+    if blocks > 1:
+        found = found.groupBy("value").agg(F.min("whole").alias("whole"), F.min("joined").alias("joined"), F.flatten(F.collect_list("found")).alias("found"))
+    found = durable(found, "mentions").withColumn("whole", F.coalesce("whole", "joined"))
+    tuples = lambda rows: [(r["canon"], r["start"], r["n"]) for r in rows]
+
+    def words_beside(batches):
         for pdf in batches:
-            out = [(word, canon) for value in pdf["value"] for word, canon in probe.beside(value)]
-            yield pd.DataFrame(out, columns=["word", "canon"]).astype({"word": "str", "canon": "int64"})
+            rows = [x for value, marks in zip(pdf["value"], pdf["found"], strict=True) for x in beside(value, tuples(marks))]
+            yield pd.DataFrame(rows, columns=["word", "canon"]).astype({"word": "str", "canon": "int64"})
 
     # A decoration stands beside two entries and makes up a thousandth of all such words: at most 1000 words return.
-    seen = distinct.mapInPandas(beside, "word string, canon bigint").groupBy("word").agg(F.countDistinct("canon").alias("canons"), F.count("*").alias("n"))
+    seen = found.select("value", "found").mapInPandas(words_beside, "word string, canon bigint").groupBy("word").agg(F.countDistinct("canon").alias("canons"), F.count("*").alias("n"))
     seen = durable(seen, "beside")
     whole = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    decoration = [r["word"] for r in seen.where((F.col("canons") > 1) & (F.col("n") * 1000 >= whole)).select("word").collect()]
+    decoration = frozenset(r["word"] for r in seen.where((F.col("canons") > 1) & (F.col("n") * 1000 >= whole)).select("word").collect())
 
-    def run(batches):
+    def decide(batches):
+        for pdf in batches:
+            canon = [mentioned(v, tuples(m), decoration) for v, m in zip(pdf["value"], pdf["found"], strict=True)]
+            yield pd.DataFrame({"value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
+
+    settled = found.where("whole IS NOT NULL").select("value", F.col("whole").alias("canon_id"))
+    decided = durable(found.where("whole IS NULL").select("value", "found").mapInPandas(decide, "value string, canon_id bigint"), "mentioned")
+
+    def similar(entries, batches):
         matcher = Matcher(entries)
-        matcher.decoration = frozenset(decoration)
         for pdf in batches:
-            pdf = pdf[pdf["value"].map(lambda v: bool(v.strip()))]
-            yield pd.DataFrame({"value": pdf["value"], "canon_id": pdf["value"].map(matcher.match).astype("int64")})
+            best = [[{"score": s, "canon": c} for s, c in matcher.scores(fold(v), decoration)] for v in pdf["value"]]
+            yield pd.DataFrame({"value": pdf["value"], "best": best})
+
+    scored = over_blocks(decided.where("canon_id IS NULL").select("value").repartition(width, "value"), similar, "value string, best array<struct<score:double,canon:bigint>>")
+    if blocks > 1:
+        scored = scored.groupBy("value").agg(F.flatten(F.collect_list("best")).alias("best"))
+
+    def choose(batches):
+        for pdf in batches:
+            canon = [closest([(r["score"], r["canon"]) for r in best]) for best in pdf["best"]]
+            yield pd.DataFrame({"value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
 
-    return distinct.mapInPandas(run, "value string, canon_id bigint")
+    nearest = scored.mapInPandas(choose, "value string, canon_id bigint")
+    return settled.unionByName(decided.where("canon_id IS NOT NULL")).unionByName(nearest)
 
 
 def mapped(records: DataFrame, key: str, column: str, reference: DataFrame, field: str) -> DataFrame:

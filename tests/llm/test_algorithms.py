@@ -162,7 +162,7 @@ def test_pruning_keeps_nearest_and_drops_covered():
 # --- p6 ---
 
 
-def test_typed_values_map_to_entries(spark):
+def test_typed_values_map_to_entries(spark, monkeypatch):
     reference = spark.createDataFrame(
         [(1, "type", "Decision Rule", ["Heuristic"]), (2, "type", "Practice", None), (3, "type", "Anti-pattern", ["Bad Practice"]), (4, "lang", "Italian", ["it", "Italiano"])],
         "canon_id int, field string, name string, aliases array<string>",
@@ -174,6 +174,18 @@ def test_typed_values_map_to_entries(spark):
     assert got == want
     assert canonical.mapped(df.limit(0), "object_id", "type", reference, "type").count() == 0
     assert {r["canon_id"] for r in canonical.mapped(df, "object_id", "type", reference.limit(0), "type").collect()} == {0}
+    # The same from a list in blocks, and from candidates that share a word as from all entries.
+    monkeypatch.setattr(canonical, "BLOCK", 1)
+    assert {r["value"]: r["canon_id"] for r in canonical.mapped(df, "object_id", "type", reference, "type").collect()} == want
+    long = canonical.Matcher([(1, "Decision Rule", ["Heuristic"]), (2, "Practice", None)])
+    assert long.match("rule " * 50_000) == 0 and long.match("x" * 100_000) == 0
+    rng = random.Random(6)
+    entries = [(i, " ".join("".join(rng.choices("abcde", k=rng.randint(2, 8))) for _ in range(rng.randint(1, 3))), None) for i in range(1, 60)]
+    matcher, every = canonical.Matcher(entries), canonical.Matcher(entries)
+    every._candidates = lambda words, bare: set(range(len(every.forms)))
+    for _ in range(300):
+        value = " ".join("".join(rng.choices("abcde", k=rng.randint(1, 8))) for _ in range(rng.randint(1, 3)))
+        assert matcher.scores(value.split(), frozenset()) == every.scores(value.split(), frozenset())
     m = canonical.Matcher([(4, "Italian", ["it", "Italiano"])])
     assert m.match("it") == 4 and m.match("it depends on") == 0
 
@@ -242,3 +254,30 @@ def test_crowded_shards_get_pivots_of_their_own_or_are_cut_into_parts(spark, mon
     assert len(pivots) == 1 and parts.tolist() == [8]
     found = {tuple(r)[:2] for r in neighbours.nearest(df, 5, shard=20).collect()}
     assert len(found & truth) >= 0.99 * len(truth)
+
+
+def test_assignment_equals_the_best_permutation():
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n, m = rng.randint(1, 4), rng.randint(4, 6)
+        scores = [[rng.choice([-8.0, 0.8, 1.0]) - rng.random() / 10 for _ in range(m)] for _ in range(n)]
+        chosen = names.assigned(scores)
+        best = max(sum(scores[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+        assert len(set(chosen)) == n and abs(sum(scores[i][j] for i, j in enumerate(chosen)) - best) < 1e-9
+    assert names.align([f"w{i}" for i in range(9)], [f"w{i}" for i in range(9)]) == 1.0  # any number of words
+    assert names.align(["r", "christoph."], ["christopher", "r"]) > 0 == names.align(["christoph"], ["christopher"])
+
+
+def test_middle_names_reverse_order_and_abbreviations(spark):
+    rows = ["John A. Smith", "Smith, John A.", "John B. Smith", "J. B. Smith", "Mary Smith", "M. Smith", "Smith Mary", "Ann Smith", "Mary Jones", "Ann Jones", "Mary Brown", "Ann Brown", "Ann Green"]
+    rows += ["Christopher Jones", "Christoph. Jones", "Jones, Christoph.", "Christina Jones"]
+    df = spark.createDataFrame([(f"b{i:02d}", a) for i, a in enumerate(rows)], "book_id string, author string")
+    by = {}
+    for r in names.linked(df, "book_id", "author").collect():
+        by.setdefault(r["entity"], set()).add(r["author"])
+    groups = sorted(sorted(g) for g in by.values() if len(g) > 1)
+    assert groups == sorted(map(sorted, [
+        {"John A. Smith", "Smith, John A."}, {"John B. Smith", "J. B. Smith"}, {"Mary Smith", "M. Smith", "Smith Mary"}, {"Christopher Jones", "Christoph. Jones", "Jones, Christoph."},
+    ]))
