@@ -21,14 +21,19 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def strip_emphasis(title: Column, rounds: int = 6) -> Column:
-    """Unwrap emphasis marks; deeper nesting than ``rounds`` keeps its inner marks."""
-    for _ in range(rounds):
-        title = F.regexp_replace(title, r"\*\*(.+?)\*\*", "$1")
-        title = F.regexp_replace(title, r"__(.+?)__", "$1")
-        title = F.regexp_replace(title, rf"(?<!{WORD})\*(.+?)\*(?!{WORD})", "$1")
-        title = F.regexp_replace(title, rf"(?<!{WORD})_(.+?)_(?!{WORD})", "$1")
-    return trim(title)
+def strip_emphasis(title: Column) -> Column:
+    """Unwrap emphasis marks until nothing changes, however deep they are nested."""
+
+    def once(x: Column) -> Column:
+        x = F.regexp_replace(x, r"\*\*(.+?)\*\*", "$1")
+        x = F.regexp_replace(x, r"__(.+?)__", "$1")
+        x = F.regexp_replace(x, rf"(?<!{WORD})\*(.+?)\*(?!{WORD})", "$1")
+        return F.regexp_replace(x, rf"(?<!{WORD})_(.+?)_(?!{WORD})", "$1")
+
+    # Every round that changes anything takes at least two marks away.
+    marks = F.length(title) - F.length(F.translate(title, "*_", ""))
+    rounds = F.filter(F.sequence(F.lit(0), F.floor(marks / 2).cast("int")), lambda i: i > 0)
+    return trim(F.aggregate(rounds, title, lambda x, _: once(x)))
 
 
 def normalise_title(title: Column) -> Column:

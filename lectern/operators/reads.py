@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lectern.session import durable
+
 # The nine types of knowledge.
 KNOWLEDGE_TYPES = ("Practice", "Principle", "Tradeoff", "Anti-pattern", "Smell", "Decision Rule", "Definition", "Glossary", "Checklist")
 LLM_STAGES = ("profile", "extraction", "summaries")
@@ -22,6 +24,23 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+#: Keys of repeated rows that may be sent to every worker.
+MOST_REPEATED = 1_000_000
+
+
+def once_wide(df: DataFrame, key: str) -> DataFrame:
+    """Each record once, for tables of long texts: only rows whose key comes again are exchanged.
+
+    Repeated keys are found on the key column alone.  Up to ``MOST_REPEATED`` of them are broadcast; with more, all
+    rows are exchanged by key as in ``once``.
+    """
+    twice = durable(df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key), "repeated")
+    if twice.count() > MOST_REPEATED:
+        return once(df, key)
+    repeated = F.broadcast(twice)
+    return df.join(repeated, key, "left_anti").unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
 def by_id(df: DataFrame, key: str, value: str) -> DataFrame:
     """The one row of an id; raises where there is none."""
     found = once(df.where(F.col(key) == value), key)

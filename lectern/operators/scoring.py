@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import durable
+
 # How much a dimension may fall, and the bars.
 THRESHOLDS = {"recall": 0.05, "structure": 0.02, "coverage": 0.05, "faithfulness": 0.05}
 PASS_BAR = 0.9
@@ -77,22 +82,53 @@ def stage_costs(stages: DataFrame) -> DataFrame:
     )
 
 
+#: Distinct titles, about, that are sent to every worker at a time.
+TITLES = 50_000
+
+
 def contained(artifacts: DataFrame, titles: DataFrame) -> DataFrame:
-    """``(artifact_id, title_id)`` where the artifact's text contains the title: both normalised.
+    """``(artifact_id, title_id)`` where the artifact's text contains the title, both normalised."""
+    return held(artifacts, titles).join(titles.select("title_id", F.col("norm").alias("title_norm")), "title_norm").select("artifact_id", "title_id")
+
+
+def held(artifacts: DataFrame, titles: DataFrame) -> DataFrame:
+    """``(artifact_id, title_norm)``: which of the distinct titles each artifact's text contains, inside words as well.
 
-    A title and a text that contains it share the title's first two words in sequence, so the pairs come from a join
-    on word pairs and only those are tested, instead of every title against every text.  Titles of one word join on it.
-    A title whose first two words only occur as parts of longer words is not found: titles stand on word boundaries.
+    Both are normalised; blank titles are in nothing.  The titles become a multi-pattern automaton, of which each
+    block of ``TITLES`` reads every text once where it lies: no text is exchanged, nor any pair that doesn't hold.
     """
-    words = F.split(F.col("norm"), " ")
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    anchor = F.when(F.size(words) >= 2, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).otherwise(F.col("norm"))
-    # Equal titles are tested once.
-    keyed = titles.where("norm != ''").select(F.col("norm").alias("title_norm"), anchor.alias("k")).distinct()
-    spots = artifacts.select("artifact_id", words.alias("words")).select("artifact_id", F.explode(F.array_distinct(F.concat(pairs, "words"))).alias("k"))
-    wanted = spots.join(keyed, "k").select("artifact_id", "title_norm").distinct()
-    found = wanted.join(artifacts.select("artifact_id", "norm"), "artifact_id").where(F.contains(F.col("norm"), F.col("title_norm"))).select("artifact_id", "title_norm")
-    return found.join(titles.select("title_id", F.col("norm").alias("title_norm")), "title_norm").select("artifact_id", "title_id")
+    spark = artifacts.sparkSession
+    kind = artifacts.schema["artifact_id"].dataType.simpleString()
+    distinct = durable(titles.where("norm != ''").select("norm").distinct(), "titles")
+    blocks = 1 + distinct.count() // TITLES
+    out = None
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast([r["norm"] for r in distinct.where(F.pmod(F.xxhash64("norm"), F.lit(blocks)) == b).collect()])
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            found = _finder(shared.value)
+            for pdf in batches:
+                rows = [(key, title) for key, text in zip(pdf["artifact_id"], pdf["norm"], strict=True) if text for title in found(text)]
+                yield pd.DataFrame(rows, columns=["artifact_id", "title_norm"]).astype({"title_norm": "str"})
+
+        part = artifacts.select("artifact_id", "norm").mapInPandas(run, f"artifact_id {kind}, title_norm string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _finder(titles: list[str]) -> Callable[[str], Iterable[str]]:
+    """A function that gives the titles within a text, each once; without the automaton's library, title by title."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [t for t in titles if t in text]
+    automaton = ahocorasick.Automaton()
+    for title in titles:
+        automaton.add_word(title, title)
+    if not titles:
+        return lambda text: []
+    automaton.make_automaton()
+    return lambda text: {title for _, title in automaton.iter(text)}
 
 
 def identify(artifacts: DataFrame, titles: DataFrame, least: float = 0.4, margin: float = 0.15) -> DataFrame:
@@ -104,7 +140,9 @@ def identify(artifacts: DataFrame, titles: DataFrame, least: float = 0.4, margin
     from pyspark.sql.window import Window as W
 
     weighed = titles.where("weight > 0")
-    hits = contained(artifacts, weighed).join(weighed.select("title_id", "book_id", "weight"), "title_id")
+    # Equal titles of a book are one row with their weights summed.
+    named = weighed.groupBy(F.col("norm").alias("title_norm"), "book_id").agg(F.sum("weight").alias("weight"))
+    hits = held(artifacts, weighed).join(named, "title_norm")
     got = hits.groupBy("artifact_id", "book_id").agg(F.sum("weight").alias("hit"))
     whole = weighed.groupBy("book_id").agg(F.sum("weight").alias("whole"))
     scored = got.join(whole, "book_id").withColumn("score", F.round(F.col("hit") / F.col("whole"), 9))

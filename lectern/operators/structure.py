@@ -101,22 +101,33 @@ def _matter(h: DataFrame, key: str) -> DataFrame:
     return h.withColumn("kind", F.when(page, "front_matter").otherwise(F.col("kind")))
 
 
+def _sliced(documents: DataFrame, starts: DataFrame, key: str, markdown: str, name: str) -> DataFrame:
+    """``(key, name, body)``: the lines of each start up to the next one, cut inside the document's row.
+
+    ``starts`` has key, ord (the order of the starts), name and line; a start without a line has the whole document.
+    The document moves once, beside the short list of its starts.
+    """
+    spots = starts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "line", name))).alias("spots"))
+    rows = documents.select(key, T.lines(F.col(markdown)).alias("all")).join(spots, key)
+
+    def body(x: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get(F.col("spots"), i + 1)["line"], F.size("all") + 1)
+        part = F.slice("all", x["line"], F.greatest(stop - x["line"], F.lit(0)))
+        return F.struct(x[name].alias(name), F.array_join(F.when(x["line"].isNull(), F.col("all")).otherwise(part), "\n").alias("body"))
+
+    return rows.select(key, F.explode(F.transform("spots", body)).alias("part")).select(key, f"part.{name}", "part.body")
+
+
 def bodies(documents: DataFrame, tree: DataFrame, key: str = "book_id", markdown: str = "markdown") -> DataFrame:
     """``(key, chapter, body)``: each chapter's lines from its heading to the next chapter's."""
-    starts = tree.where("section is null").select(key, "chapter", "line")
-    starts = starts.withColumn("stop", F.lead("line").over(W.partitionBy(key).orderBy("chapter")))
-    parts = documents.select(key, T.lines(F.col(markdown)).alias("all"))
-    body = F.array_join(F.slice("all", F.col("line"), F.greatest(F.coalesce(F.col("stop"), F.size("all") + 1) - F.col("line"), F.lit(0))), "\n")
-    return starts.join(parts, key).select(key, "chapter", body.alias("body"))
+    starts = tree.where("section is null").select(key, F.col("chapter").alias("ord"), F.col("line").cast("int").alias("line"), "chapter")
+    return _sliced(documents, starts, key, markdown, "chapter")
 
 
 def section_slices(documents: DataFrame, tree: DataFrame, key: str = "book_id", markdown: str = "markdown") -> DataFrame:
-    """``(key, line, body)``: each node's own lines up to the next heading of either level."""
-    nodes = tree.select(key, "line").distinct()
-    nodes = nodes.withColumn("stop", F.lead("line").over(W.partitionBy(key).orderBy("line")))
-    parts = documents.select(key, T.lines(F.col(markdown)).alias("all"))
-    body = F.array_join(F.slice("all", F.col("line"), F.greatest(F.coalesce(F.col("stop"), F.size("all") + 1) - F.col("line"), F.lit(0))), "\n")
-    return nodes.join(parts, key).select(key, "line", body.alias("body"))
+    """``(key, line, body)``: each node's own lines up to the next heading of either level; a node without line has none."""
+    starts = tree.where("line is not null").select(key, F.col("line").alias("ord"), F.col("line").cast("int").alias("line"), F.col("line").alias("at")).distinct()
+    return _sliced(documents, starts, key, markdown, "at").withColumnRenamed("at", "line")
 
 
 def flatten(chapters: DataFrame, sections: DataFrame) -> DataFrame:

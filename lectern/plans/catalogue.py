@@ -121,33 +121,38 @@ SELECT parse_id, CAST(i AS INTEGER) AS line_no, l[i] AS line FROM (SELECT parse_
 WHERE NOT (len(l) = 1 AND l[1] = '')
 """)
 def lines_numbered(spark: SparkSession, root: str) -> DataFrame:
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
     return rows.select("parse_id", F.posexplode(T.lines(F.col("markdown"))).alias("at", "line")).select("parse_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
 # Fenced blocks cut out by one pattern: an independent way to the same headings.
-_HEADINGS = r"""
-plain AS (SELECT parse_id, regexp_replace(chr(10) || markdown, '(?s)\n```.*?\n```[^\n]*|\n~~~.*?\n~~~[^\n]*|\n(```|~~~).*', chr(10) || '<fence>', 'g') AS t
-  FROM (SELECT DISTINCT parse_id, markdown FROM parse_results WHERE markdown IS NOT NULL)),
-raw AS (SELECT parse_id, i, l[i] AS line FROM (SELECT parse_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT parse_id, string_split(t, chr(10)) AS l FROM plain))),
-heads AS (SELECT parse_id, i, len(regexp_extract(line, '^(#{1,6})\s', 1)) AS level,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(line, '^#{1,6}\s+(.*?)\s*#*\s*$', 1), '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '^[*_](.+)[*_]$', '\1')) AS title
-  FROM raw WHERE regexp_matches(line, '^#{1,6}\s+\S')),
-h AS (SELECT parse_id, row_number() OVER (PARTITION BY parse_id ORDER BY i) AS ord, level, title FROM heads WHERE title <> '' AND level > 0)
+# A document is cut at its fences; the line of a heading is the number of line breaks in all before it.
+_FENCES = r"'(?s)\n```.*?\n```[^\n]*|\n~~~.*?\n~~~[^\n]*|\n(```|~~~).*'"
+_BREAKS = "length({0}) - length(replace({0}, chr(10), ''))"
+_HEADINGS = rf"""
+doc AS (SELECT DISTINCT parse_id, markdown FROM parse_results WHERE markdown IS NOT NULL),
+cut AS (SELECT parse_id, string_split_regex(chr(10) || markdown, {_FENCES}) AS p, regexp_extract_all(chr(10) || markdown, {_FENCES}) AS f FROM doc),
+piece AS (SELECT parse_id, p[k] AS t, coalesce(list_sum(list_transform(p[1:k - 1], lambda x: {_BREAKS.format("x")})), 0) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: {_BREAKS.format("x")})), 0) AS before
+  FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM cut)),
+raw AS (SELECT parse_id, before + i - 1 AS i, l[i] AS line FROM (SELECT parse_id, before, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT parse_id, before, string_split(t, chr(10)) AS l FROM piece))),
+heads AS (SELECT parse_id, i, len(regexp_extract(line, '^(#{{1,6}})\s', 1)) AS level,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(.*?)\s*#*\s*$', 1), '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '^[*_](.+)[*_]$', '\1')) AS title
+  FROM raw WHERE regexp_matches(line, '^#{{1,6}}\s+\S')),
+h AS (SELECT parse_id, i AS line, row_number() OVER (PARTITION BY parse_id ORDER BY i) AS ord, level, title FROM heads WHERE title <> '' AND level > 0)
 """
 
 
 @query(f"WITH {_HEADINGS} SELECT parse_id, CAST(ord AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, title FROM h")
 def structure_headings(spark: SparkSession, root: str) -> DataFrame:
     """Headings outside fenced code, in order."""
-    rows = structure.headings(reads.once(table(spark, root, "parse_results"), "parse_id"), "parse_id", "markdown")
+    rows = structure.headings(reads.once_wide(table(spark, root, "parse_results"), "parse_id"), "parse_id", "markdown")
     return rows.select("parse_id", F.row_number().over(W.partitionBy("parse_id").orderBy("line")).alias("ord"), "level", "title")
 
 
 _TREE = _HEADINGS + r""",
 t1 AS (SELECT *, min(level) OVER w AS top, max(level) OVER w AS bottom FROM h WINDOW w AS (PARTITION BY parse_id)),
 t2 AS (SELECT *, sum((level = top)::INT) OVER (PARTITION BY parse_id) AS n_top FROM t1),
-t3 AS (SELECT parse_id, ord, level, title FROM t2 WHERE NOT (n_top = 1 AND bottom > top AND level = top)),
+t3 AS (SELECT parse_id, ord, level, title, line FROM t2 WHERE NOT (n_top = 1 AND bottom > top AND level = top)),
 t4 AS (SELECT *, min(level) OVER (PARTITION BY parse_id) AS cl FROM t3),
 t5 AS (SELECT *, min(CASE WHEN level > cl THEN level END) OVER (PARTITION BY parse_id) AS sl FROM t4 WHERE level >= cl),
 t6 AS (SELECT *, sum((level = cl)::INT) OVER (PARTITION BY parse_id ORDER BY ord) - 1 AS chapter FROM t5 WHERE level = cl OR level = sl),
@@ -158,15 +163,15 @@ t8 AS (SELECT *, CASE WHEN NOT is_chapter THEN 'section'
   WHEN regexp_matches(title, '(?i)^(acknowledg|about the )') THEN 'either' ELSE 'chapter' END AS k FROM t7),
 t9 AS (SELECT *, coalesce(max((k = 'chapter')::INT) OVER (PARTITION BY parse_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM t8),
 t10 AS (SELECT *, CASE WHEN k = 'either' THEN CASE WHEN seen = 1 THEN 'back_matter' ELSE 'front_matter' END ELSE k END AS k2 FROM t9),
-tree AS (SELECT parse_id, chapter, CASE WHEN is_chapter THEN NULL ELSE s END AS section, title,
+tree AS (SELECT parse_id, line, chapter, CASE WHEN is_chapter THEN NULL ELSE s END AS section, title,
   CASE WHEN is_chapter AND chapter = 0 AND k2 = 'chapter' AND max(CASE WHEN is_chapter AND chapter = 1 THEN k2 END) OVER (PARTITION BY parse_id) = 'front_matter' THEN 'front_matter' ELSE k2 END AS kind FROM t10)
 """
 
 
-@query(f"WITH {_TREE} SELECT parse_id, CAST(chapter AS INTEGER) AS chapter, CAST(section AS INTEGER) AS section, kind, title FROM tree")
+@query(f"WITH {_TREE} SELECT parse_id, CAST(chapter AS INTEGER) AS chapter, CAST(section AS INTEGER) AS section, kind, title, CAST(line AS INTEGER) AS line FROM tree")
 def structure_tree(spark: SparkSession, root: str) -> DataFrame:
     """Chapters and sections with their kinds (the data has no bare chapter numbers; merging them is tested apart)."""
-    return structure.detect(reads.once(table(spark, root, "parse_results"), "parse_id"), "parse_id").drop("line")
+    return structure.detect(reads.once_wide(table(spark, root, "parse_results"), "parse_id"), "parse_id")
 
 
 @query("""
@@ -200,18 +205,30 @@ def document_order_flatten(spark: SparkSession, root: str) -> DataFrame:
     return _flat(spark, root)
 
 
-@query()
+_SLICED = """
+lines AS (SELECT parse_id, CASE WHEN l[-1] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM (SELECT parse_id, string_split(markdown, chr(10)) AS l FROM doc)),
+slices AS (SELECT parse_id, chapter, line, array_to_string(l[line:coalesce(stop, len(l) + 1) - 1], chr(10)) AS body FROM starts JOIN lines USING (parse_id))
+"""
+
+
+@query(f"""
+WITH {_TREE}, starts AS (SELECT parse_id, chapter, line, lead(line) OVER (PARTITION BY parse_id ORDER BY chapter) AS stop FROM tree WHERE section IS NULL), {_SLICED}
+SELECT parse_id, CAST(chapter AS INTEGER) AS chapter, md5(body) AS digest, length(body)::INTEGER AS n_chars FROM slices
+""")
 def chapter_bodies(spark: SparkSession, root: str) -> DataFrame:
     """Digest and length of every chapter's own lines."""
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id")
     out = structure.bodies(rows, structure.detect(rows, "parse_id"), "parse_id")
     return out.select("parse_id", "chapter", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
 
 
-@query()
+@query(f"""
+WITH {_TREE}, starts AS (SELECT parse_id, chapter, line, lead(line) OVER (PARTITION BY parse_id ORDER BY line) AS stop FROM tree), {_SLICED}
+SELECT parse_id, CAST(line AS INTEGER) AS line, md5(body) AS digest, length(body)::INTEGER AS n_chars FROM slices
+""")
 def section_slices(spark: SparkSession, root: str) -> DataFrame:
     """Digest and length of every heading's own lines."""
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id")
     out = structure.section_slices(rows, structure.detect(rows, "parse_id"), "parse_id")
     return out.select("parse_id", "line", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
 
@@ -224,7 +241,7 @@ FROM p GROUP BY book_id
 """)
 def parser_chain_first_success(spark: SparkSession, root: str) -> DataFrame:
     """For each book the first parser of the chain whose output holds a letter or digit."""
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id")
     rank = F.when(F.col("parser") == "marker", 1).when(F.col("parser") == "pymupdf", 2).otherwise(3)
     ok = F.coalesce(T.has_alphanumeric(F.col("markdown")), F.lit(False))
     rows = rows.select("book_id", "parser", "parse_id", ok.alias("ok"), rank.alias("o"))
@@ -242,7 +259,7 @@ m AS (SELECT parse_id, count(*) FILTER (regexp_matches(line, '^\s*#')) AS headin
 SELECT parse_id, parser, length(markdown) AS n_chars, headings, (len(string_split(markdown, '```')) - 1) // 2 AS fences, letter_spaced, bare_numbers FROM p JOIN m USING (parse_id)
 """)
 def parser_metrics(spark: SparkSession, root: str) -> DataFrame:
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
     parts = F.split(F.col("markdown"), "\n", -1)
     count = lambda p: F.size(F.filter(parts, lambda x: x.rlike(p))).cast("bigint")
     return rows.select(
@@ -348,7 +365,7 @@ SELECT book_id, sum(CASE WHEN stage IN ('profile','extraction','summaries') THEN
 FROM (SELECT DISTINCT * FROM llm_responses) GROUP BY 1
 """)
 def run_token_totals(spark: SparkSession, root: str) -> DataFrame:
-    return reads.token_totals(reads.once(table(spark, root, "llm_responses"), "response_id"), "book_id")
+    return reads.token_totals(reads.once_wide(table(spark, root, "llm_responses"), "response_id"), "book_id")
 
 
 @query("""
@@ -437,7 +454,7 @@ WHERE json_type(e) = 'OBJECT' AND len(list_intersect(json_keys(e), ['type','titl
 """)
 def extract_json_strict(spark: SparkSession, root: str) -> DataFrame:
     """Valid objects of each extraction answer."""
-    rows = reads.once(table(spark, root, "llm_responses"), "response_id").where("stage = 'extraction' and text is not null")
+    rows = reads.once_wide(table(spark, root, "llm_responses"), "response_id").where("stage = 'extraction' and text is not null")
     good = answers.extracted(rows, "response_id", "text").where("reason is null")
     return good.groupBy("response_id").agg(F.count("*").alias("n_objects"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
@@ -451,7 +468,7 @@ SELECT response_id, j->>'$.chapter_summary' AS chapter_summary, nullif(trim(j->>
 """)
 def summary_align_pad_truncate(spark: SparkSession, root: str) -> DataFrame:
     """Chapter summaries with exactly three aligned section summaries."""
-    rows = reads.once(table(spark, root, "llm_responses"), "response_id").where("stage = 'summaries' and text is not null")
+    rows = reads.once_wide(table(spark, root, "llm_responses"), "response_id").where("stage = 'summaries' and text is not null")
 
     def run(batches):
         import pandas as pd
@@ -553,7 +570,7 @@ SELECT book_id, matched, detected, expected, round(p, 9) AS precision, round(r,
 """)
 def structure_prf(spark: SparkSession, root: str) -> DataFrame:
     """Detected structure of each book's first parse against its stored chapters and sections."""
-    rows = reads.once(table(spark, root, "parse_results"), "parse_id")
+    rows = reads.once_wide(table(spark, root, "parse_results"), "parse_id")
     first = rows.groupBy("book_id").agg(F.min("parse_id").alias("parse_id"))
     detected = structure.detect(rows, "parse_id").join(first, "parse_id").select("book_id", "kind", T.normalise_title(F.col("title")).alias("norm"))
     return scoring.structure_scores(_flat(spark, root).select("book_id", "kind", T.normalise_title(F.col("title")).alias("norm")), detected)
@@ -614,7 +631,7 @@ SELECT stage, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coales
 FROM (SELECT DISTINCT * FROM llm_responses) WHERE stage <> '' GROUP BY 1
 """)
 def cost_by_stage(spark: SparkSession, root: str) -> DataFrame:
-    return scoring.stage_costs(reads.once(table(spark, root, "llm_responses"), "response_id"))
+    return scoring.stage_costs(reads.once_wide(table(spark, root, "llm_responses"), "response_id"))
 
 
 @query("""
@@ -622,7 +639,7 @@ SELECT model, sum(coalesce(input_tokens, 0)) FILTER (stage = 'profile')::BIGINT
   sum(coalesce(input_tokens, 0)) FILTER (stage = 'summaries')::BIGINT AS summaries FROM (SELECT DISTINCT * FROM llm_responses) GROUP BY 1
 """)
 def cost_pivot(spark: SparkSession, root: str) -> DataFrame:
-    rows = reads.once(table(spark, root, "llm_responses"), "response_id")
+    rows = reads.once_wide(table(spark, root, "llm_responses"), "response_id")
     return rows.groupBy("model").pivot("stage", ["profile", "extraction", "summaries"]).agg(F.sum(F.coalesce("input_tokens", F.lit(0))))
 
 
@@ -664,7 +681,7 @@ SELECT artifact_id, book_id, score, coalesce(runner_up, 0.0) AS runner_up, score
 """)
 def identify_sources(spark: SparkSession, root: str) -> DataFrame:
     """The book whose weighted chapter titles each parsed text holds best."""
-    parsed = reads.once(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
+    parsed = reads.once_wide(table(spark, root, "parse_results"), "parse_id").where("markdown is not null")
     artifacts = parsed.select(F.col("parse_id").alias("artifact_id"), T.normalise_source(F.col("markdown")).alias("norm"))
     norm = T.normalise_source(F.col("title"))
     titles = reads.once(table(spark, root, "chapters"), "chapter_id").select(F.col("chapter_id").alias("title_id"), "book_id", norm.alias("norm"), T.word_weight(norm).alias("weight"))

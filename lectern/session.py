@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -30,25 +32,52 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; where none is set, a temporary one if all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "lectern", spark.sparkContext.applicationId)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the durable tables of this application; results that were made from them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_CLEANED: set[str] = set()
+
+
+def _forget_at_exit(spark: SparkSession) -> None:
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone before
+            forget(spark)
+
+    if spark.sparkContext.applicationId not in _CLEANED:
+        _CLEANED.add(spark.sparkContext.applicationId)
+        atexit.register(clean)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     It cuts the lineage so that a lost executor never repeats the work before it, and, unlike a row-wise
-    checkpoint, the reader still prunes columns and pushes filters.
+    checkpoint, the reader still prunes columns and pushes filters.  The table goes when the application ends.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "lectern", f"{label}-{uuid.uuid4().hex}")
+    _forget_at_exit(spark)
+    path = os.path.join(_own_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -96,10 +96,22 @@ def test_bodies_and_slices(spark):
     assert {r["line"]: r["body"] for r in structure.section_slices(df, tree).collect()} == {2: "# A\none", 4: "## S\ntwo", 6: "# B\nthree"}
 
 
+def test_bodies_without_lines_and_repeated_wide_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("b", "x\ny"), ("c", None)], "book_id string, markdown string")
+    tree = spark.createDataFrame([("b", 0, None, None), ("b", 1, None, 2), ("c", 0, None, 1)], "book_id string, chapter int, section int, line int")
+    assert {(r["book_id"], r["chapter"]): r["body"] for r in structure.bodies(df, tree).collect()} == {("b", 0): "x\ny", ("b", 1): "y", ("c", 0): None}
+    rows = spark.createDataFrame([("a", "t" * 50), ("b", "u"), ("a", "t" * 50), ("c", None)], "id string, text string")
+    want = [("a", "t" * 50), ("b", "u"), ("c", None)]
+    assert sorted(map(tuple, reads.once_wide(rows, "id").collect())) == want
+    monkeypatch.setattr(reads, "MOST_REPEATED", 0)
+    assert sorted(map(tuple, reads.once_wide(rows, "id").collect())) == want
+
+
 def test_text_functions(spark):
     row = lambda expr, v: spark.createDataFrame([(v,)], "v string").select(expr(F.col("v")).alias("x")).first()[0]
     assert row(T.lines, "a\r\nb\x0cc\n") == ["a", "b", "c"] and row(T.lines, "a\n\n") == ["a", ""]
     assert row(T.strip_emphasis, "**The** _big_ snake_case_name __x__") == "The big snake_case_name x"
+    assert row(T.strip_emphasis, "*" * 9 + "__x__" + "*" * 9) == "x" and row(T.strip_emphasis, "_*" * 8 + "deep" + "*_" * 8) == "deep"
     assert row(T.normalise_title, "1.2) Grommets & Co") == "grommets co" and row(T.normalise_title, "3") == "3"
     assert row(T.content_words, "Testing the tested Parsers tests") == ["test", "parser"] or row(T.content_words, "Testing") == ["test"]
     assert row(T.snippet, "a  b\n" + "c" * 80).endswith("…") and row(T.redact, "abcdefghij") == "abcd…ghij" and row(T.redact, "abc") == "****"
@@ -175,15 +187,17 @@ def test_scores_and_comparison(spark):
     assert scoring.faithfulness(spark.createDataFrame([(9, 10), (1, 2), (0, 0)], "supported int, claims int")).first().asDict() == {"mean_support": 0.7, "judged": 2, "below_bar": 1}
 
 
-def test_containment_join_equals_every_pair(spark):
+def test_containment_equals_every_pair(spark, monkeypatch):
     rng = random.Random(1)
     words = "aa bb cc dd ee".split()
     artifacts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(40)]
-    titles = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(30)] + [(99, "")]
+    titles = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(30)] + [(99, ""), (40, "a bb"), (41, "c"), (42, "b c")]
     a = spark.createDataFrame(artifacts, "artifact_id int, norm string")
     t = spark.createDataFrame(titles, "title_id int, norm string")
     got = {tuple(r) for r in scoring.contained(a, t).collect()}
-    assert got == {(i, j) for i, x in artifacts for j, y in titles if y and y in x}
+    assert got == {(i, j) for i, x in artifacts for j, y in titles if y and y in x} and any(j == 40 for _, j in got)
+    monkeypatch.setattr(scoring, "TITLES", 7)
+    assert {tuple(r) for r in scoring.contained(a, t).collect()} == got
 
 
 def test_batch_top_k_equals_brute_force(spark):
