@@ -279,6 +279,7 @@ def entities(authors: DataFrame) -> DataFrame:
     # People of one name with several middle names stay apart; a spelling without one is then nobody's among them.
     middles = full.groupBy("family", "first").agg(F.array_sort(F.collect_set("middle")).alias("middles"))
     full = full.join(middles, ["family", "first"]).withColumn("own", F.when(F.size("middles") > 1, F.coalesce("middle", F.lit(""))))
+    full = durable(full, "full")
     named = F.concat_ws(" ", F.lit("person"), "family", "first", F.nullif("own", F.lit("")))
     resolved = full.select("author", named.alias("entity"))
 
@@ -291,6 +292,7 @@ def entities(authors: DataFrame) -> DataFrame:
         short.select("author", "family", "given", "letter").join(known, ["family", "letter"])
         .withColumn("score", score("given", "first", "middles")).where("score > 0")
     )
+    fits = durable(fits, "fits")
     rank = W.partitionBy("author").orderBy(F.desc("score"), "entity")
     best = fits.withColumns({"rn": F.row_number().over(rank), "next": F.lead("score").over(rank)})
     best = best.where("rn = 1 and (next is null or next < score)").select("author", "entity")
@@ -319,7 +321,8 @@ def _initials_score(given: pd.Series, first: pd.Series, middles: pd.Series) -> p
 def linked(books: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, author, entity)`` for each record whose author names somebody; a record delivered twice counts once."""
     records = books.select(key, F.col(column).alias("author")).where("author is not null").distinct()
-    return records.join(entities(records), "author").select(key, "author", "entity")
+    # Written once: pairs read it three times.
+    return durable(records.join(entities(records), "author").select(key, "author", "entity"), "linked")
 
 
 def pairs(links: DataFrame, key: str) -> DataFrame:
