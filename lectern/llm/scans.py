@@ -97,7 +97,7 @@ def furniture(lines: list[str], code: list[bool]) -> list[bool]:
     n = len(lines)
     headings = [_letters(x) for x, c in zip(lines, code, strict=True) if not c and re.match(r"\s*#{1,6}\s", x)]
     headings = [h for h in dict.fromkeys(headings) if len(h) > 5]
-    joined = dict.fromkeys([*headings, *(p for h in headings for p in ())])
+    joined = set(headings)
     out = [False] * n
     titles: list[tuple[int, str, bool]] = []
     for i, line in enumerate(lines):
@@ -175,13 +175,28 @@ def furniture(lines: list[str], code: list[bool]) -> list[bool]:
     return out
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether two different strings are one lost, added, replaced or swapped letter apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+
+
 class Lexicon:
     """Word frequencies of the corpus."""
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.total = max(1, sum(counts.values()))
+        #: No form much longer than the longest word is a misreading of any.
+        self.longest = 4 + max(map(len, counts), default=0)
         self.often = max(LEAST, OFTEN * self.total)
+        self._shorter: dict[str, list[str]] | None = None
         self._neighbours: dict[str, tuple[str, float] | None] = {}
         self._doubtful: dict[str, bool] = {}
 
@@ -202,21 +217,33 @@ class Lexicon:
             for m in made:
                 if m != form:
                     yield m, 2.0
+        yield from ((word, 3.0) for word in self._confused(form))
+        yield from ((word, 5.0) for word in self._one_edit(form))
+
+    @staticmethod
+    def _confused(form: str) -> Iterator[str]:
+        """The form with one group of letters replaced by one that recognition takes it for."""
         for a, b in CONFUSED:
             at = form.find(a)
             while at >= 0:
-                yield form[:at] + b + form[at + len(a) :], 3.0
+                yield form[:at] + b + form[at + len(a) :]
                 at = form.find(a, at + 1)
-        letters = "abcdefghijklmnopqrstuvwxyz"
-        for i in range(len(form)):
-            yield form[:i] + form[i + 1 :], 5.0
-            if i + 1 < len(form):
-                yield form[:i] + form[i + 1] + form[i] + form[i + 2 :], 5.0
-            for c in letters:
-                yield form[:i] + c + form[i + 1 :], 5.0
-                yield form[:i] + c + form[i:], 5.0
-        for c in letters:
-            yield form + c, 5.0
+
+    def _one_edit(self, form: str) -> Iterator[str]:
+        """Lexicon words one lost, added, replaced or swapped letter away, in any alphabet.
+
+        Both sides meet in their forms with one letter less; of those that share one, all are within two edits.
+        """
+        if self._shorter is None:
+            self._shorter = {}
+            for word in self.counts:
+                if len(word) > 2:
+                    for key in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}:
+                        self._shorter.setdefault(key, []).append(word)
+        met = {word for key in {form, *(form[:i] + form[i + 1 :] for i in range(len(form)))} for word in self._shorter.get(key, ())}
+        for word in sorted(met):
+            if word != form and _one_edit(form, word):
+                yield word
 
     def meant(self, form: str) -> tuple[str, float] | None:
         """The lexicon word that a misread form most likely was, and its cost; kept for later."""
@@ -224,9 +251,9 @@ class Lexicon:
             if len(self._neighbours) > 200_000:
                 self._neighbours.clear()
             best: tuple[str, float] | None = None
-            tried = [(form, 0.0), *self._variants(form)]
+            tried = [(form, 0.0), *(self._variants(form) if len(form) <= self.longest else ())]
             if any(c in SIGNS for c in form):  # a sign beside another error
-                tried += [(v, c + 3.0) for u, c in tried[1:40] if c == 2.0 for v, c2 in self._variants(u) if c2 == 3.0]
+                tried += [(v, c + 3.0) for u, c in tried[1:] if c == 2.0 for v in self._confused(u)]
             for variant, price in tried[1:]:
                 if variant in self.counts and len(variant) > 2 and self.fits(form, variant):
                     cost = self.cost(variant) + price
@@ -238,7 +265,7 @@ class Lexicon:
 
     def cuts(self, form: str) -> Iterator[tuple[str, str, float]]:
         """The pairs of words that a form may have been merged from, with their cost."""
-        for cut in range(1, len(form)) if len(form) > 5 else ():
+        for cut in range(1, len(form)) if 5 < len(form) <= 2 * self.longest else ():
             a, b = form[:cut], form[cut:]
             if min(len(a), len(b)) > (1 if a not in ("a",) else 0) and self.counts.get(a, 0) > self.often and self.counts.get(b, 0) > self.often:
                 yield a, b, self.cost(a) + self.cost(b) + 3.0

@@ -268,6 +268,13 @@ def test_page_noise_is_found_and_repaired():
     assert "```\n12\n```" in page.text() and "Page 3" not in page.text()
 
 
+def test_misread_words_of_any_alphabet_and_of_any_length():
+    lexicon = scans.Lexicon({"система": 900, "работает": 800, "σύστημα": 700, "another": 900, "module": 500})
+    assert lexicon.meant("систена")[0] == "система" and lexicon.meant("рабтает")[0] == "работает" and lexicon.meant("σύστμηα")[0] == "σύστημα"
+    assert lexicon.meant("@n0thcr")[0] == "another"  # signs beside a confusion
+    assert lexicon.meant("rnodule")[0] == "module" and lexicon.meant("x" * 50_000) is None and list(lexicon.cuts("y" * 50_000)) == []
+
+
 def test_clean_documents_have_no_noise():
     page = scans.Page("# Head\n\nThe good debugger widens an explicit review.\n\n* the load\n", _lexicon())
     assert page.found() == []
