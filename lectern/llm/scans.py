@@ -50,10 +50,15 @@ _STRUCTURE = re.compile(r"^\s*(?:#{1,6}\s|[-*+•]\s+\S|\(?\d{1,3}[.)]\s+\S|\||>
 _STOP = re.compile(r"[.!?:…][\"'”’»)\]*_]*\s*$")
 
 
+_AS_LETTERS = str.maketrans({c: SIGNS[c][0] for c in "10@!|$"})
+_SENTENCE = re.compile(r"[.!?:;\"“(]\W*$")
+_PIECE = re.compile(r"[^-'’]+")
+
+
 def _letters(line: str) -> str:
     """Letters of a line, lower-cased, with letter-spacing and marks gone and signs read as letters."""
     line = re.sub(r"^[\s_*#|]+|[\s_*#|]+$", "", line)
-    return "".join(SIGNS[c][0] if c in "10@!|$" else c for c in line.lower() if c.isalpha() or c in "10@!|$")
+    return "".join(filter(str.isalpha, line.lower().translate(_AS_LETTERS)))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -406,22 +411,24 @@ class Page:
                     self.repairs.setdefault(i, []).append((words[-1].start(), len(line), lexicon.meant(whole)[0]))
                 words = words[:-1]
             for m in words:
-                token = m.group()
-                parts = [(0, token)] if token.lower() in lexicon.counts else [(p.start(), p.group()) for p in re.finditer(r"[^-'’]+", token)]
-                first = start or (m.start() > 0 and bool(re.search(r"[.!?:;\"“(]\W*$", line[: m.start()])))
+                token, begin = m.group(), m.start()
+                parts = [(0, token)] if token.lower() in lexicon.counts else [(p.start(), p.group()) for p in _PIECE.finditer(token)]
+                first: bool | None = None
                 for at, part in parts:
-                    flat.append(part.replace("­", ""))
-                    spans.append((i, m.start() + at, m.start() + at + len(part)))
-                    names.append(part[:1].isupper() and not first)
+                    upper = part[:1].isupper()
+                    if upper and first is None:  # only of a capitalised word it is asked whether a sentence begins there
+                        first = start or (begin > 0 and bool(_SENTENCE.search(line, 0, begin)))
+                    flat.append(part.replace("­", "") if "­" in part else part)
+                    spans.append((i, begin + at, begin + at + len(part)))
+                    names.append(upper and not first)
                 start = False
             start = bool(_STOP.search(line))
-        joins = [self._joined(x, y) for x, y in zip(spans, spans[1:], strict=False)] + [False]
         prior = 0.0 if self.hyphen or any(self.furniture) else UNTOUCHED
         # Only stretches around doubtful tokens, or around neighbours that form a word, have a choice.
         low = [f.lower() for f in flat]
         open_ = [lexicon.doubtful(w) for w in low]
         for k in range(1, len(low)):
-            if joins[k - 1] and lexicon.union(low[k - 1], low[k]):
+            if lexicon.union(low[k - 1], low[k]) and self._joined(spans[k - 1], spans[k]):
                 open_[k - 1] = open_[k] = True
         at = 0
         while at < len(flat):
@@ -431,7 +438,8 @@ class Page:
             a, b = max(0, at - 1), min(len(flat), at + 2)
             while b < len(flat) and open_[b - 1]:
                 b += 1
-            for x, y, fixed in decode(flat[a:b], lexicon, names[a:b], joins[a:b], prior):
+            joins = [k + 1 < len(spans) and self._joined(spans[k], spans[k + 1]) for k in range(a, b)]
+            for x, y, fixed in decode(flat[a:b], lexicon, names[a:b], joins, prior):
                 (i, begin, _), (j, _, end) = spans[a + x], spans[a + y - 1]
                 if i == j:
                     self.repairs.setdefault(i, []).append((begin, end, fixed))
