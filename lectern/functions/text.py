@@ -120,17 +120,23 @@ def ordinal_name(n: Column) -> Column:
 
 
 def edition_claims(text: Column, title: Column, window: int = 120) -> Column:
-    """Edition numbers claimed within ``window`` characters of the title's first two words, in order."""
+    """Edition numbers that a text claims within ``window`` characters of the title's first two words, ascending.
+
+    All on normalised texts.  A title of one word names too little to anchor a claim.
+    """
     head = F.array_join(F.slice(F.split(normalise_source(title), " "), 1, 2), " ")
-    spot = rf"(?s).{{0,{window}}}"
-    # A title of one word names too little to anchor a claim.
-    near = F.regexp_extract_all(F.lower(text), F.concat(F.lit(spot + r"\b"), F.regexp_replace(head, " ", r"[^a-z0-9]+"), F.lit(r"\b" + spot)), F.lit(0))
-    claims = F.flatten(F.transform(near, lambda s: F.regexp_extract_all(
-        s, F.lit(rf"\b(?:(?:{'|'.join(ORDINAL_WORDS)}|\d{{1,3}}(?:st|nd|rd|th))\s+edition|edition\s+\d{{1,3}})\b"), F.lit(0))))
-    return F.when(F.size(F.split(head, " ")) >= 2, F.array_distinct(F.transform(claims, lambda c: ordinal(F.regexp_replace(c, "edition", " "))))).otherwise(F.array().cast("array<int>"))
+    pieces = F.split(normalise_source(text), F.coalesce(F.nullif(head, F.lit("")), F.lit("\\z")), -1)  # words and blanks only
+    join = lambda parts: F.call_function("array_join", parts, head)
+    around = F.transform(F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: i > 0), lambda i: F.concat(
+        F.right(join(F.slice(pieces, 1, i)), F.lit(window)), head, F.left(join(F.slice(pieces, i + 1, F.size(pieces))), F.lit(window))))
+    words = "|".join(ORDINAL_WORDS)
+    claims = F.flatten(F.transform(around, lambda s: F.regexp_extract_all(s, F.lit(rf"\b((?:{words}|\d{{1,3}}(?:st|nd|rd|th)) edition|edition \d{{1,3}})\b"), F.lit(1))))
+    numbers = F.array_sort(F.array_distinct(F.transform(claims, lambda c: ordinal(F.trim(F.replace(c, F.lit("edition"), F.lit("")))))))
+    return F.when(F.size(F.split(head, " ")) >= 2, numbers).otherwise(F.array().cast("array<int>"))
 
 
 def copyright_years(text: Column) -> Column:
+    """Years that a text claims a copyright of."""
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\bcopyright\b[^a-z0-9]{0,12}((?:19|20)\d{2})"), F.lit(1)), lambda y: y.cast("int"))
 
 

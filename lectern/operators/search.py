@@ -79,6 +79,27 @@ def top_k(
     return ranked.where(F.col("rank") > offset).select((F.col("rank") - offset).alias("rank"), "point_id", "record_type", "record_id", "book_id", "score")
 
 
+def search(store, embedder, query: str, limit: int = 10, offset: int = 0, threshold: float | None = None, book_id: str | None = None, types: Sequence[str] | None = None) -> tuple[DataFrame | None, int | None]:
+    """Hits with their titles in rank order, and the embedding tokens that the query cost (None: not told).
+
+    What is asked is checked first, then the model lock, so a query against vectors of another model costs nothing.
+    Without any vectors there are no hits: (None, 0).  Points whose records are gone leave gaps in the ranking.
+    """
+    from lectern.plans import runner
+
+    if not query.strip():
+        raise ValueError("the query is empty")
+    if limit < 1 or offset < 0:
+        raise ValueError("the limit must be positive, the offset not negative")
+    checked_types(types)
+    if not verified_model(store.vector_model(), embedder.model):
+        return None, 0
+    vectors, tokens = embedder.embed([query])
+    hits = top_k(store.stage("points", runner.POINTS), vectors[0], limit, offset, threshold, book_id, types)
+    rows = records(store.stage("chapters", runner.CHAPTERS), store.stage("sections", runner.SECTIONS), store.stage("objects", runner.OBJECTS))
+    return resolve(hits, rows).orderBy("rank"), tokens
+
+
 def records(chapters: DataFrame, sections: DataFrame, objects: DataFrame) -> DataFrame:
     """``(record_type, record_id, title)`` of everything a hit may name."""
     parts = [(chapters, "chapter_id", "chapter"), (sections, "section_id", "section"), (objects, "object_id", "knowledge_object")]

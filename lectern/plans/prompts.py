@@ -9,6 +9,26 @@ from pyspark.sql import functions as F
 HINTS = (("primary_topic", "Primary topic"), ("language", "Language"), ("framework", "Framework"), ("methodology", "Methodology"), ("notes", "Notes"), ("trust_level", "Trust level"), ("intended_use", "Intended use"))
 
 
+_JSON = " Answer with nothing but JSON."
+#: What a model is told about its task, by stage.
+SYSTEM = {
+    "profile": "You describe a book for readers who look for sources: its subject, its level, what it is good for and what it leaves out. Write plain prose.",
+    "extraction": "You take knowledge out of a chapter. Give an array of objects with type (Practice, Principle, Tradeoff, Anti-pattern, Smell, Decision Rule, Definition, Glossary or Checklist), title, "
+    "content, summary, confidence (0 to 1), section_index (a number of the list, or null), page and paragraph (numbers or null)." + _JSON,
+    "summaries": "You summarise a chapter and each of its numbered sections from its text alone. Give an object with chapter_summary and section_summaries (an array in the order of the list)." + _JSON,
+    "claims": "You take a summary apart. Give an array of the single claims it makes, each a sentence that can be checked by itself." + _JSON,
+    "verdict": "You check one claim against a source and use no other knowledge. Give an object with supported (true or false) and why." + _JSON,
+}
+
+
+def claim_prompt(summary: str) -> str:
+    return f"Summary to take apart:\n{summary}"
+
+
+def verdict_prompt(claim: str, source: str) -> str:
+    return f"Source:\n{source}\n\nClaim to check: {claim}"
+
+
 def _joined(*parts: Column) -> Column:
     """Lines of the parts that are not null."""
     return F.concat_ws("\n", *parts)

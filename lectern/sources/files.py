@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import glob
+import hashlib
 import html
+import os
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +31,74 @@ class ParseFailure(RuntimeError):
     """No parser of the chain gave text."""
 
 
-def binary(spark: SparkSession, path: str, largest: int = 1 << 30) -> DataFrame:
-    """``(path, modificationTime, length, content)``; files beyond ``largest`` bytes are refused, not cut."""
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(largest))
+class ParserUnavailable(RuntimeError):
+    """A parser's library or program is not there."""
+
+
+def binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, modificationTime, length, content)``; files beyond the session's limit are refused, not cut."""
     return spark.read.format("binaryFile").load(path)
 
 
+def validated_format(path: Path) -> str:
+    """``pdf`` or ``epub`` of one file whose suffix and leading bytes agree; raises with the reason where they don't."""
+    fmt = path.suffix.lower().lstrip(".")
+    if not path.is_file():
+        raise UnsupportedFormat(f"no file {path}")
+    if fmt not in MAGIC:
+        raise UnsupportedFormat(f"{path.name} is neither a .pdf nor an .epub")
+    with path.open("rb") as stream:
+        if not stream.read(8).startswith(MAGIC[fmt]):
+            raise UnsupportedFormat(f"{path.name} does not begin like a {fmt.upper()} file")
+    return fmt
+
+
+def hash_stream(stream: BinaryIO) -> str:
+    """SHA-256 of a stream read in pieces; the stream is left at its beginning."""
+    digest = hashlib.sha256()
+    for piece in iter(lambda: stream.read(1 << 20), b""):
+        digest.update(piece)
+    stream.seek(0)
+    return digest.hexdigest()
+
+
+class Originals:
+    """The files of registered books under a storage root; stored paths are relative to it, so the root may move."""
+
+    def __init__(self, root: str | Path):
+        self.root = Path(root)
+
+    def keep(self, book_id: str, filename: str, stream: BinaryIO) -> tuple[str, str]:
+        """Copy a file and return its stored path and MD5; a copy that fails leaves nothing behind."""
+        stored = Path("books") / book_id / Path(filename).name
+        target, md5 = self.root / stored, hashlib.md5(usedforsecurity=False)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            with target.open("wb") as out:
+                for piece in iter(lambda: stream.read(1 << 20), b""):
+                    md5.update(piece)
+                    out.write(piece)
+        except Exception:
+            self.discard(book_id)
+            raise
+        return str(stored), md5.hexdigest()
+
+    def discard(self, book_id: str) -> None:
+        """Remove what was kept for a book whose registration failed."""
+        shutil.rmtree(self.root / "books" / book_id, ignore_errors=True)
+
+    def content(self, spark: SparkSession, books: DataFrame) -> DataFrame:
+        """``(book_id, file_format, content)`` of registered books; a book whose file is gone has null content."""
+        wanted = books.select("book_id", "file_format", storage_path(str(self.root), F.col("storage_path")).alias("at"))
+        there = self.root / "books"
+        if not there.is_dir():
+            return wanted.select("book_id", "file_format", F.lit(None).cast("binary").alias("content"))
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(there))
+        # Paths come back percent-encoded, with a scheme.
+        path = F.url_decode(F.regexp_replace(F.regexp_replace(F.col("path"), r"\+", "%2B"), "^[a-z]+:/*(?=/)", ""))
+        return wanted.join(found.select(path.alias("at"), "content"), "at", "left").select("book_id", "file_format", "content")
+
+
 def file_format(path: Column, content: Column) -> Column:
     """``pdf`` or ``epub`` where suffix and leading bytes agree, else null."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
@@ -79,6 +149,59 @@ def _plain() -> Parser:
     return parse
 
 
+@contextlib.contextmanager
+def _on_disk(content: bytes, suffix: str) -> Iterator[str]:
+    """The content as a file of the worker, for parsers that open paths; it goes when the document is read."""
+    with tempfile.NamedTemporaryFile(suffix=suffix) as file:
+        file.write(content)
+        file.flush()
+        yield file.name
+
+
+def _marker() -> Parser:
+    """The converter is loaded once for each worker."""
+    from marker.converters.pdf import PdfConverter  # noqa: PLC0415 - optional
+    from marker.models import create_model_dict  # noqa: PLC0415
+    from marker.output import text_from_rendered  # noqa: PLC0415
+
+    converter = PdfConverter(artifact_dict=create_model_dict())
+
+    def parse(content: bytes) -> str:
+        with _on_disk(content, ".pdf") as path:
+            return str(text_from_rendered(converter(path))[0])
+
+    return parse
+
+
+# Where language data of the recognition program usually lies.
+TESSDATA = ("/opt/homebrew/share/tessdata", "/usr/local/share/tessdata", "/usr/share/tessdata", "/usr/share/tesseract-ocr/*/tessdata")
+
+
+def find_tessdata() -> str | None:
+    """The folder that ``TESSDATA_PREFIX`` names, or the first usual one that exists."""
+    named = os.environ.get("TESSDATA_PREFIX")
+    found = ([named] if named else []) + [m for pattern in TESSDATA for m in sorted(glob.glob(pattern))]
+    return next((f for f in found if os.path.isdir(f)), None)
+
+
+def _ocr() -> Parser:
+    if shutil.which("tesseract") is None:
+        raise ParserUnavailable("there is no tesseract program")
+    data = find_tessdata()
+    if data is None:
+        raise ParserUnavailable("no language data; set TESSDATA_PREFIX")
+    import pymupdf  # noqa: PLC0415 - optional
+
+    def parse(content: bytes) -> str:
+        with pymupdf.open(stream=content, filetype="pdf") as document:
+            texts = [page.get_text(textpage=page.get_textpage_ocr(full=True, dpi=300, tessdata=data)).strip() for page in document]
+        return "\n\n".join(f"## Page {n}\n\n{t}" for n, t in enumerate(texts, 1) if t)
+
+    return parse
+
+
+register_parser("marker", {"pdf"}, _marker)
+register_parser("ocr", {"pdf"}, _ocr)
 register_parser("pymupdf", {"pdf", "epub"}, _pymupdf)
 register_parser("plain", {"txt", "html", "md"}, _plain)
 
@@ -86,12 +209,12 @@ register_parser("plain", {"txt", "html", "md"}, _plain)
 def parsed(files: DataFrame, key: str, chain: tuple[str, ...] = (*CHAIN, "plain")) -> DataFrame:
     """``(key, markdown, parser, attempts)``: the first parser of the chain whose output holds a letter or digit.
 
-    ``files`` has key, file_format, content.  Parsers that do not take the format, are not installed, fail or give
-    nothing are noted in ``attempts``; where none succeeds markdown is null.
+    ``files`` has key, file_format, content.  Parsers that are not registered or installed, do not take the format, fail
+    or give nothing are noted in ``attempts``, the one that succeeds too; where none succeeds markdown is null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[str, Parser | None] = {}
+        made: dict[str, Parser | str] = {}
         for pdf in batches:
             rows = []
             for k, fmt, content in zip(pdf[key], pdf["file_format"], pdf["content"], strict=True):
@@ -99,14 +222,18 @@ def parsed(files: DataFrame, key: str, chain: tuple[str, ...] = (*CHAIN, "plain"
                 for name in chain:
                     formats, make = _PARSERS.get(name, (frozenset(), None))
                     if make is None or fmt not in formats:
+                        attempts.append(f"{name}: not registered" if make is None else f"{name}: skipped, takes no {fmt}")
+                        continue
+                    if content is None:
+                        attempts.append(f"{name}: the file is missing")
                         continue
                     if name not in made:
                         try:
                             made[name] = make()
-                        except ImportError:
-                            made[name] = None
-                    if made[name] is None:
-                        attempts.append(f"{name}: unavailable")
+                        except (ImportError, ParserUnavailable) as error:
+                            made[name] = f"{name}: unavailable, {error}"
+                    if isinstance(made[name], str):
+                        attempts.append(made[name])
                         continue
                     try:
                         out = made[name](bytes(content))
@@ -115,6 +242,7 @@ def parsed(files: DataFrame, key: str, chain: tuple[str, ...] = (*CHAIN, "plain"
                         continue
                     if any(c.isalnum() for c in out):
                         text, used = out, name
+                        attempts.append(f"{name}: succeeded")
                         break
                     attempts.append(f"{name}: no text")
                 rows.append((k, text, used, attempts))

@@ -1,4 +1,4 @@
-"""Versioned tables with atomic wholesale replacement by book.
+"""Versioned tables with atomic wholesale replacement by book, and tables of records whose latest row counts.
 
 A stage writes its rows under a new version and then appends a pointer ``(stage, book_id, version, seq)``; readers take
 the rows of each book's latest pointer.  A failed stage leaves the old pointer; an empty result is a pointer to no rows.
@@ -6,6 +6,7 @@ the rows of each book's latest pointer.  A failed stage leaves the old pointer;
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,32 @@ class Store:
         current = self.pointers().where(F.col("stage") == stage).select("book_id", "version")
         return rows.join(current, ["book_id", "version"]).drop("version")
 
+    def put(self, name: str, rows: DataFrame, seq: int) -> None:
+        """Add or replace records of a table; nothing is rewritten, so a failure leaves the table as it was."""
+        rows.withColumn("seq", F.lit(seq).cast("bigint")).write.mode("append").parquet(self._path("records", name))
+
+    def records(self, name: str, schema: str, key: str) -> DataFrame:
+        """The latest row of every record."""
+        rows = self._read(self._path("records", name), f"{schema}, seq bigint")
+        columns = [c for c in rows.columns if c != "seq"]
+        latest = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), "seq").alias("__row"))
+        return latest.select("__row.*")
+
     def runs(self) -> DataFrame:
-        """The latest record of each run."""
+        """The latest record of each book's run."""
         rows = self._read(self._path("runs"), RUNS)
-        return rows.groupBy("run_id").agg(*[F.max_by(c, "seq").alias(c) for c in rows.columns if c not in ("run_id", "seq")])
-
-    def record(self, **values: object) -> None:
-        self.spark.createDataFrame([values], RUNS).write.mode("append").parquet(self._path("runs"))
+        return rows.groupBy("run_id", "book_id").agg(*[F.max_by(c, "seq").alias(c) for c in rows.columns if c not in ("run_id", "book_id", "seq")])
+
+    def record(self, rows: DataFrame) -> None:
+        """Append run records; columns that are not given are null."""
+        names = [c.split()[0] for c in RUNS.split(", ")]
+        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (f.split() for f in RUNS.split(", "))]).select(*names).write.mode("append").parquet(self._path("runs"))
+
+    def write_log(self, lines: DataFrame, run_id: str) -> None:
+        """One text for each book of a run under ``logs``; a log that can't be written stops nothing."""
+        with contextlib.suppress(Exception):
+            ordered = lines.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("value"))
+            ordered.write.mode("append").partitionBy("book_id").text(self._path("logs", f"run={run_id}"))
 
     def vector_model(self) -> DataFrame:
         return self._read(self._path("vector_meta"), "embedding_model string")
