@@ -82,6 +82,48 @@ def stage_costs(stages: DataFrame) -> DataFrame:
     )
 
 
+def attribution(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(query_id, best_book_rank, attributed)`` of area queries: whether an expected book is among the first hits.
+
+    ``expected`` has query_id, book; ``hits`` query_id, rank, book.  Ranks below 1 are malformed and count for nothing.
+    """
+    books = expected.select("query_id", "book").distinct()
+    best = hits.where("rank >= 1").join(books, ["query_id", "book"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best_book_rank"))
+    return books.select("query_id").distinct().join(best, "query_id", "left").withColumn("attributed", F.when(F.col("best_book_rank") <= HIT_AT, 1.0).otherwise(0.0))
+
+
+def chosen_results(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """``(query_id, at)``: the result that answers each query, by its place in the run file; null where none does.
+
+    ``queries`` has query_id, q, book, area; ``results`` q, book, area, at.  A result of the query's own book and area
+    wins over one without any, the earlier over the later.
+    """
+    named = results.select("q", F.col("book").alias("__book"), F.col("area").alias("__area"), "at")
+    both = queries.select("query_id", "q", "book", "area").join(named, "q", "left")
+    exact = F.col("__book").eqNullSafe(F.col("book")) & F.col("__area").eqNullSafe(F.col("area"))
+    loose = F.col("__book").isNull() & F.col("__area").isNull()
+    rank = F.when(F.col("at").isNotNull() & (exact | loose), F.struct((~exact).cast("int").alias("o"), F.col("at").alias("at")))
+    return both.groupBy("query_id").agg(F.min(rank).alias("r")).select("query_id", F.col("r.at").alias("at"))
+
+
+def drops(placed: DataFrame) -> DataFrame:
+    """``(slug, n, note)``: hits without a location by book, and those of books nobody knows (slug null).
+
+    ``placed`` has slug (null: unknown book) and loc (null: joined no node).
+    """
+    lost = placed.where("slug IS NULL OR loc IS NULL").groupBy("slug").agg(F.count("*").alias("n"))
+    why = F.when(F.col("slug").isNull(), F.concat(F.col("n").cast("string"), F.lit(" hits dropped: their book is not in the truth"))).otherwise(
+        F.concat("slug", F.lit(": "), F.col("n").cast("string"), F.lit(" hits dropped: their record joins no node"))
+    )
+    return lost.withColumn("note", why)
+
+
+def cost_totals(stages: DataFrame) -> DataFrame:
+    """One row of sums over stages: tokens, seconds, and how many calls told no usage."""
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return stages.agg(add("input_tokens"), add("output_tokens"), add("embedding_tokens"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("wall_seconds"), F.count_if(F.col("input_tokens").isNull()).alias("unreported"))
+
+
 #: Distinct titles, about, that are sent to every worker at a time.
 TITLES = 50_000
 

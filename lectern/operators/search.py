@@ -100,6 +100,47 @@ def search(store, embedder, query: str, limit: int = 10, offset: int = 0, thresh
     return resolve(hits, rows).orderBy("rank"), tokens
 
 
+#: Queries that are sent to every worker at a time.
+QUERIES = 1_000
+
+
+def many_top_k(points: DataFrame, queries: Sequence[tuple[str, Sequence[float], str | None]], k: int = 10, queries_a_pass: int = QUERIES) -> DataFrame:
+    """``(query_id, rank, point_id, record_type, record_id, book_id, score)``: the ``k`` best points of every query.
+
+    A query is (id, numbers, book or None); one with a book sees that book's points alone.  Each pass reads the points
+    once for up to ``queries_a_pass`` queries and keeps ``k`` points a query and batch.  Scores and ties are those of
+    ``top_k``; a repeated point counts once.
+    """
+    size = {len(v) for _, v, _ in queries}
+    if len(size) != 1 or 0 in size or k < 1:
+        raise ValueError("queries need vectors of one size and a positive limit")
+    rows = points.where(usable(F.col("vector"), size.pop()) & F.col("point_id").isNotNull())
+    spark, out = points.sparkSession, None
+    for at in range(0, len(queries), queries_a_pass):
+        part = queries[at : at + queries_a_pass]
+        shared = spark.sparkContext.broadcast(([q for q, _, _ in part], np.array([v for _, v, _ in part], dtype="f8"), [b for _, _, b in part]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q, books = shared.value
+            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            for pdf in batches:
+                pdf = pdf.drop_duplicates("point_id", ignore_index=True)
+                if not len(pdf):
+                    continue
+                p = np.array(pdf["vector"].tolist(), dtype="f8")
+                sims = np.round(q @ (p / np.linalg.norm(p, axis=1, keepdims=True)).T, 6)
+                for i, book in enumerate(books):
+                    seen = np.arange(len(pdf)) if book is None else np.flatnonzero(pdf["book_id"].to_numpy() == book)
+                    best = seen[np.lexsort((pdf["point_id"].to_numpy()[seen], -sims[i, seen]))[:k]]
+                    if len(best):
+                        yield pdf.iloc[best].drop(columns="vector").assign(query_id=ids[i], score=sims[i, best])
+
+        found = rows.select("point_id", "record_type", "record_id", "book_id", "vector").mapInPandas(run, "query_id string, point_id string, record_type string, record_id string, book_id string, score double")
+        out = found if out is None else out.unionByName(found)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
+    return out.dropDuplicates(["query_id", "point_id"]).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "point_id", "record_type", "record_id", "book_id", "score")
+
+
 def records(chapters: DataFrame, sections: DataFrame, objects: DataFrame) -> DataFrame:
     """``(record_type, record_id, title)`` of everything a hit may name."""
     parts = [(chapters, "chapter_id", "chapter"), (sections, "section_id", "section"), (objects, "object_id", "knowledge_object")]

@@ -16,7 +16,7 @@ KINDS = ("exact-term", "conceptual", "cross-book")
 MIN_OF_KIND = 4
 
 SCHEMAS = {
-    "books": "slug string, title string, area string, sha256 string, source string",
+    "books": "slug string, title string, area string, sha256 string, source string, edition string, year string, isbn string",
     "nodes": "book string, loc string, parent_loc string, kind string, title string, position int",
     "queries": "query_id string, book string, area string, q string, kind string, why string, gated boolean",
     "expects": "query_id string, book string, loc string",
@@ -66,7 +66,7 @@ def load(spark: SparkSession, assets: Path) -> Truth:
         slug = folder.name
         book = _document(folder, "book") or {}
         source = book.get("source") or {}
-        rows["books"].append((slug, book.get("title"), book.get("area"), source.get("sha256"), source.get("file") or f"sources/{slug}.pdf"))
+        rows["books"].append((slug, book.get("title"), book.get("area"), source.get("sha256"), source.get("file") or f"sources/{slug}.pdf", *[None if book.get(k) is None else str(book[k]) for k in ("edition", "year", "isbn")]))
         toc, at = _document(folder, "toc") or {}, 0
         for part, kind in (("front_matter", "front-matter"), ("chapters", "chapter"), ("back_matter", "back-matter")):
             for node in _list(toc.get(part)):
