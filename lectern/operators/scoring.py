@@ -98,7 +98,8 @@ def chosen_results(queries: DataFrame, results: DataFrame) -> DataFrame:
     ``queries`` has query_id, q, book, area; ``results`` q, book, area, at.  A result of the query's own book and area
     wins over one without any, the earlier over the later.
     """
-    named = results.select("q", F.col("book").alias("__book"), F.col("area").alias("__area"), "at")
+    # One row for each question and scope, so a question asked by many meets few.
+    named = results.groupBy("q", F.col("book").alias("__book"), F.col("area").alias("__area")).agg(F.min("at").alias("at"))
     both = queries.select("query_id", "q", "book", "area").join(named, "q", "left")
     exact = F.col("__book").eqNullSafe(F.col("book")) & F.col("__area").eqNullSafe(F.col("area"))
     loose = F.col("__book").isNull() & F.col("__area").isNull()
