@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lectern.session import durable
-
 # The nine types of knowledge.
 KNOWLEDGE_TYPES = ("Practice", "Principle", "Tradeoff", "Anti-pattern", "Smell", "Decision Rule", "Definition", "Glossary", "Checklist")
 LLM_STAGES = ("profile", "extraction", "summaries")
@@ -25,7 +23,7 @@ def once(df: DataFrame, key: str) -> DataFrame:
 
 
 #: Keys of repeated rows that may be sent to every worker.
-MOST_REPEATED = 1_000_000
+MOST_REPEATED = 200_000
 
 
 def once_wide(df: DataFrame, key: str) -> DataFrame:
@@ -34,10 +32,13 @@ def once_wide(df: DataFrame, key: str) -> DataFrame:
     Repeated keys are found on the key column alone.  Up to ``MOST_REPEATED`` of them are broadcast; with more, all
     rows are exchanged by key as in ``once``.
     """
-    twice = durable(df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key), "repeated")
-    if twice.count() > MOST_REPEATED:
+    twice = df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
+    keys = twice.limit(MOST_REPEATED + 1).collect()
+    if not keys:
+        return df
+    if len(keys) > MOST_REPEATED:
         return once(df, key)
-    repeated = F.broadcast(twice)
+    repeated = F.broadcast(df.sparkSession.createDataFrame(keys, twice.schema))
     return df.join(repeated, key, "left_anti").unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]))
 
 

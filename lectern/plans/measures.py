@@ -364,3 +364,35 @@ def node_kinds(spark: SparkSession, root: str) -> DataFrame:
     n = lambda c: F.count_if(c)
     kind = F.col("kind")
     return rows.groupBy("book_id").agg(n(kind == "chapter").alias("chapters"), n(kind == "section").alias("sections"), n(kind.endswith("matter")).alias("matter")).withColumn("few_chapters", F.col("chapters") < 4)
+
+
+@query("""
+WITH o AS (SELECT DISTINCT object_id, chapter_id, section_id FROM knowledge_objects), c AS (SELECT chapter_id FROM chapters WHERE position % 5 <> 0), s AS (SELECT section_id FROM sections WHERE position % 4 <> 1)
+SELECT 'chapter' AS what, chapter_id AS missing, count(*) AS n FROM o WHERE chapter_id IS NOT NULL AND chapter_id NOT IN (SELECT chapter_id FROM c) GROUP BY ALL
+UNION ALL SELECT 'section', section_id, count(*) FROM o WHERE section_id IS NOT NULL AND section_id NOT IN (SELECT section_id FROM s) GROUP BY ALL
+""")
+def lint_dangling(spark: SparkSession, root: str) -> DataFrame:
+    """References into a structure that lacks every fifth chapter and every fourth section, by what they name."""
+    o = reads.once(table(spark, root, "knowledge_objects"), "object_id")
+    kept = {"chapter": table(spark, root, "chapters").where("position % 5 != 0"), "section": table(spark, root, "sections").where("position % 4 != 1")}
+    parts = []
+    for what, rows in kept.items():
+        key = f"{what}_id"
+        lost = o.where(F.col(key).isNotNull()).join(rows.select(key).distinct(), key, "left_anti")
+        parts.append(lost.groupBy(F.lit(what).alias("what"), F.col(key).alias("missing")).agg(F.count("*").alias("n")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(r"""
+WITH b AS (SELECT DISTINCT book_id, original_filename AS name, checksum, file_hash FROM books),
+c AS (SELECT book_id, lower(regexp_extract(name, '\.([^./]*)$', 1)) AS suffix, CASE WHEN left(checksum, 1) < '8' THEN 'pdf' WHEN left(checksum, 1) < 'e' THEN 'epub' ELSE 'none' END AS really, file_hash FROM b)
+SELECT book_id, CASE WHEN suffix = really THEN really END AS file_format,
+  sha256(encode(CASE really WHEN 'pdf' THEN '%PDF-1.7' WHEN 'epub' THEN 'PK' || chr(3) || chr(4) ELSE 'text' END || coalesce(file_hash, ''))) AS digest FROM c
+""")
+def file_formats(spark: SparkSession, root: str) -> DataFrame:
+    """Formats and hashes of contents made for the books' file names, of which some begin like another format."""
+    b = reads.once(table(spark, root, "books"), "book_id").select("book_id", "original_filename", "checksum", "file_hash")
+    first = F.left("checksum", F.lit(1))
+    begin = F.when(first < "8", "%PDF-1.7").when(first < "e", "PK\x03\x04").otherwise("text")
+    content = F.concat(begin, F.coalesce("file_hash", F.lit(""))).cast("binary")
+    return b.select("book_id", files.file_format(F.col("original_filename"), content).alias("file_format"), F.sha2(content, 256).alias("digest"))

@@ -79,7 +79,15 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     _forget_at_exit(spark)
     path = os.path.join(_own_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a durable table once nothing will read it again."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._durable_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
