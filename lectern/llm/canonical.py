@@ -234,7 +234,8 @@ def canonical_map(values: DataFrame, reference: DataFrame, field: str) -> DataFr
     """
     spark = values.sparkSession
     listed = reference.where(F.col("field") == field).select("canon_id", "name", "aliases").distinct()
-    blocks = 1 + listed.count() // BLOCK
+    few = listed.limit(BLOCK + 1).collect()
+    blocks = 1 if len(few) <= BLOCK else 1 + listed.count() // BLOCK
     width = spark.sparkContext.defaultParallelism
     distinct = values.select("value").where("value is not null").where(F.regexp_replace("value", r"\p{Z}|\s", "") != "").distinct().repartition(width, "value")
 
@@ -242,7 +243,7 @@ def canonical_map(values: DataFrame, reference: DataFrame, field: str) -> DataFr
         """``df`` through one matcher after the other."""
         out = None
         for b in range(blocks):
-            rows = listed.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect()
+            rows = few if blocks == 1 else listed.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect()
             entries = [(r["canon_id"], r["name"] or "", r["aliases"]) for r in rows]
             part = df.mapInPandas(functools.partial(run, entries), schema)
             out = part if out is None else out.unionByName(part)

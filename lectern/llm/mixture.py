@@ -122,14 +122,13 @@ def mix(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         listed[["source", "target_share", "tokens", "max_repeats"]].astype({"max_repeats": "int64"}),
         "source string, target_share double, available_tokens bigint, max_repeats bigint",
     )
-    whole = used.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("uses")), F.lit(0)).alias("__all"))
+    drawn_tokens = used.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("uses")), F.lit(0))).first()[0]
     shares = (
         facts.join(drawn, "source", "left")
-        .crossJoin(F.broadcast(whole))  # one row
         .select(
             "source",
             "target_share",
-            F.coalesce(F.try_divide(F.coalesce("actual_tokens", F.lit(0)), F.col("__all")), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.try_divide(F.coalesce("actual_tokens", F.lit(0)), F.lit(drawn_tokens)), F.lit(0.0)).alias("actual_share"),
             F.round(F.col("target_share") * total).cast("bigint").alias("target_tokens"),
             F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"),
             "available_tokens",

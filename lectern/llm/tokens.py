@@ -20,7 +20,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the vocabulary files; a parameter of every function here.
@@ -32,6 +33,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Words kept with their ids by each worker; beyond it the table is emptied, which changes no result.
 KEPT_WORDS = 400_000
+#: Transitions kept by each worker, under the same rule.
+KEPT_ARCS = 4_000_000
 
 _START = -1
 _WORKER: dict = {}
@@ -68,6 +71,8 @@ class MergeAutomaton:
             return True
         known = self._table.get((state, label))
         if known is None:
+            if len(self._table) >= KEPT_ARCS:
+                self._table.clear()
             known = self._table[state, label] = self._compile(state, label)
         return known
 
@@ -201,6 +206,12 @@ def vocabulary_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
     return os.path.join(folder, f"{name}.json")
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which workers find a vocabulary file; only the driver needs the folder it lies in."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_texts(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
     """``(key, ids)`` for every row: the text's ids without special tokens.
 
@@ -209,11 +220,11 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", path: str | None =
     """
     import numpy as np
 
-    path = path or vocabulary_path()
+    name = shipped(df.sparkSession, path or vocabulary_path())
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start in range(0, len(texts), 2000):
@@ -229,11 +240,11 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", path: str | None =
 
 def count_tokens(df: DataFrame, keys: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``keys`` and ``n_tokens`` of every row; the ids themselves never leave the worker."""
-    path = path or vocabulary_path()
+    name = shipped(df.sparkSession, path or vocabulary_path())
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(SparkFiles.get(name))
         for batch in batches:
             n = pa.array([len(encode(t)) for t in batch.column(len(keys)).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], n], names=[*keys, "n_tokens"])

@@ -167,3 +167,53 @@ def rates(judged: DataFrame) -> DataFrame:
     return judged.groupBy("tbl", "model").agg(
         F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_rate")
     )
+
+
+# --- the same in DuckDB's SQL --------------------------------------------------------------------------------------
+
+_DUCK_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({c})" for c in (*range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_DUCK_CLOSERS = "[\"''”’»)\\]*_]*"
+_DUCK_JSON = r'^\s*(```[a-zA-Z]*\s*)?(\[\s*[{"\]]|\{\s*["}]|\[\s*$|\{\s*$|null$)'
+_DUCK_ITEM = r"(?m)^[ \t]*(?:[-*+•]|\(?\d+[.)]|#+|\\item)[ \t]+[^\n]*?(\S+)[ \t]*\n"
+_DUCK_HEADS = "|".join(f"{'=' * n}[^=].*[^=]{'=' * n}" for n in range(1, 7))
+_DUCK_MARK = "CASE " + " ".join(f"WHEN suffix(whole, '{m}') THEN {len(m)}" for m in _MARKS) + " ELSE 0 END"
+
+DUCKDB_JUDGED = rf"""
+texts AS ({" UNION ".join(f"SELECT '{name}' AS tbl, {key} AS rec_id, {model} AS model, {text} AS text FROM {name}" for name, key, text, model in SOURCES)}),
+texty AS (SELECT * FROM texts WHERE regexp_matches(text, '[^\s\p{{Z}}]')),
+a AS (SELECT tbl, rec_id, model, rtrim(text, {_DUCK_BLANK}) AS whole FROM texty),
+b AS (SELECT *, {_DUCK_MARK} AS mark, regexp_matches(whole, '{_DUCK_JSON}') AS json_like FROM a),
+c AS (SELECT *, CASE WHEN mark = 0 THEN whole ELSE rtrim(left(whole, length(whole) - mark), {_DUCK_BLANK}) END AS body FROM b),
+d AS (SELECT *, string_split(body, chr(10))[-1] AS line FROM c),
+e AS (SELECT *, string_split(replace(line, chr(9), ' '), ' ')[-1] AS word FROM d),
+shapes AS (SELECT tbl, rec_id, model, word,
+  CASE WHEN json_like THEN CASE WHEN json_valid(regexp_replace(CASE WHEN suffix(whole, '```') THEN rtrim(left(whole, length(whole) - 3), {_DUCK_BLANK}) ELSE whole END, '^\s*```[a-zA-Z]*\s*', '')) THEN 'whole' ELSE 'cut' END
+    WHEN suffix(whole, chr(65533)) THEN 'cut'
+    WHEN len(regexp_extract_all(body, '(?m)^[ ]{{0,3}}(```|~~~)')) % 2 = 1 THEN 'cut'
+    WHEN mark > 0 THEN 'mark'
+    WHEN regexp_matches(word, '[.!?。！？।॥…]{_DUCK_CLOSERS}(`|\}}|</[a-zA-Z]+>|\[\^[^\]]*\]|\\[a-z]+\{{[^}}]*\}})*$') THEN 'stop'
+    WHEN regexp_matches(line, '^[ ]{{0,3}}(```|~~~)[ \t]*$') THEN 'whole'
+    WHEN suffix(body, '|') AND regexp_matches(line, '^[ \t]*\|') OR line = '|}}' THEN 'whole'
+    WHEN regexp_matches(line, '^[ \t]*({_DUCK_HEADS})$') THEN 'whole'
+    WHEN regexp_matches(line, '^[ \t]*\[\^[^\]]+\]:[ \t]*\S') THEN 'item'
+    WHEN regexp_matches(line, '(?i)</(p|div|section|article|li|ul|ol|blockquote|table|tr|td|th|h[1-6]|pre|main|body|html)\s*>$|<(br|hr|img)\b[^>]*>$|-->$') THEN 'whole'
+    WHEN regexp_matches(line, '\\end\{{[^}}]*\}}$|\\(sub)*(section|paragraph|chapter)\*?\{{[^}}]*\}}$|^[ \t]*\{{\{{.*\}}\}}$') THEN 'whole'
+    WHEN suffix(body, '\]') OR suffix(body, '\)') THEN 'whole'
+    WHEN regexp_matches(line, '\[\[(Category|File|Image):[^\]]*\]\]$') THEN 'whole'
+    WHEN suffix(body, '$$') AND len(string_split(body, '$$')) % 2 = 1 THEN 'whole'
+    WHEN regexp_matches(line, '^[ \t]*(\*\*|__)[^*_]+(\*\*|__)$') THEN 'whole'
+    WHEN regexp_matches(line, '^[ \t]*([-*+•]|\(?\d+[.)]|#+|\\item)[ \t]+\S') THEN 'item' ELSE 'bare' END AS shape,
+  regexp_replace(regexp_replace(array_to_string(string_split(replace(replace(body, chr(10), ' '), chr(9), ' '), ' ')[-3:], ' '), '\d+', '9', 'g'), '\s+', ' ', 'g') AS trigram FROM e),
+open AS (SELECT *, regexp_replace(word, '\d+', '9', 'g') AS folded FROM shapes WHERE shape NOT IN ('whole', 'cut')),
+counted AS (SELECT trigram, count(*) AS ends, count(*) FILTER (shape = 'mark') AS marks FROM open GROUP BY 1),
+prose AS (SELECT text, w, len(w) AS n FROM (SELECT text, string_split_regex(trim(regexp_replace(text, '\d+', '9', 'g'), {_DUCK_BLANK}), '\s+') AS w FROM texty WHERE NOT regexp_matches(text, '{_DUCK_JSON}'))),
+t AS (SELECT k, count(*) AS inside FROM (SELECT unnest(list_transform(range(1, n - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k FROM prose WHERE n > 3) GROUP BY 1),
+u AS (SELECT k, count(*) AS inside FROM (SELECT unnest(w[:n - 1]) AS k FROM prose WHERE n > 1) GROUP BY 1),
+f AS (SELECT k, sum(inside) AS inside FROM (SELECT rtrim(k, '.!?…:') AS k, inside FROM u WHERE right(k, 1) IN ('.', '!', '?', '…', ':') UNION ALL
+  SELECT regexp_replace(x, '\d+', '9', 'g'), 1 FROM (SELECT unnest(regexp_extract_all(text, '{_DUCK_ITEM}', 1)) AS x FROM prose)) GROUP BY 1),
+seen AS (SELECT open.tbl, open.rec_id, open.model, shape, ends, marks, coalesce(t.inside, 0) AS t, coalesce(f.inside, 0) AS f, coalesce(u.inside, 0) AS u, count(*) OVER () AS n
+  FROM open JOIN counted USING (trigram) LEFT JOIN t ON t.k = trim(trigram, ' ') LEFT JOIN f ON f.k = folded LEFT JOIN u ON u.k = folded),
+judged AS (SELECT tbl, rec_id, model, shape = 'cut' AS cut FROM shapes WHERE shape IN ('whole', 'cut') UNION ALL
+  SELECT tbl, rec_id, model, CASE shape WHEN 'stop' THEN (ends - 0.5) / (t + ends) < {FINAL_SHARE} WHEN 'item' THEN (f + 0.001) / (f + u + 1) < {ITEM_SHARE}
+    WHEN 'mark' THEN (marks - 1) / (t + marks - 1 + (0.5 + {ENDING_SHARE} * n) / {FINAL_SHARE}) < {FINAL_SHARE} ELSE (ends - 1) / (t + ends - 1 + (1 + {ENDING_SHARE} * n) / {FINAL_SHARE}) < {FINAL_SHARE} END FROM seen)
+"""
