@@ -67,7 +67,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return (
         _canonical(spark, root)
         .where(F.trim(F.regexp_replace("value", r"\p{Z}|\s", "")) != "")
-        .join(F.broadcast(names), ["field", "value"], "left_anti")
+        .join(names, ["field", "value"], "left_anti")
         .select("field", "rec_id", F.col("canon_id").cast("bigint").alias("canon_id"))
     )
 
@@ -117,16 +117,23 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Each object with its group of alike objects (the group's smallest class) and the number of its class's links."""
+    """Each object with its group of alike objects, its class of equal words and the number of its class's links.
+
+    Groups and classes go by their smallest object_id.
+    """
     members, texts = neardup.classes(table(spark, root, "knowledge_objects"), "object_id", _CONTENT)
     links = durable(neardup.similar(texts, 0.75).select("a", "b"), "similar")
     ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
-    groups = graph.components(links).withColumnRenamed("node", "cid")
+    heads = members.groupBy("class").agg(F.min("object_id").alias("class_id"))
+    heads = durable(heads.join(texts.select("cid", "class").hint("merge"), "class"), "heads")
+    groups = durable(graph.components(links).withColumnRenamed("node", "cid"), "groups")
+    named = groups.join(heads.hint("merge"), "cid").groupBy("component").agg(F.min("class_id").alias("group_id"))
+    groups = groups.join(named, "component").select("cid", "group_id")
     return (
-        members.join(texts.select("cid", "class").hint("merge"), "class")
+        members.join(heads.hint("merge"), "class")
         .join(ends, "cid", "left")
         .join(groups, "cid", "left")
-        .select("object_id", F.coalesce("component", "cid").alias("group_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("object_id", F.coalesce("group_id", "class_id").alias("group_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
@@ -170,4 +177,34 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
-ORACLES: dict[str, str] = {}
+
+# Brute force for the searches, on the small tables where the oracle runs.
+_WORDS = """
+o AS (SELECT DISTINCT object_id, lower(coalesce(title, '') || ' ' || coalesce(content, '') || ' ' || coalesce(summary, '')) AS t FROM knowledge_objects),
+w AS (SELECT object_id, word, count(*) AS n FROM (SELECT object_id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) AS word FROM o) GROUP BY 1, 2),
+sizes AS (SELECT object_id, sum(n) AS total FROM w GROUP BY 1)
+"""
+_COSINES = """
+u AS (SELECT DISTINCT point_id, vector::DOUBLE[] AS v FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+s AS (SELECT a.point_id, b.point_id AS neighbour_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS sim FROM u a JOIN u b ON a.point_id <> b.point_id),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY sim DESC, neighbour_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10)
+"""
+ORACLES: dict[str, str] = {
+    "p3_found": f"""
+WITH {_WORDS}, c AS (SELECT a.object_id AS object_id_a, b.object_id AS object_id_b, sum(least(a.n, b.n)) AS common FROM w a JOIN w b ON a.word = b.word AND a.object_id < b.object_id GROUP BY 1, 2)
+SELECT object_id_a, object_id_b FROM c JOIN sizes a ON a.object_id = object_id_a JOIN sizes b ON b.object_id = object_id_b WHERE common >= 0.75 * (a.total + b.total - common)
+""",
+    "p5_found": f"WITH {truncation.DUCKDB_JUDGED} SELECT tbl, rec_id FROM judged WHERE cut",
+    "p5_rates": f"WITH {truncation.DUCKDB_JUDGED} SELECT tbl, model, count(*) AS n_texts, count(*) FILTER (cut) AS n_cut, round(count(*) FILTER (cut) / count(*), 6) AS cut_rate FROM judged GROUP BY 1, 2",
+    "p3_groups": f"""
+WITH RECURSIVE {_WORDS}, bag AS (SELECT object_id, string_agg(word || ' ' || n, ',' ORDER BY word) AS words FROM w GROUP BY 1),
+k AS (SELECT object_id, min(object_id) OVER (PARTITION BY words) AS class_id FROM bag), first AS (SELECT w.* FROM w JOIN k USING (object_id) WHERE object_id = class_id),
+c AS (SELECT a.object_id AS a, b.object_id AS b, sum(least(a.n, b.n)) AS common FROM first a JOIN first b ON a.word = b.word AND a.object_id <> b.object_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM c JOIN sizes x ON x.object_id = a JOIN sizes y ON y.object_id = b WHERE common >= 0.75 * (x.total + y.total - common)),
+reach AS (SELECT a AS node, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node),
+g AS (SELECT node, min(root) AS group_id FROM reach GROUP BY 1), d AS (SELECT a, count(*) AS n_links FROM link GROUP BY 1)
+SELECT k.object_id, coalesce(g.group_id, k.class_id) AS group_id, k.class_id, coalesce(d.n_links, 0) AS n_links FROM k LEFT JOIN g ON g.node = k.class_id LEFT JOIN d ON d.a = k.class_id
+""",
+    "p4_neighbours": f"WITH {_COSINES} SELECT point_id, neighbour_id, sim, rank FROM n",
+    "p4_found": f"WITH {_COSINES} SELECT DISTINCT least(point_id, neighbour_id) AS point_id_a, greatest(point_id, neighbour_id) AS point_id_b FROM n",
+}

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import durable
+from lectern.session import discard, durable
 
 #: Words of a k-mer, sampled k-mers of a signature, signatures of a text.
 K = 3
 SAMPLED = 2
-SIGNATURES = 40
+SIGNATURES = 56
 #: Share of all texts beyond which a k-mer is a phrase of the language.
 FREQUENT = 0.002
 #: Below so many informative k-mers a text is sampled from all of them too.
@@ -51,6 +51,8 @@ CHUNK = 20_000
 #: Half the width of the alignment's band; rows of bands that are in memory together.
 BAND = 8
 CELLS = 100_000
+#: Keys of records without a text of their own that may be sent to every worker.
+MOST_ODD = 500_000
 
 _U = np.uint64
 
@@ -129,6 +131,11 @@ def signatures(h: np.ndarray, doc: np.ndarray, salt: int = 0, count: int = SIGNA
     return texts, out
 
 
+def _digest(words: np.ndarray) -> bytes:
+    """A digest of a multiset of words."""
+    return hashlib.blake2b(np.sort(words).tobytes(), digest_size=16).digest()
+
+
 def tokenized(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``(key, class, words)``: 32-bit hashes of a record's words in order, and a digest of their multiset.
 
@@ -152,7 +159,7 @@ def tokenized(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
                 flat.extend([kept[w] if w in kept else code(w) for w in words(text)])
                 ends.append(len(flat))
             all_words = np.array(flat, dtype=np.int32)
-            digests = [hashlib.blake2b(np.sort(all_words[a:b]).tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
+            digests = [_digest(all_words[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             column = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(all_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, type=pa.binary()), column], names=[key, "class", "words"])
 
@@ -281,11 +288,30 @@ def common_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def classes(records: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(key, class)`` of every record, once each, and ``(cid, class, words)`` of every class of equal words."""
-    words = durable(tokenized(records, key, columns), "words")
-    members = words.select(key, "class").where(F.size("words") > 0).distinct()
-    texts = words.where(F.size("words") > 0).groupBy("class").agg(F.first("words").alias("words"))
-    return members, durable(texts.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    """``(key, class)`` of every record, once each, and ``(cid, class, words)`` of every class of equal words.
+
+    Only keys and digests are exchanged to find what repeats: the words of a class are those of the record whose key
+    hashes least, and all other records, and rows delivered again, are left out where they lie while their keys are few
+    enough to be broadcast.
+    """
+    tokens = durable(tokenized(records, key, columns), "words")
+    words = tokens.where(F.col("class") != F.lit(bytearray(_digest(np.zeros(0, dtype=np.int32)))))
+    keyed = durable(words.groupBy(key, "class").agg(F.count("*").alias("n")), "keyed")
+    several = keyed.groupBy("class").agg(F.min(F.xxhash64(key)).alias("least"), F.count("*").alias("keys")).where("keys > 1").drop("keys")
+    several = durable(several, "several")
+    texts = None
+    if several.count() <= MOST_ODD:
+        is_first = F.coalesce(F.xxhash64(key) == F.col("least"), F.lit(True))
+        odd = keyed.join(F.broadcast(several), "class", "left").withColumn("is_first", is_first).where("NOT is_first OR n > 1")
+        odd = durable(odd.select(key, "is_first"), "odd")
+        if odd.count() <= MOST_ODD:
+            others, twice = F.broadcast(odd.select(key)), F.broadcast(odd.where("is_first").select(key))
+            texts = words.join(others, key, "left_anti").unionByName(words.join(twice, key, "left_semi").dropDuplicates([key])).select("class", "words")
+    if texts is None:
+        texts = words.groupBy("class").agg(F.first("words").alias("words"))
+    texts = durable(texts.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    discard(tokens)
+    return keyed.select(key, "class"), texts
 
 
 def similar(texts: DataFrame, threshold: float) -> DataFrame:
@@ -339,8 +365,7 @@ def pairs(records: DataFrame, key: str, columns: list[str], threshold: float) ->
     """
     members, texts = classes(records, key, columns)
     found = durable(similar(texts, threshold), "similar")
-    ids = texts.select("cid", "class").hint("merge")
-    named = members.join(ids, "class").select("cid", key).hint("merge")
+    named = members.join(texts.select("cid", "class").hint("merge"), "class").select("cid", key).hint("merge")
     # Only classes with several members pair within themselves.
     several = named.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("similarity"))
     links = found.unionByName(several)
