@@ -246,6 +246,18 @@ def test_abbreviations_are_learned():
     assert model.stop_word("Xyz.") < 0 < model.stop_word("well.")
 
 
+def test_marks_and_what_follows_them_are_learned_from_all_texts():
+    # A sign that stands before lower-case words and ends no block ends no sentence before a capital either.
+    texts = [f"We ask Kelo! about plan {i} first. Then the plan grows." for i in range(300)]
+    model = sentences.fit(texts)
+    assert model.mark("!") < -2 < model.mark(".") and model.follow["l"] < -5 < 0 < model.follow["u"]
+    text = "We ask Kelo! Later it grows. It ends."
+    assert _split(text, model) == ["We ask Kelo! Later it grows.", "It ends."] and _split(text) == ["We ask Kelo!", "Later it grows.", "It ends."]
+    # Where blocks begin with lower-case letters, such a letter begins a sentence.
+    small = sentences.fit([f"so it goes in plan {i} here. then it ends!" for i in range(300)])
+    assert small.follow["l"] > model.follow["l"] + 5
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "  ", 2), (3, "One. Two.", 3), (3, "One. Two.", 3)], "doc_id bigint, text string, start_pos int")
     assert sentences.split(df).count() == 4
