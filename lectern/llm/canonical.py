@@ -227,87 +227,110 @@ def closest(scores: list[tuple[float, int]]) -> int:
     return order[0][1]
 
 
-def canonical_map(values: DataFrame, reference: DataFrame, field: str) -> DataFrame:
-    """``(value, canon_id)`` for the distinct values of ``values`` (one string column ``value``).
+def _matchers(rows: list) -> dict[str, Matcher]:
+    """A matcher for each field of some reference rows."""
+    fields: dict[str, list] = {}
+    for r in rows:
+        fields.setdefault(r["field"], []).append((r["canon_id"], r["name"] or "", r["aliases"]))
+    return {field: Matcher(entries) for field, entries in fields.items()}
 
-    Null and blank values are left out; an empty reference list maps everything to 0.
+
+def canonical_map(values: DataFrame, reference: DataFrame) -> DataFrame:
+    """``(field, value, canon_id)`` for the distinct ``(field, value)`` of ``values``; all fields go together.
+
+    Null and blank values are left out; a field without reference entries maps everything to 0.
     """
     spark = values.sparkSession
-    listed = reference.where(F.col("field") == field).select("canon_id", "name", "aliases").distinct()
+    listed = reference.where("field IS NOT NULL").select("field", "canon_id", "name", "aliases").distinct()
     few = listed.limit(BLOCK + 1).collect()
     blocks = 1 if len(few) <= BLOCK else 1 + listed.count() // BLOCK
     width = spark.sparkContext.defaultParallelism
-    distinct = values.select("value").where("value is not null").where(F.regexp_replace("value", r"\p{Z}|\s", "") != "").distinct().repartition(width, "value")
+    bare = F.regexp_replace("value", r"\p{Z}|\s", "")
+    distinct = values.select("field", "value").where("value is not null").where(bare != "").distinct().repartition(width, "field", "value")
+    nothing = Matcher([])
 
     def over_blocks(df: DataFrame, run, schema: str) -> DataFrame:
-        """``df`` through one matcher after the other."""
+        """``df`` through the matchers of one block after the other."""
         out = None
         for b in range(blocks):
             rows = few if blocks == 1 else listed.where(F.pmod(F.xxhash64("canon_id"), F.lit(blocks)) == b).collect()
-            entries = [(r["canon_id"], r["name"] or "", r["aliases"]) for r in rows]
-            part = df.mapInPandas(functools.partial(run, entries), schema)
+            part = df.mapInPandas(functools.partial(run, [r.asDict() for r in rows]), f"field string, value string, {schema}")
             out = part if out is None else out.unionByName(part)
         return out
 
-    def mentions(entries, batches):
-        matcher = Matcher(entries)
+    def mentions(rows, batches):
+        matchers = _matchers(rows)
         for pdf in batches:
-            rows = []
-            for value in pdf["value"]:
-                words = fold(value)
+            out = []
+            for field, value in zip(pdf["field"], pdf["value"], strict=True):
+                words, matcher = fold(value), matchers.get(field, nothing)
                 found = [{"canon": c, "start": s, "n": n} for c, s, n in matcher.mentions(words)]
-                rows.append((value, matcher.names.get(" ".join(words)), matcher.joined.get("".join(words)), found))
-            yield pd.DataFrame(rows, columns=["value", "whole", "joined", "found"]).astype({"value": "str", "whole": "Int64", "joined": "Int64"})
+                out.append((field, value, matcher.names.get(" ".join(words)), matcher.joined.get("".join(words)), found))
+            yield pd.DataFrame(out, columns=["field", "value", "whole", "joined", "found"]).astype({"field": "str", "value": "str", "whole": "Int64", "joined": "Int64"})
 
-    found = over_blocks(distinct, mentions, "value string, whole bigint, joined bigint, found array<struct<canon:bigint,start:int,n:int>>")
+    found = over_blocks(distinct, mentions, "whole bigint, joined bigint, found array<struct<canon:bigint,start:int,n:int>>")
     if blocks > 1:
-        found = found.groupBy("value").agg(F.min("whole").alias("whole"), F.min("joined").alias("joined"), F.flatten(F.collect_list("found")).alias("found"))
+        found = found.groupBy("field", "value").agg(F.min("whole").alias("whole"), F.min("joined").alias("joined"), F.flatten(F.collect_list("found")).alias("found"))
     found = durable(found, "mentions").withColumn("whole", F.coalesce("whole", "joined"))
     tuples = lambda rows: [(r["canon"], r["start"], r["n"]) for r in rows]
 
     def words_beside(batches):
         for pdf in batches:
-            rows = [x for value, marks in zip(pdf["value"], pdf["found"], strict=True) for x in beside(value, tuples(marks))]
-            yield pd.DataFrame(rows, columns=["word", "canon"]).astype({"word": "str", "canon": "int64"})
-
-    # A decoration stands beside two entries and makes up a thousandth of all such words: at most 1000 words return.
-    seen = found.select("value", "found").mapInPandas(words_beside, "word string, canon bigint").groupBy("word").agg(F.countDistinct("canon").alias("canons"), F.count("*").alias("n"))
-    seen = durable(seen, "beside")
-    whole = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    decoration = frozenset(r["word"] for r in seen.where((F.col("canons") > 1) & (F.col("n") * 1000 >= whole)).select("word").collect())
+            rows = [(field, *x) for field, value, marks in zip(pdf["field"], pdf["value"], pdf["found"], strict=True) for x in beside(value, tuples(marks))]
+            yield pd.DataFrame(rows, columns=["field", "word", "canon"]).astype({"field": "str", "word": "str", "canon": "int64"})
+
+    # A decoration stands beside two entries and makes up a thousandth of all such words of its field: at most 1000
+    # words of a field return.
+    seen = found.select("field", "value", "found").mapInPandas(words_beside, "field string, word string, canon bigint")
+    seen = durable(seen.groupBy("field", "word").agg(F.countDistinct("canon").alias("canons"), F.count("*").alias("n")), "beside")
+    common = seen.join(F.broadcast(seen.groupBy("field").agg(F.sum("n").alias("whole"))), "field")  # a row for each field of the list
+    decoration: dict[str, set[str]] = {}
+    for r in common.where("canons > 1 AND n * 1000 >= whole").select("field", "word").collect():
+        decoration.setdefault(r["field"], set()).add(r["word"])
+    decoration = {field: frozenset(words) for field, words in decoration.items()}
+    no_words: frozenset[str] = frozenset()
 
     def decide(batches):
         for pdf in batches:
-            canon = [mentioned(v, tuples(m), decoration) for v, m in zip(pdf["value"], pdf["found"], strict=True)]
-            yield pd.DataFrame({"value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
+            canon = [mentioned(v, tuples(m), decoration.get(f, no_words)) for f, v, m in zip(pdf["field"], pdf["value"], pdf["found"], strict=True)]
+            yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
 
-    settled = found.where("whole IS NOT NULL").select("value", F.col("whole").alias("canon_id"))
-    decided = durable(found.where("whole IS NULL").select("value", "found").mapInPandas(decide, "value string, canon_id bigint"), "mentioned")
+    settled = found.where("whole IS NOT NULL").select("field", "value", F.col("whole").alias("canon_id"))
+    decided = durable(found.where("whole IS NULL").select("field", "value", "found").mapInPandas(decide, "field string, value string, canon_id bigint"), "mentioned")
 
-    def similar(entries, batches):
-        matcher = Matcher(entries)
+    def similar(rows, batches):
+        matchers = _matchers(rows)
         for pdf in batches:
-            best = [[{"score": s, "canon": c} for s, c in matcher.scores(fold(v), decoration)] for v in pdf["value"]]
-            yield pd.DataFrame({"value": pdf["value"], "best": best})
+            best = [[{"score": s, "canon": c} for s, c in matchers.get(f, nothing).scores(fold(v), decoration.get(f, no_words))] for f, v in zip(pdf["field"], pdf["value"], strict=True)]
+            yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "best": best})
 
-    scored = over_blocks(decided.where("canon_id IS NULL").select("value").repartition(width, "value"), similar, "value string, best array<struct<score:double,canon:bigint>>")
+    open_ = decided.where("canon_id IS NULL").select("field", "value").repartition(width, "field", "value")
+    scored = over_blocks(open_, similar, "best array<struct<score:double,canon:bigint>>")
     if blocks > 1:
-        scored = scored.groupBy("value").agg(F.flatten(F.collect_list("best")).alias("best"))
+        scored = scored.groupBy("field", "value").agg(F.flatten(F.collect_list("best")).alias("best"))
 
     def choose(batches):
         for pdf in batches:
             canon = [closest([(r["score"], r["canon"]) for r in best]) for best in pdf["best"]]
-            yield pd.DataFrame({"value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
+            yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "canon_id": pd.array(canon, dtype="Int64")})
 
-    nearest = scored.mapInPandas(choose, "value string, canon_id bigint")
+    nearest = scored.mapInPandas(choose, "field string, value string, canon_id bigint")
     return settled.unionByName(decided.where("canon_id IS NOT NULL")).unionByName(nearest)
 
 
+def mapped_fields(columns: list[tuple[DataFrame, str, str, str]], reference: DataFrame) -> DataFrame:
+    """``(field, rec_id, value, canon_id)`` of several columns, each (records, key, column, field); see ``mapped``."""
+    typed = None
+    for records, key, column, field in columns:
+        part = records.select(F.lit(field).alias("field"), F.col(key).alias("rec_id"), F.col(column).alias("value")).where("value is not null").distinct()
+        typed = part if typed is None else typed.unionByName(part)
+    return typed.join(canonical_map(typed, reference), ["field", "value"]).select("field", "rec_id", "value", "canon_id")
+
+
 def mapped(records: DataFrame, key: str, column: str, reference: DataFrame, field: str) -> DataFrame:
     """``(field, rec_id, value, canon_id)`` for each record with a value; a repeated record counts once.
 
     The map of distinct values joins the records by value; a value that a third of the records share is one row of
     the map, so the join is broadcast while the map is small and otherwise split by the skew rules of the session.
     """
-    typed = records.select(F.col(key).alias("rec_id"), F.col(column).alias("value")).where("value is not null").distinct()
-    return typed.join(canonical_map(typed, reference, field), "value").select(F.lit(field).alias("field"), "rec_id", "value", "canon_id")
+    return mapped_fields([(records, key, column, field)], reference.where(F.col("field") == field))

@@ -53,12 +53,8 @@ _TYPED = (("knowledge_objects", "object_id", "type"), ("books", "book_id", "prim
 
 
 def _canonical(spark: SparkSession, root: str) -> DataFrame:
-    reference = table(spark, root, "ref_values")
-    out = None
-    for name, key, column in _TYPED:
-        part = canonical.mapped(table(spark, root, name), key, column, reference, column)
-        out = part if out is None else out.unionByName(part)
-    return out
+    columns = [(table(spark, root, name), key, column, column) for name, key, column in _TYPED]
+    return canonical.mapped_fields(columns, table(spark, root, "ref_values"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
