@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import getpass
 import json
 import os
+import re
 import sys
 from pathlib import Path
 
@@ -77,7 +79,7 @@ def _parser() -> argparse.ArgumentParser:
         conf.add_parser(verb).add_argument("name")
     put = conf.add_parser("set")
     put.add_argument("name")
-    put.add_argument("value")
+    put.add_argument("value", nargs="?", help="read from the terminal or the input where it is left out")
     return p
 
 
@@ -91,7 +93,10 @@ def _config(args) -> None:
             raise config.ConfigError(f"unknown setting {args.name}")
         print(values[args.name].value)
     else:
-        config.write(args.home, args.name, args.value if args.verb == "set" else None)
+        value = None if args.verb == "unset" else args.value
+        if args.verb == "set" and value is None:
+            value = getpass.getpass(f"{args.name}: ") if sys.stdin.isatty() else sys.stdin.readline().rstrip("\n")
+        config.write(args.home, args.name, value)
 
 
 def _run(args) -> int:
@@ -103,6 +108,10 @@ def _run(args) -> int:
     from lectern.sources.store import Store
 
     settings = {name: v.value for name, v in config.resolve(args.home).items()}
+    for name in ("book", "object"):
+        named = getattr(args, name, None)
+        if named not in (None, "all") and not re.fullmatch(search.UUID, named):
+            raise ValueError(f"{named} is no id")
     spark = local_session("*")
     store = Store(spark, args.data or settings["storage_root"])
     keys = {v: settings[f"{v}_api_key"] for v in ("anthropic", "openai", "gemini")}

@@ -59,8 +59,9 @@ def top_k(
 ) -> DataFrame:
     """``(rank, point_id, record_type, record_id, book_id, score)`` of the best points.
 
-    Filters apply before the score, threshold and offset after it; ties go to the smaller id.  One top-k per task,
-    then one merge: no full sort and no shuffle of vectors.
+    Filters apply before the score, threshold and offset after it; ties go to the smaller id; a point delivered again
+    counts once.  The best rows of every task meet in one merge: no sort and no exchange of all points.  The search runs
+    when it is asked for, as only its rows tell whether repeats left enough of them.
     """
     if k < 1 or offset < 0 or not len(query):
         raise ValueError("a query needs numbers, a positive limit and no negative offset")
@@ -70,13 +71,18 @@ def top_k(
         rows = rows.where(F.col("book_id") == book_id)
     if wanted:
         rows = rows.where(F.col("record_type").isin(wanted))
-    rows = rows.select("point_id", "record_type", "record_id", "book_id", F.round(cosine(F.col("vector"), query), 6).alias("score")).distinct()
+    rows = rows.select("point_id", "record_type", "record_id", "book_id", F.round(cosine(F.col("vector"), query), 6).alias("score"))
     if threshold is not None:
         rows = rows.where(F.col("score") >= threshold)
-    best = rows.orderBy(F.desc("score"), "point_id").limit(offset + k)
-    # At most offset + k rows are numbered.
-    ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "point_id")))
-    return ranked.where(F.col("rank") > offset).select((F.col("rank") - offset).alias("rank"), "point_id", "record_type", "record_id", "book_id", "score")
+    ordered, most = rows.orderBy(F.desc("score"), "point_id"), 2 * (offset + k)
+    while True:
+        found = ordered.limit(most).collect()
+        best = list(dict.fromkeys(map(tuple, found)))
+        if len(best) >= offset + k or len(found) < most:
+            break
+        most *= 4
+    ranked = [(rank, *row) for rank, row in enumerate(best[offset : offset + k], 1)]
+    return points.sparkSession.createDataFrame(ranked, "rank int, point_id string, record_type string, record_id string, book_id string, score double")
 
 
 def search(store, embedder, query: str, limit: int = 10, offset: int = 0, threshold: float | None = None, book_id: str | None = None, types: Sequence[str] | None = None) -> tuple[DataFrame | None, int | None]:

@@ -211,6 +211,8 @@ def execute(
     detected = structure.flatten(chapters, sections).join(slugs, "book_id")
     authored = truth.nodes.select(F.col("book").alias("slug"), "loc", "parent_loc", "kind", "title", "position").join(slugs, "slug").drop("slug")
     located = durable(locations.join_locations(detected.drop("slug"), authored), "located")
+    lost = detected.join(located.select("record_id", "loc"), "record_id", "left").where("loc IS NULL").groupBy("slug", "kind").agg(F.count("*").alias("n"))
+    notes += [f"{r['slug']}: {r['n']} detected nodes of kind {r['kind']} join no authored one" for r in lost.orderBy("slug", "kind").collect()]
     document = {"run_id": "", "generated_at": dt.datetime.now(dt.UTC).isoformat(), "family": family, "scope": scope, "results": [], "structure": [], "coverage": [], "faithfulness": [], "judge": None}
     document["corpus"] = {"snapshot": corpus.home.name, "books": scoped, "config": snapshot_inputs(corpus.settings)}
     document["search"] = {"mode": "vector", "limit": limit, "record_types": list(search.RECORD_TYPES)}

@@ -1,5 +1,6 @@
 """The reference's operators on small inline tables."""
 
+import io
 import json
 import random
 import re
@@ -132,6 +133,8 @@ def test_search_geometry_filters_and_stale(spark):
     points = spark.createDataFrame(rows + rows[:1], "point_id string, vector array<float>, record_type string, record_id string, book_id string")
     top = lambda **kw: [(r["point_id"], r["score"]) for r in search.top_k(points, [1.0, 0.0], **kw).orderBy("rank").collect()]
     assert top() == [("p0", 1.0), ("p3", 1.0), ("p1", 0.707107), ("p2", 0.0)]
+    many = points.unionByName(points.where("point_id = 'p0'").crossJoin(spark.range(40)).drop("id"))
+    assert [(r["rank"], r["point_id"]) for r in search.top_k(many, [1.0, 0.0], 2, offset=1).collect()] == [(1, "p3"), (2, "p1")]
     assert top(threshold=0.5, offset=1) == [("p3", 1.0), ("p1", 0.707107)]
     assert top(book_id="y", types=["chapter"]) == [("p3", 1.0), ("p2", 0.0)]
     known = spark.createDataFrame([("chapter", ids[0], "t"), ("section", ids[1], "u")], "record_type string, record_id string, title string")
@@ -421,7 +424,7 @@ def test_truth_is_linted_and_scored(spark, tmp_path):
     assert scores["recall"] == (0.5, 1) and scores["coverage"] == (0.5, 2) and "faithfulness" not in scores and scores["structure"][0] == pytest.approx(0.8)
 
 
-def test_config_layers_and_cli(tmp_path, capsys):
+def test_config_layers_and_cli(tmp_path, capsys, monkeypatch):
     config.write(tmp_path, "openai_api_key", "sk-12345678")
     config.write(tmp_path, "llm_provider", "fake")
     values = config.resolve(tmp_path, {"LECTERN_LLM_MODEL": "", "OPENAI_API_KEY": "other", "GEMINI_API_KEY": "g"})
@@ -429,6 +432,9 @@ def test_config_layers_and_cli(tmp_path, capsys):
     assert (tmp_path / "config.toml").stat().st_mode & 0o777 == 0o600
     assert ("openai_api_key", "sk-1…5678", "file") in config.shown(values)
     assert cli.main(["--home", str(tmp_path), "config", "unset", "openai_api_key"]) == 0
+    monkeypatch.setattr("sys.stdin", io.StringIO("sk-abcdefghijk\n"))
+    assert cli.main(["--home", str(tmp_path), "config", "set", "gemini_api_key"]) == 0 and config.resolve(tmp_path, {})["gemini_api_key"].value == "sk-abcdefghijk"
+    assert cli.main(["--home", str(tmp_path), "books", "show", "no-id"]) == 1 and "no-id is no id" in capsys.readouterr().err
     assert cli.main(["--home", str(tmp_path), "config", "set", "nothing", "x"]) == 1 and "unknown setting" in capsys.readouterr().err
     with pytest.raises(providers.ConfigurationError):
         providers.build("openai")
