@@ -530,16 +530,18 @@ def _paragraphs(lines: list[str], code: list[bool], drop: list[bool]) -> str:
     for k in range(len(rows) - 1, -1, -1):
         begins[k] = state
         state = back[k][0] if state else back[k][1]
-    out: list[str] = []
+    out: list[list[str]] = []
     for k, (text, fixed, apart) in enumerate(rows):
         if fixed and k and rows[k - 1][1] and not apart:
-            out[-1] += "\n" + text
+            out[-1] += ["\n", text]
         elif begins[k] or not out:
-            out.append(text if fixed else text.strip())
+            out.append([text if fixed else text.strip()])
         else:
             # A hyphen that belongs to its word stays, without a blank after it.
-            out[-1] += ("" if re.search(rf"[^\W_][{_HYPHENS}]$", out[-1]) else " ") + text.strip()
-    return "\n\n".join(out)
+            last = out[-1][-1]
+            joined = last[-1:] in _HYPHENS and last[-2:-1].isalnum()
+            out[-1] += ["" if joined and last else " ", text.strip()]
+    return "\n\n".join("".join(parts) for parts in out)
 
 
 def word_counts(documents: DataFrame, text: str) -> DataFrame:
