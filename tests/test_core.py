@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import cli, config
+from lectern import cli, config, session
 from lectern.functions import text as T
 from lectern.operators import answers, locations, reads, scoring, search, structure, truth
 from lectern.plans import evaluate, prompts, providers, registration, runner
@@ -440,6 +440,20 @@ def test_config_layers_and_cli(tmp_path, capsys, monkeypatch):
         providers.build("openai")
 
 
+def test_durable_tables_lie_in_the_named_folder_and_go(spark, tmp_path, monkeypatch):
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(cluster)
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: f"file://{tmp_path}")
+    kept = session.durable(spark.range(5), "five")
+    other = session.durable(spark.range(3), "three")
+    assert kept.count() == 5 and len(list(tmp_path.glob("lectern/*/five-*"))) == 1
+    session.discard(kept)
+    assert not list(tmp_path.glob("lectern/*/five-*")) and other.count() == 3
+    session.forget(spark)
+    assert not list(tmp_path.glob("lectern/*"))
+
+
 def test_arrivals_are_handed_over_once(spark, tmp_path):
     seen = []
     spark.createDataFrame([(1,)], "n int").write.parquet(str(tmp_path / "in"))
