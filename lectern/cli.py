@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     runs = sub.add_parser("runs").add_subparsers(dest="verb", required=True)
     runs.add_parser("list")
     runs.add_parser("show").add_argument("run")
+    sub.add_parser("export", help="write the tables to the database that jdbc_url names")
     for name in ("structure", "profile"):
         sub.add_parser(name).add_argument("book")
     knowledge = sub.add_parser("knowledge").add_subparsers(dest="verb", required=True)
@@ -105,6 +106,7 @@ def _run(args) -> int:
     from lectern.operators import reads, search
     from lectern.plans import providers, registration, runner
     from lectern.session import local_session
+    from lectern.sources import relational
     from lectern.sources.store import Store
 
     settings = {name: v.value for name, v in config.resolve(args.home).items()}
@@ -139,6 +141,11 @@ def _run(args) -> int:
         else:
             registration.update_book(store, args.book, **dict(f.split("=", 1) for f in args.fields))
             _rows(registration.books(store).where(F.col("book_id") == args.book))
+    elif args.command == "export":
+        if not settings["jdbc_url"]:
+            raise config.ConfigError("jdbc_url names no database")
+        for name in relational.export(store, settings["jdbc_url"]):
+            print(name)
     elif args.command == "runs":
         runs = store.runs()
         _rows(runs.orderBy("at", "run_id") if args.verb == "list" else reads.by_id(runs, "run_id", args.run))

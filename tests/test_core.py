@@ -13,7 +13,7 @@ from lectern import cli, config, session
 from lectern.functions import text as T
 from lectern.operators import answers, locations, reads, scoring, search, structure, truth
 from lectern.plans import evaluate, prompts, providers, registration, runner
-from lectern.sources import files
+from lectern.sources import files, relational
 from lectern.sources.store import Store
 from lectern.streaming.arrivals import drain
 
@@ -440,6 +440,27 @@ def test_config_layers_and_cli(tmp_path, capsys, monkeypatch):
         providers.build("openai")
 
 
+def test_relational_tables_round_trip(spark, tmp_path, monkeypatch, capsys):
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    ids = [f"{i:02x}000000-0000-0000-0000-000000000000" for i in range(0, 256, 5)] + ["zz", "ZZ"]
+    rows = spark.createDataFrame([(k, i, [str(i)]) for i, k in enumerate(ids)] + [("ff0", -1, None)], "book_id string, n int, tags array<string>")
+    for _ in range(2):  # writing again replaces
+        relational.write(rows, url, "things", ("book_id",))
+    got = relational.read(spark, url, "things", "book_id", 7)
+    assert got.rdd.getNumPartitions() == 7 and sorted((r["n"], r["book_id"]) for r in got.collect()) == sorted((i, k) for k, i, _ in rows.collect())
+    assert got.where("n = 3").first()["tags"] == '["3"]' and relational.read(spark, url, "things").count() == len(ids) + 1
+    assert relational.ranges("k", 1) == ["1 = 1"] and len(relational.ranges("k", 16)) == 16
+    books = spark.createDataFrame([("b1", "T", "A", *[None] * 10)], _BOOK)
+    store = Store(spark, str(tmp_path / "store"))
+    runner.Pipeline(store, books, spark.createDataFrame([("b1", "# One\n## S\nx\n# Two\ny")], "book_id string, markdown string")).run()
+    monkeypatch.setattr(session, "local_session", lambda *a: spark)
+    config.write(tmp_path, "storage_root", str(tmp_path / "store"))
+    assert cli.main(["--home", str(tmp_path), "export"]) == 1 and "jdbc_url" in capsys.readouterr().err
+    config.write(tmp_path, "jdbc_url", url)
+    assert cli.main(["--home", str(tmp_path), "export"]) == 0 and "knowledge_objects" in capsys.readouterr().out
+    assert relational.read(spark, url, "chapters").count() == 2 and relational.read(spark, url, "runs").first()["STATUS".lower()] == "succeeded"
+
+
 def test_durable_tables_lie_in_the_named_folder_and_go(spark, tmp_path, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
