@@ -1,5 +1,7 @@
 """Text operators: exact round trips, hand-made cases, and the edge cases every operator must bear."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -258,6 +260,52 @@ def test_marks_and_what_follows_them_are_learned_from_all_texts():
     assert small.follow["l"] > model.follow["l"] + 5
 
 
+def test_a_boundary_depends_on_where_the_last_one_was():
+    # Alone, each stop would end a unit; the number's does not right after a boundary, but does after an abbreviation.
+    assert _split("It goes. 2. Then it ends here.") == ["It goes.", "2. Then it ends here."]
+    assert _split("See Fig. 2. Then it ends here.") == ["See Fig. 2.", "Then it ends here."]
+    assert _split("\xa0 1. No lock is safe.\n2. No cache is safe.") == ["1. No lock is safe.", "2. No cache is safe."]
+    assert _split("Quoi ? ! Rien ne va.") == ["Quoi ? !", "Rien ne va."] and _split("好。不。走吧。") == ["好。", "不。", "走吧。"]
+    # Without the sizes nothing depends on anything.
+    flat = sentences.Model(sizes={str(n): 0.0 for n in range(sentences.FAR)})
+    assert _split("It goes. 2. Then it ends here.", flat) == ["It goes.", "2.", "Then it ends here."]
+
+
+def test_sizes_of_units_are_learned():
+    items = [f"1. Plan {i} goes on\n2. It holds" for i in range(400)]
+    model = sentences.fit([*items, *(f"The plan number {i} holds." for i in range(400))])
+    assert model.sizes[0] < -5 and len(model.sizes) == 2
+    short = sentences.fit(["Go!"] * 300 + [f"We ask the yard! about plan {i} first." for i in range(300)])
+    assert len(short.sizes) == 2
+    rare = sentences.fit(["We ask the yard!"] * 300 + [f"Yo! about plan {i} first." for i in range(300)])
+    assert rare.sizes[2] < -5
+
+
+def test_viterbi_against_all_tags():
+    def best(emissions, gaps, sizes):
+        def share(tags):
+            total, n = 0.0, 0
+            for e, gap, tag in zip(emissions, gaps, tags, strict=True):
+                n += gap
+                odds = e + (sizes[n] if n < len(sizes) else 0.0)
+                total -= math.log1p(math.exp(-odds if tag else odds))
+                n = 0 if tag else n
+            return total
+
+        return max(itertools.product([False, True], repeat=len(emissions)), key=share)
+
+    random.seed(5)
+    differ = 0
+    for _ in range(300):
+        n = random.randint(1, 8)
+        emissions, gaps = [random.uniform(-4, 6) for _ in range(n)], [random.randint(0, 5) for _ in range(n)]
+        tags = sentences.viterbi(emissions, gaps, (-6.0, -3.0, -1.0, -0.5))
+        assert tuple(tags) == best(emissions, gaps, (-6.0, -3.0, -1.0, -0.5))
+        differ += tags != [e > 0 for e in emissions]
+    assert differ > 100
+    assert sentences.viterbi([900.0, -900.0, 5.0], [9, 9, 9], (-6.0,)) == [True, False, True] and sentences.viterbi([], [], (-6.0,)) == []
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "  ", 2), (3, "One. Two.", 3), (3, "One. Two.", 3)], "doc_id bigint, text string, start_pos int")
     assert sentences.split(df).count() == 4
